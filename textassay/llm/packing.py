@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     ignored, whatever their names; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(cut_documents(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(cut_documents(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = materialise(cut.withColumn("slot", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("slot"), F.lit(groups)))

@@ -13,14 +13,15 @@ import re
 
 import numpy as np
 
-#: Words that a worker remembers, and the longest of them; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers (as they stand, and in plain form), and the longest; beyond, it starts anew.
+REMEMBERED = 1_000_000
+REMEMBERED_PLAIN = 700_000
 LONGEST = 48
+TOGETHER = 256
 
-SPACE = re.compile("[ \n\t\r]+")
-#: Words for which normalising and splitting are plain: letters whose lower case
-#: is one letter and which are composed already, then marks.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+MARKS = b".,;:!?"
+#: Words for which normalising is plain: letters whose lower case is one letter and which are composed already.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -38,8 +39,8 @@ class WordTokens:
         if self.word_wise:
             for piece, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = piece.endswith("</w>")
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}
+        self.plain: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def _is_word_wise(spec: dict) -> bool:
@@ -48,55 +49,62 @@ class WordTokens:
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         return norm == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and spec["model"].get("end_of_word_suffix") == "</w>" and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Enter the ids of words; plain ones by their lower-case letters and their marks."""
+    def _learn(self, missing: set[bytes]) -> None:
+        """Enter the ids of words; plain ones by their lower-case letters and the marks behind them."""
         plain, odd, parts = [], [], set()
         for w in missing:
-            m = PLAIN.fullmatch(w) if len(w) <= LONGEST else None
-            if m:
-                letters, marks = m[1].lower(), m[2]
-                plain.append((w, letters, marks))
-                parts.add(letters)
-                parts.add(marks)
-            else:
+            core = w.rstrip(MARKS)
+            letters = core.lower() if core.isalpha() else None
+            if letters is None and LETTERS.fullmatch(text := core.decode()):
+                letters = text.lower().encode()
+            if letters is None or len(w) > LONGEST:
                 odd.append(w)
-        new = [p for p in parts if p not in self.parts]
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            else:
+                plain.append((w, letters, w[len(core) :]))
+                parts.add(letters)
+                parts.add(w[len(core) :])
+        new = [p for p in parts if p not in self.plain]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 raw, low = ids.tobytes(), 0
                 for p, high in zip(some, (cuts * 4).tolist(), strict=True):
-                    self.parts[p] = raw[low:high]
+                    self.plain[p] = raw[low:high]
                     low = high
             else:
-                self.parts.update(zip(some, self._encode(some), strict=True))
+                self.plain.update(zip(some, self._encode(some), strict=True))
         for w, letters, marks in plain:
-            self.words[w] = self.parts[letters] + self.parts[marks]
+            self.words[w] = self.plain[letters] + self.plain[marks]
         self.words.update(zip(odd, self._encode(odd), strict=True))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, four little-endian bytes each."""
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """For each UTF-8 text its ids, four little-endian bytes each."""
         if not self.word_wise:
             return self._encode(texts)
         if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        split = [SPACE.split(t) for t in texts]
-        missing = set().union(*split).difference(self.words)
+            self.words = {}
+        if len(self.plain) > REMEMBERED_PLAIN:
+            self.plain = {b"": b""}
+        # A-Z may be lowered at once, unless that would make the string of a special token.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.words.get, words)) for words in split]
+        holes = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        missing = {words[k] for words, own in zip(split, holes, strict=True) for k in own}
         if missing:
             self._learn(missing)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in missing:
-            if len(w) > LONGEST:
-                del self.words[w]
-        return out
+            for words, f, own in zip(split, found, holes, strict=True):
+                for k in own:
+                    f[k] = self.words[words[k]]
+            for w in missing:
+                if len(w) > LONGEST:
+                    del self.words[w]
+        return [b"".join(f) for f in found]
 
 
 def word_tokens(path: str) -> WordTokens:

@@ -1,0 +1,103 @@
+"""Rewriting as native columns, for texts without masked regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from textassay.sources.packs import Engine, java_replacement
+
+from . import patterns as P
+from .spans import word_before
+
+
+def number_ranges(text: Column) -> Column:
+    return F.regexp_replace(text, P.NUMBER_RANGE, "$1 to $2")
+
+
+def em_dashes(text: Column) -> Column:
+    return F.regexp_replace(text, P.PY_SPACE + "*—" + P.PY_SPACE + "*", ", ")
+
+
+def spaced_en_dashes(text: Column) -> Column:
+    return F.replace(text, F.lit(" – "), F.lit(", "))
+
+
+def pack_replacements(text: Column, engine: Engine) -> Column:
+    """The packs' replacements in their order; character classes and case are Unicode's."""
+    for pattern, new in engine.fixes:
+        text = F.regexp_replace(text, "(?U)" + pattern, java_replacement(new))
+    return text
+
+
+def shaped_like(source: Column, new: Column) -> Column:
+    capital = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 1 << 20))
+    upper = F.translate(new, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return F.when(F.regexp_like(source, F.lit("^[A-Z]{2,}$")), upper).when(F.regexp_like(source, F.lit("^[A-Z]")), capital).otherwise(new)
+
+
+def word_swaps(text: Column, engine: Engine) -> Column:
+    """Whole runs of ASCII letters by the swap map, in their own case shape, unless the word before guards them.
+
+    Only texts that hold a form are taken apart.  Guards see the text as it came
+    to this step, as swaps are decided all at once.
+    """
+    if not engine.swaps:
+        return text
+    forms = sorted(engine.swaps, key=lambda f: (-len(f), f))
+    plain = [f for f in forms if f.isascii() and f.isalpha()]
+    form = r"(?i)(?<![A-Za-z])(?:" + "|".join(plain) + r")(?![A-Za-z])"
+    swap = F.create_map(*[F.lit(x) for f in plain for x in (f, engine.swaps[f][0])])
+    hits, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
+    guards = {f: engine.rules[engine.swaps[f][1]].unless_preceded_by for f in plain if engine.rules[engine.swaps[f][1]].unless_preceded_by}
+    start = F.struct(F.lit("").alias("head"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        head = F.concat(acc["head"], x["g"])
+        own = F.lower(x["m"])
+        new = shaped_like(x["m"], F.element_at(swap, own))
+        before = word_before(head, F.char_length(head) + 1)
+        for words in sorted(set(guards.values())):
+            kept = own.isin([f for f, w in guards.items() if w == words]) & before.isin(list(words))
+            new = F.when(kept, x["m"]).otherwise(new)
+        return F.struct(F.concat(head, x["m"]).alias("head"), F.concat(acc["out"], x["g"], new).alias("out"))
+
+    paired = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), hits, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    swapped = F.aggregate(paired, start, step, lambda acc: F.concat(acc["out"], F.element_at(gaps, -1)))
+    return F.when(F.regexp_like(text, F.lit(form)), swapped).otherwise(text)
+
+
+def collapsed_runs(text: Column) -> Column:
+    return F.regexp_replace(text, P.SPACE_RUN, " ")
+
+
+def single_commas(text: Column) -> Column:
+    return F.regexp_replace(text, "," + P.PY_SPACE + "*,", ",")
+
+
+def tight_marks(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ \t]+([,.;:!?])", "$1")
+
+
+def single_dots(text: Column) -> Column:
+    return F.regexp_replace(text, "[,;:]" + P.PY_SPACE + r"*\.", ".")
+
+
+def sentence_capitals(text: Column) -> Column:
+    """Upper-case ASCII letters behind sentence ends; Java's replacement can't change case."""
+    opening = r"[.!?]" + P.PY_SPACE + "+[a-z]"
+    hits, gaps = F.regexp_extract_all(text, F.lit(opening), F.lit(0)), F.split(text, opening, -1)
+    joined = F.array_join(F.zip_with(gaps, F.concat(hits, F.array(F.lit(""))), lambda g, m: F.concat(g, F.upper(m))), "")
+    return F.when(F.regexp_like(text, F.lit(opening)), joined).otherwise(text)
+
+
+def first_capital(before: Column, after: Column) -> Column:
+    """If the first ASCII letter was upper case, the first of the result becomes so."""
+    head = F.regexp_extract(after, "^([^A-Za-z]*)", 1)
+    at = F.char_length(head)
+    fixed = F.concat(head, F.upper(F.substring(after, at + 1, F.lit(1))), F.substring(after, at + 2, F.char_length(after)))
+    return F.when(F.regexp_like(before, F.lit("^[^A-Za-z]*[A-Z]")) & F.regexp_like(after, F.lit("[A-Za-z]")), fixed).otherwise(after)
+
+
+def cleanup(text: Column) -> Column:
+    return single_dots(tight_marks(single_commas(collapsed_runs(text))))

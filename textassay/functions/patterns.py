@@ -37,23 +37,49 @@ STRUCTURAL = {
 }
 
 
-def required_literal(pattern: str) -> tuple[str, bool]:
-    """A run of characters that every match contains, and whether case is to be ignored; empty if none is sure.
+def required_literals(pattern: str) -> tuple[list[str], bool]:
+    """Strings of which every match contains one, and whether to look for them in lower case; none if none are sure.
 
     Where case is ignored, letters that fold beyond ASCII (k, s) part runs, so that
-    a search in the text with only A-Z lowered finds every candidate.
+    a search in the text in lower case finds every candidate.
     """
     import re._constants as C
     import re._parser as parser
 
     parsed = parser.parse(pattern)
     folded = bool(parsed.state.flags & C.SRE_FLAG_IGNORECASE)
-    runs, run = [""], ""
-    for op, value in parsed:
-        char = chr(value) if op is C.LITERAL else ""
-        if char and not (folded and (char in "kKsSıİ" or not char.isascii())):
-            run += char.lower() if folded else char
-        elif op is not C.AT:
-            runs.append(run)
+
+    def plain(code: int) -> str:
+        char = chr(code)
+        if not folded:
+            return char
+        return char.lower() if char.isascii() and char not in "kKsS" else ""
+
+    def better(a: list[str], b: list[str]) -> list[str]:
+        worth = lambda found: (min(map(len, found), default=0), -len(found))
+        return max(a, b, key=worth)
+
+    def needed(items) -> list[str]:
+        best: list[str] = []
+        run = ""
+        for op, value in items:
+            if op is C.LITERAL and (char := plain(value)):
+                run += char
+                best = better(best, [run])
+                continue
+            if op is C.AT:
+                continue
             run = ""
-    return max([*runs, run], key=len), folded
+            if op is C.IN and all(o is C.LITERAL and plain(v) for o, v in value):
+                best = better(best, [plain(v) for _, v in value])
+            elif op is C.SUBPATTERN:
+                best = better(best, needed(value[3]))
+            elif op is C.BRANCH:
+                each = [needed(branch) for branch in value[1]]
+                if all(each):
+                    best = better(best, sorted({x for found in each for x in found}))
+            elif op is C.MAX_REPEAT and value[0] > 0:
+                best = better(best, needed(value[2]))
+        return best
+
+    return needed(parsed), folded

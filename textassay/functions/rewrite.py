@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textassay.sources.packs import Engine, java_replacement
 
 from . import patterns as P
-from .spans import word_before
+from .spans import cue_for, word_before
 
 
 def number_ranges(text: Column) -> Column:
@@ -16,7 +19,7 @@ def number_ranges(text: Column) -> Column:
 
 
 def em_dashes(text: Column) -> Column:
-    return F.regexp_replace(text, P.PY_SPACE + "*—" + P.PY_SPACE + "*", ", ")
+    return F.when(F.contains(text, F.lit("—")), F.regexp_replace(text, P.PY_SPACE + "*—" + P.PY_SPACE + "*", ", ")).otherwise(text)
 
 
 def spaced_en_dashes(text: Column) -> Column:
@@ -24,10 +27,18 @@ def spaced_en_dashes(text: Column) -> Column:
 
 
 def pack_replacements(text: Column, engine: Engine) -> Column:
-    """The packs' replacements in their order; character classes and case are Unicode's."""
+    """The packs' replacements in their order; character classes and case are Unicode's.
+
+    A text without any rule's cue is changed by none of them, as the first one
+    that could change it would have to match it as it is.
+    """
+    done, cues = text, []
     for pattern, new in engine.fixes:
-        text = F.regexp_replace(text, "(?U)" + pattern, java_replacement(new))
-    return text
+        done = F.regexp_replace(done, "(?U)" + pattern, java_replacement(new))
+        cues.append(cue_for(text, F.lower(text), pattern))
+    if not cues or any(c is None for c in cues):
+        return done
+    return F.when(reduce(or_, cues), done).otherwise(text)
 
 
 def shaped_like(source: Column, new: Column) -> Column:

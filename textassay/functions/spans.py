@@ -7,7 +7,8 @@ one left-to-right scan; whatever rejects them comes afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,22 +97,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORDS))
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def cue_for(text: Column, lowered: Column, pattern: str) -> Column | None:
     """A cheap test that every text with a match of ``pattern`` passes; None if none is known."""
-    literal, folded = P.required_literal(pattern)
-    if not literal:
+    literals, folded = P.required_literals(pattern)
+    if not literals:
         return None
-    return F.contains(lowered if folded else text, F.lit(literal))
+    return reduce(or_, [F.contains(lowered if folded else text, F.lit(x)) for x in literals])
 
 
 def excerpt(text: Column) -> Column:
     return F.when(F.char_length(text) <= P.EXCERPT, text).otherwise(F.concat(F.substring(text, 1, P.EXCERPT - 3), F.lit("...")))
-
-
-def chained(column: Column, steps: list[Callable[[Column], Column]]) -> Column:
-    for step in steps:
-        column = step(column)
-    return column

@@ -13,8 +13,6 @@ from textassay.functions import patterns as P
 from textassay.functions import rewrite as R
 from textassay.sources.packs import Engine, default_engine
 
-from .lint import reports, with_findings
-
 
 def fixed_plain(text: Column, engine: Engine) -> Column:
     """All steps in order, for a text without masked regions."""
@@ -23,13 +21,12 @@ def fixed_plain(text: Column, engine: Engine) -> Column:
     return R.first_capital(text, R.sentence_capitals(R.cleanup(R.word_swaps(done, engine))))
 
 
-#: Steps that scan the text more than once are given columns of their own, so
-#: that what stands below them is worked out once.
 def fix(df: DataFrame, engine: Engine | None = None, text_col: str = "text", out_col: str = "fixed") -> DataFrame:
     """``df`` with each text rewritten.
 
     Texts without a cue of markup or code are rewritten by native columns; the
-    others, segment by segment between their masked regions, in Python.
+    others, segment by segment between their masked regions, in Python.  Steps
+    that scan the text more than once have columns of their own.
     """
     engine = engine or default_engine()
     cue = F.coalesce(F.regexp_like(F.col(text_col), F.lit(P.MASK_CUE)), F.lit(False))
@@ -61,10 +58,20 @@ def fix_exact(df: DataFrame, engine: Engine | None = None, text_col: str = "text
 
 
 def guarantee(df: DataFrame, engine: Engine | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text the weight before and after rewriting, and the fixable findings that are left."""
+    """Per text the weight before and after rewriting, and the fixable findings that are left.
+
+    Both lints and the rewriting of a text are one step in Python: as columns,
+    a lint of a rewritten text would hold the rewriting many times over.
+    """
     engine = engine or default_engine()
-    fixed = fix(df.select(id_col, text_col), engine, text_col)
-    before = reports(df, engine, id_col, text_col).select(id_col, F.col("total_weight").alias("before"))
-    after = with_findings(fixed.select(id_col, F.col("fixed").alias(text_col)), engine, text_col)
-    left = after.select(id_col, F.aggregate("findings", F.lit(0.0), lambda a, f: a + f["weight"]).alias("after"), F.size(F.filter("findings", lambda f: f["fixable"])).alias("fixable_left"))
-    return before.join(left, id_col)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            before = [exact.lint_text(t, engine) for t in texts]
+            after = [exact.lint_text(exact.fix_text(t, engine), engine) for t in texts]
+            yield pd.DataFrame({"id": pdf["id"], "before": [r[2] for r in before], "after": [r[2] for r in after], "fixable_left": [sum(f["fixable"] for f in r[0]) for r in after]})
+
+    kind = dict(df.dtypes)[id_col]
+    done = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, before double, after double, fixable_left int")
+    return done.withColumnRenamed("id", id_col)

@@ -82,8 +82,8 @@ def literal_findings(text: Column, mask: Column, engine: Engine) -> Column:
 
 
 def regex_findings(text: Column, mask: Column, engine: Engine, lowered: Column | None = None) -> Column:
-    """Spans of the regex rules, each scanned by itself; ``lowered`` is the text with A-Z in lower case."""
-    lowered = F.translate(text, S.UPPER, S.LOWER) if lowered is None else lowered
+    """Spans of the regex rules, each scanned by itself; ``lowered`` is the text in lower case."""
+    lowered = F.lower(text) if lowered is None else lowered
 
     def of(k: int, pattern: str) -> Column:
         fits = lambda s: ~S.overlaps(mask, s["start"], s["end"]) & _unguarded(text, s, F.lit(k), engine)
@@ -120,16 +120,19 @@ def bullets(text: Column, mask: Column) -> Column:
     return F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc["out"])
 
 
-def uniform_bullets(text: Column, mask: Column) -> Column:
+def possible_bullets(text: Column, mask: Column) -> Column:
+    """``bullets`` of texts that have a line which begins like one; else none."""
+    possible = F.regexp_like(text, F.lit(r"(?:^|\n)" + P.PY_SPACE + r"*(?:[-*] |[0-9])"))
+    return F.when(possible, bullets(text, mask)).otherwise(F.array().cast("array<struct<start:int,opener:string>>"))
+
+
+def uniform_bullets(found: Column) -> Column:
     """S001: four bullets or more of which four in five open with the same word."""
-    found = bullets(text, mask)
     counted = F.transform(F.array_distinct(found["opener"]), lambda w: F.struct(F.size(F.filter(found, lambda b: b["opener"] == w)).alias("n"), w.alias("w")))
-    top = F.array_max(counted)
-    said = F.concat(top["n"].cast("string"), F.lit("/"), F.size(found).cast("string"), F.lit(' bullets open with "'), top["w"], F.lit('"'))
+    said = lambda top: F.concat(top["n"].cast("string"), F.lit("/"), F.size(found).cast("string"), F.lit(' bullets open with "'), top["w"], F.lit('"'))
     at = F.element_at(found, 1)["start"]
-    hit = (F.size(found) >= P.BULLETS) & (top["n"] / F.size(found) >= P.BULLET_SHARE)
-    possible = F.regexp_like(text, F.lit(r"(?:^|\n)" + P.PY_SPACE + r"*(?:[-*] |[0-9])"))
-    return F.when(possible, F.when(hit, F.array(_finding("S001", at, at, said))).otherwise(F.array().cast(FINDINGS))).otherwise(F.array().cast(FINDINGS))
+    hits = F.filter(F.array(F.array_max(counted)), lambda top: top["n"] / F.size(found) >= P.BULLET_SHARE)
+    return F.when(F.size(found) >= P.BULLETS, F.transform(hits, lambda top: _finding("S001", at, at, said(top)))).otherwise(F.array().cast(FINDINGS))
 
 
 def tokens(text: Column) -> Column:
@@ -171,9 +174,13 @@ def uniform_sentences(stats: Column) -> Column:
     return F.when(stats["n"] >= P.SENTENCES, F.when(cv < P.SENTENCE_CV, F.array(_finding("S002", F.lit(0), F.lit(0), said))).otherwise(none)).otherwise(none)
 
 
-def triads(text: Column, mask: Column) -> Column:
+def triad_spans(text: Column, mask: Column) -> Column:
+    found = S.span_array(text, "(?U)" + P.TRIAD, F.contains(text, F.lit(", and ")))
+    return F.filter(found, lambda s: ~S.overlaps(mask, s["start"], s["end"]))
+
+
+def triads(found: Column) -> Column:
     """S003: lists of three, if there are three or more."""
-    found = F.filter(S.span_array(text, "(?U)" + P.TRIAD, F.contains(text, F.lit(", and "))), lambda s: ~S.overlaps(mask, s["start"], s["end"]))
     return F.when(F.size(found) >= P.TRIADS, F.transform(found, lambda s: _finding("S003", s["start"], s["end"], S.excerpt(s["hit"])))).otherwise(F.array().cast(FINDINGS))
 
 
@@ -190,9 +197,9 @@ def with_findings(df: DataFrame, engine: Engine | None = None, text_col: str = "
         r = F.element_at(rules, s["rule"] + 1)
         return F.struct(r["rule_id"].alias("rule_id"), r["rule_name"].alias("rule_name"), s["start"].alias("start"), s["end"].alias("end"), S.excerpt(s["hit"]).alias("excerpt"), r["weight"].alias("weight"), r["rationale"].alias("rationale"), r["fixable"].alias("fixable"))
 
-    staged = with_mask(df, text_col).withColumns({"__lowered": F.translate(text, S.UPPER, S.LOWER), "__tokens": tokens(text)})
-    staged = staged.withColumns({"__spans": F.concat(literal_findings(text, mask, engine), regex_findings(text, mask, engine, F.col("__lowered"))), "__stats": sentence_stats(F.col("__tokens")), "__bullets": uniform_bullets(text, mask), "__triads": triads(text, mask), WORDS_COL: prose_words(text, mask, F.col("__tokens"))})
-    found = F.concat(F.transform("__spans", full), F.col("__bullets"), uniform_sentences(F.col("__stats")), F.col("__triads")).cast(FINDINGS)
+    staged = with_mask(df, text_col).withColumns({"__lowered": F.lower(text), "__tokens": tokens(text)})
+    staged = staged.withColumns({"__spans": F.concat(literal_findings(text, mask, engine), regex_findings(text, mask, engine, F.col("__lowered"))), "__stats": sentence_stats(F.col("__tokens")), "__bullets": possible_bullets(text, mask), "__triads": triad_spans(text, mask), WORDS_COL: prose_words(text, mask, F.col("__tokens"))})
+    found = F.concat(F.transform("__spans", full), uniform_bullets(F.col("__bullets")), uniform_sentences(F.col("__stats")), triads(F.col("__triads"))).cast(FINDINGS)
     ranked = F.transform(found, lambda f, i: F.struct(f["start"].alias("a"), f["end"].alias("b"), i.alias("i"), f.alias("f")))
     ordered = F.transform(F.array_sort(ranked), lambda x: x["f"])
     return staged.withColumn("findings", F.coalesce(ordered, F.array().cast(FINDINGS))).drop("__spans", "__stats", "__bullets", "__triads", "__lowered", "__tokens")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .lint_queries import QUERIES as LINT
 from .lint_queries import lint_report as flagship
+from .source_queries import QUERIES as SOURCES
 
-ENTRIES = LINT
+ENTRIES = LINT | SOURCES
 
 __all__ = ["ENTRIES", "flagship"]

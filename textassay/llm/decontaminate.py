@@ -171,17 +171,18 @@ class Shard:
         for a, run in zip(begins.tolist(), self.runs, strict=True):
             seq[a : a + len(run)] = run
         index = FMIndex(seq, len(self.phrases.vocabulary) + 2)
-        places, lengths, items = [], [], []
-        for size, (patterns, owners) in self.phrases.by_length.items():
+        rows, lengths, windows, owners = [], [], [], []
+        for size, (patterns, own) in self.phrases.by_length.items():
             low, high = index.search(patterns)
-            for w in np.flatnonzero(high > low).tolist():
-                at = index.locate(np.arange(low[w], high[w]))
-                places.append(at)
-                lengths.append(np.full(len(at), size))
-                items += [owners[w]] * len(at)
-        if not places:
+            counts = high - low
+            # The rows of all ranges, one range after another: all are located together.
+            rows.append(np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
+            windows.append(np.repeat(np.arange(len(own)), counts) + len(owners))
+            lengths.append(np.full(counts.sum(), size))
+            owners += own
+        place, length, window = index.locate(np.concatenate(rows)), np.concatenate(lengths), np.concatenate(windows)
+        if not len(place):
             return {}
-        place, length = np.concatenate(places), np.concatenate(lengths)
         run = np.searchsorted(begins, place, "right") - 1
         first = place - begins[run] + np.array(self.starts)[run]
         doc = np.array(self.docs)[run]
@@ -193,7 +194,7 @@ class Shard:
                 spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
             else:
                 spans.append((a, b))
-            found.update(items[k].tolist())
+            found.update(owners[window[k]].tolist())
         return out
 
 

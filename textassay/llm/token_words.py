@@ -13,9 +13,8 @@ import re
 
 import numpy as np
 
-#: Words that a worker remembers (as they stand, and in plain form), and the longest; beyond, it starts anew.
+#: Words that a worker remembers, and the longest of them; beyond, it starts anew.
 REMEMBERED = 1_000_000
-REMEMBERED_PLAIN = 700_000
 LONGEST = 48
 TOGETHER = 256
 
@@ -40,7 +39,6 @@ class WordTokens:
             for piece, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = piece.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def _is_word_wise(spec: dict) -> bool:
@@ -55,19 +53,25 @@ class WordTokens:
 
     def _learn(self, missing: set[bytes]) -> None:
         """Enter the ids of words; plain ones by their lower-case letters and the marks behind them."""
-        plain, odd, parts = [], [], set()
+        words, composed, odd = self.words, [], []
+        letters: dict[bytes, bytes] = {}  # to encode, and the words that stand for themselves
         for w in missing:
             core = w.rstrip(MARKS)
-            letters = core.lower() if core.isalpha() else None
-            if letters is None and LETTERS.fullmatch(text := core.decode()):
-                letters = text.lower().encode()
-            if letters is None or len(w) > LONGEST:
+            if len(w) > LONGEST:
                 odd.append(w)
+            elif core.isalpha():
+                low = core.lower()
+                letters[low] = low
+                if low is not w and low != w:
+                    composed.append((w, low, w[len(core) :]))
+            elif core and LETTERS.fullmatch(text := core.decode()):
+                low = text.lower().encode()
+                letters[low] = low
+                if low != w:
+                    composed.append((w, low, w[len(core) :]))
             else:
-                plain.append((w, letters, w[len(core) :]))
-                parts.add(letters)
-                parts.add(w[len(core) :])
-        new = [p for p in parts if p not in self.plain]
+                odd.append(w)
+        new = [p for p in letters if p not in words]
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -75,13 +79,15 @@ class WordTokens:
             if len(cuts) == len(some):
                 raw, low = ids.tobytes(), 0
                 for p, high in zip(some, (cuts * 4).tolist(), strict=True):
-                    self.plain[p] = raw[low:high]
+                    words[p] = raw[low:high]
                     low = high
             else:
-                self.plain.update(zip(some, self._encode(some), strict=True))
-        for w, letters, marks in plain:
-            self.words[w] = self.plain[letters] + self.plain[marks]
-        self.words.update(zip(odd, self._encode(odd), strict=True))
+                words.update(zip(some, self._encode(some), strict=True))
+        marks = {m for _, _, m in composed}.difference(words)
+        words.update(zip(marks, self._encode(list(marks)), strict=True))
+        for w, low, m in composed:
+            words[w] = words[low] + words[m]
+        words.update(zip(odd, self._encode(odd), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids, four little-endian bytes each."""
@@ -89,8 +95,6 @@ class WordTokens:
             return self._encode(texts)
         if len(self.words) > REMEMBERED:
             self.words = {}
-        if len(self.plain) > REMEMBERED_PLAIN:
-            self.plain = {b"": b""}
         # A-Z may be lowered at once, unless that would make the string of a special token.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         found = [list(map(self.words.get, words)) for words in split]

@@ -95,6 +95,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))
     counted = distinct.mapInArrow(count_partition(tokenizer), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+    if stored is not None:  # a store that this call didn't begin may hold a key twice
+        counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textassay.sources.readers import spread
+
 #: One suffix for each remainder of the id by 12; Spark and DuckDB read the same text.
 SUFFIX = """CASE doc_id % 12
  WHEN 1 THEN 'The team worked 2020 – 2024 — and it went well.'
@@ -36,7 +38,7 @@ SCORED_SQL = """SELECT doc_id, CASE WHEN lang = 'es' THEN 'unmatched' ELSE lang
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,8 @@ def word_features(ws: Column) -> Column:
 
 def pair_features(ws: Column) -> Column:
     """Adjacent words, across sentences and lines."""
-    firsts = F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0)))
-    seconds = F.when(F.size(ws) > 1, F.slice(ws, 2, F.size(ws))).otherwise(F.array().cast("array<string>"))
-    return F.zip_with(firsts, seconds, lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
+    n = F.size(ws)
+    return F.zip_with(F.slice(ws, 1, F.greatest(n - 1, F.lit(0))), F.slice(ws, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
 
 
 def mark_features(text: Column) -> Column:

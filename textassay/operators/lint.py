@@ -22,9 +22,9 @@ FINDINGS = "array<struct<rule_id:string,rule_name:string,start:int,end:int,excer
 BANDS = ("clean", "seasoned", "heavy")
 
 
-def _mask_bytes(text: str | None) -> list[dict]:
-    spans = exact.mask_spans(text or "")
-    place = exact.byte_offsets(text or "")
+def _mask_bytes(text: str) -> list[dict]:
+    spans = exact.mask_spans(text)
+    place = exact.byte_offsets(text)
     at = (lambda k: k) if place is None else place.__getitem__
     return [{"start": at(a), "end": at(b)} for a, b in spans]
 
@@ -33,7 +33,7 @@ def mask_udf():
     @F.pandas_udf(S.INTERVALS)
     def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
-            yield some.map(_mask_bytes)
+            yield some.map(_mask_bytes, na_action="ignore")
 
     return masked
 
@@ -41,12 +41,10 @@ def mask_udf():
 def with_mask(df: DataFrame, text_col: str = "text", mask_col: str = "mask") -> DataFrame:
     """``df`` with the masked regions of each text (byte intervals, sorted and disjoint).
 
-    Texts without a cue have none and stay out of Python.
+    Texts without a cue have none; only the others are sent to Python.
     """
-    cue = F.coalesce(F.regexp_like(F.col(text_col), F.lit(P.MASK_CUE)), F.lit(False))
-    plain = df.filter(~cue).withColumn(mask_col, F.array().cast(S.INTERVALS))
-    marked = df.filter(cue).withColumn(mask_col, mask_udf()(F.col(text_col)))
-    return plain.unionByName(marked)
+    cue = F.regexp_like(F.col(text_col), F.lit(P.MASK_CUE))
+    return df.withColumn(mask_col, F.coalesce(mask_udf()(F.when(cue, F.col(text_col))), F.array().cast(S.INTERVALS)))
 
 
 # --- findings of rules
@@ -86,11 +84,13 @@ def regex_findings(text: Column, mask: Column, engine: Engine, lowered: Column |
     lowered = F.lower(text) if lowered is None else lowered
 
     def of(k: int, pattern: str) -> Column:
-        fits = lambda s: ~S.overlaps(mask, s["start"], s["end"]) & _unguarded(text, s, F.lit(k), engine)
-        named = lambda s: F.struct(s["start"], s["end"], F.lit(k).alias("rule"), s["hit"])
-        return F.transform(F.filter(S.span_array(text, "(?U)" + pattern, S.cue_for(text, lowered, pattern)), fits), named)
+        named = lambda s: F.struct(s["start"], s["end"], s["at"], s["hit"], F.lit(k).alias("rule"))
+        return F.transform(S.span_array(text, "(?U)" + pattern, S.cue_for(text, lowered, pattern)), named)
 
-    return F.concat(F.array().cast("array<struct<start:int,end:int,rule:int,hit:string>>"), *[of(k, pattern) for k, pattern in engine.regexes])
+    found = F.concat(F.array().cast("array<struct<start:int,end:int,at:int,hit:string,rule:int>>"), *[of(k, pattern) for k, pattern in engine.regexes])
+    guards = any(engine.rules[k].unless_preceded_by for k, _ in engine.regexes)
+    fits = F.filter(found, lambda s: ~S.overlaps(mask, s["start"], s["end"]) & (_unguarded(text, s, s["rule"], engine) if guards else F.lit(True)))
+    return F.transform(fits, lambda s: F.struct(s["start"], s["end"], s["rule"], s["hit"]))
 
 
 # --- findings of whole documents
@@ -227,7 +227,8 @@ def band_rank(band: Column) -> Column:
 def findings(df: DataFrame, engine: Engine | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per finding: the id and the finding's fields."""
     found = with_findings(df.select(id_col, text_col), engine, text_col)
-    return found.select(id_col, F.explode("findings").alias("f")).select(id_col, "f.*")
+    # Outer: for an inner explode the optimizer tests the array first, and works it out twice for that.
+    return found.select(id_col, F.explode_outer("findings").alias("f")).filter("f IS NOT NULL").select(id_col, "f.*")
 
 
 def reports(df: DataFrame, engine: Engine | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

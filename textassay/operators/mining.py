@@ -47,7 +47,8 @@ def feature_counts(df: DataFrame, family_col: str = "family", text_col: str = "t
     """
     bags = with_features(df.select(F.col(family_col).alias("family"), text_col), text_col)
     one = lambda y, n: lambda f: F.struct(f.alias("feature"), F.lit(y).alias("y"), F.lit(n).alias("df"))
-    rows = bags.select("family", F.inline(F.concat(F.transform("features", one(1, 0)), F.transform(F.array_distinct("features"), one(0, 1)))))
+    # Outer: for an inner generator the optimizer tests the array first, and works it out twice for that.
+    rows = bags.select("family", F.inline_outer(F.concat(F.transform("features", one(1, 0)), F.transform(F.array_distinct("features"), one(0, 1))))).filter("feature IS NOT NULL")
     return rows.groupBy("family", "feature").agg(F.sum("y").alias("y"), F.sum("df").alias("df"))
 
 
@@ -111,7 +112,7 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def vectors(df: DataFrame, features: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, feature, v``: (1 + ln c) idf of the features in the catalog, each text of length one."""
-    bags = with_features(df.select(F.col(id_col).alias("id"), text_col), text_col).select("id", F.explode("features").alias("feature"))
+    bags = with_features(df.select(F.col(id_col).alias("id"), text_col), text_col).select("id", F.explode_outer("features").alias("feature"))
     counted = bags.join(bounded_broadcast(features.select("feature", "idf")), "feature").groupBy("id", "feature").agg(F.count(F.lit(1)).alias("c"), F.first("idf").alias("idf"))
     raw = counted.select("id", "feature", ((F.lit(1.0) + F.log(F.col("c").cast("double"))) * F.col("idf")).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))

@@ -38,7 +38,7 @@ BAG_SQL = f"""
 def counted(spark: SparkSession, sf_dir: str, column, words: bool = False) -> DataFrame:
     """How often each feature of one kind stands in each text."""
     rows = documents(spark, sf_dir).select("doc_id", (X.words(F.col("text")) if words else F.col("text")).alias("x"))
-    return rows.select("doc_id", F.explode(column(F.col("x"))).alias("feature")).groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("doc_id", F.explode_outer(column(F.col("x"))).alias("feature")).filter("feature IS NOT NULL").groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tok_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,13 @@ def mine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mine_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    counts = mining.feature_counts(rows)
+    counts = mining.feature_counts(rows).persist()
     scored_rows = mining.scored_features(counts, mining.family_totals(counts, rows))
     return mining.nominated(scored_rows, TOP_K).select("family", "rank", "feature", "y", F.round("z", 6).alias("z"))
 
 
 def mined(spark: SparkSession, sf_dir: str) -> Catalog:
-    return mining.mine(corpus(spark, sf_dir), TOP_K)
+    return mining.mine(corpus(spark, sf_dir), TOP_K).persist()
 
 
 def weighed(catalog: Catalog) -> Catalog:

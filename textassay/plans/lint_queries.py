@@ -186,11 +186,11 @@ SEGMENTS_SQL = f"""
 def mask_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and spans of the merged intervals: which of 0, 10, .. 100 are covered, and which tens overlap."""
     rows = intervals(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(10))))
-    return rows.select("doc_id", "p", S.covers(F.col("mask"), F.col("p")).alias("covered"), S.overlaps(F.col("mask"), F.col("p"), F.col("p") + 10).alias("overlaps"))
+    return rows.select("doc_id", "p", S.covers(F.col("mask"), F.col("p")).alias("covered"), S.overlaps(F.col("mask"), F.col("p"), F.col("p") + 10).alias("overlapping"))
 
 
 MASK_HITS_SQL = f"""
-    SELECT d.doc_id, p.p::INT AS p, coalesce(bool_or(p.p >= s AND p.p < e), false) AS covered, coalesce(bool_or(p.p < e AND p.p + 10 > s), false) AS overlaps
+    SELECT d.doc_id, p.p::INT AS p, coalesce(bool_or(p.p >= s AND p.p < e), false) AS covered, coalesce(bool_or(p.p < e AND p.p + 10 > s), false) AS overlapping
     FROM documents d, range(0, 101, 10) p(p) JOIN ({MERGED_SQL}) m ON m.doc_id = d.doc_id GROUP BY d.doc_id, p.p"""
 
 

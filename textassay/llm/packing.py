@@ -47,7 +47,16 @@ def cut_documents(tokenizer: str, end_id: int, capacity: int) -> Callable:
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each length its bin and its place in it; bins are numbered from 0."""
+    """For each length its bin and its place in it; bins are numbered from 0.
+
+    The rule may open a sequence while a document still fits another; whether that
+    pays depends on the lengths.  Both ways are tried, the one with fewer is taken.
+    """
+    return min((placed(lengths, capacity, free) for free in (False, True)), key=lambda found: int(found[0].max(initial=-1)))
+
+
+def placed(lengths: np.ndarray, capacity: int, free: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sum_of_squares``; ``free``: a new sequence counts among the choices even where others fit."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     counts = np.zeros(capacity + 1, np.int64)  # open bins by gap; full ones don't count
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -62,7 +71,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[0] = 1 - 2 * own[0]  # filled: its gap goes and none comes
             change[own == 0] = np.iinfo(np.int64).max
             best = int(change.argmin())
-            if own[best] and change[best] <= new:
+            if own[best] and (change[best] <= new or not free):
                 gap = size + best
         if gap == capacity:
             b, n = n, n + 1

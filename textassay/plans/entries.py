@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .lint_queries import QUERIES as LINT
-from .lint_queries import lint_report as flagship
 from .source_queries import QUERIES as SOURCES
 
 ENTRIES = LINT | SOURCES
+#: Reports of every document.
+flagship = ENTRIES["lint_report_whole"][0]
 
 __all__ = ["ENTRIES", "flagship"]

@@ -30,6 +30,8 @@ SUFFIX = """CASE doc_id % 12
 SEEDED_SQL = f"SELECT doc_id, CASE WHEN doc_id % 24 = 11 THEN '' ELSE text || ' ' END || {SUFFIX} AS text FROM documents"
 #: Seeded documents without masked regions.
 PLAIN_SQL = f"SELECT * FROM ({SEEDED_SQL}) WHERE doc_id % 12 NOT IN (8, 9)"
+#: Every document with its own text and its suffix.
+WHOLE_SQL = f"SELECT doc_id, text || ' ' || {SUFFIX} AS text FROM documents"
 CORPUS_SQL = "SELECT doc_id, CASE WHEN lang = 'es' THEN 'unmatched' ELSE lang END AS family, CAST(doc_id % 50 AS VARCHAR) AS prompt_id, text FROM documents"
 SCORED_SQL = """SELECT doc_id, CASE WHEN lang = 'es' THEN 'unmatched' ELSE lang END AS truth,
  CASE WHEN doc_id % 5 = 0 THEN CASE (doc_id * 7) % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'unmatched' END
@@ -50,6 +52,11 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, sf_dir).filter(~(F.col("doc_id") % 12).isin(8, 9))
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, none left out or emptied."""
+    return documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), F.expr(SUFFIX)).alias("text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(F.col("lang") == "es", "unmatched").otherwise(F.col("lang"))
     return documents(spark, sf_dir).select("doc_id", family.alias("family"), (F.col("doc_id") % 50).cast("string").alias("prompt_id"), "text")

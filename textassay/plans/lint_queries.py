@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from textassay.operators import fix as fixing
 from textassay.operators import lint
 from textassay.sources.packs import Engine, Pack, Rule, base_pack, literal_regex, merge_rules, rules_frame
 
-from .fixtures import PLAIN_SQL, SEEDED_SQL, documents, plain, seeded
+from .fixtures import PLAIN_SQL, SEEDED_SQL, WHOLE_SQL, documents, plain, seeded, whole
 
 ENGINE = Engine.compile([base_pack()])
 LITERALS = list(ENGINE.literals)
@@ -109,44 +111,44 @@ REPORT_SQL = f"""
           FROM ({PLAIN_SQL}) d LEFT JOIN ({FINDINGS_SQL(PLAIN_SQL)}) f ON d.doc_id = f.doc_id GROUP BY d.doc_id)"""
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lint.findings(plain(spark, sf_dir), ENGINE)
+def found(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    rows = lint.findings(texts(spark, sf_dir), ENGINE)
     return rows.select("doc_id", "rule_id", F.col("start").alias("start_b"), F.col("end").alias("end_b"), "excerpt", F.round("weight", 4).alias("weight"))
 
 
-def lint_regexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lint_regexes(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
     ids = F.array(*[F.lit(r.id) for r in ENGINE.rules])
-    rows = plain(spark, sf_dir).select("doc_id", F.explode(lint.regex_findings(F.col("text"), F.array().cast(S.INTERVALS), ENGINE)).alias("s"))
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(lint.regex_findings(F.col("text"), F.array().cast(S.INTERVALS), ENGINE)).alias("s"))
     return rows.select("doc_id", F.get(ids, F.col("s.rule")).alias("rule_id"), F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"))
 
 
-def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lint.reports(plain(spark, sf_dir), ENGINE)
+def lint_report(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    rows = lint.reports(texts(spark, sf_dir), ENGINE)
     return rows.select("doc_id", "n_findings", "words", F.round("total_weight", 4).alias("total_weight"), F.round("score", 4).alias("score"), "band")
 
 
-def lint_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.rule_rollup(lint.findings(plain(spark, sf_dir), ENGINE)).select("rule_id", "n", F.round("weight", 4).alias("weight"))
+def lint_rollup(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return lint.rule_rollup(lint.findings(texts(spark, sf_dir), ENGINE)).select("rule_id", "n", F.round("weight", 4).alias("weight"))
 
 
-def lint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.gate(lint.reports(plain(spark, sf_dir), ENGINE), "seasoned")
+def lint_gate(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return lint.gate(lint.reports(texts(spark, sf_dir), ENGINE), "seasoned")
 
 
-def s001(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s001(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
     found = lint.bullets(F.col("text"), F.array().cast(S.INTERVALS))
-    rows = plain(spark, sf_dir).select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.*")
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.*")
     return rows.groupBy("doc_id", "opener").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_b"))
 
 
-def s002(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = plain(spark, sf_dir).select("doc_id", lint.tokens(F.col("text")).alias("t")).select("doc_id", lint.sentence_stats(F.col("t")).alias("s"))
+def s002(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    stats = texts(spark, sf_dir).select("doc_id", lint.tokens(F.col("text")).alias("t")).select("doc_id", lint.sentence_stats(F.col("t")).alias("s"))
     return stats.filter("s.n > 0").select("doc_id", F.col("s.n").cast("double").alias("n"), F.round(lint.sentence_cv(F.col("s")), 6).alias("cv"))
 
 
-def s003(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s003(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
     none = F.array().cast(S.INTERVALS)
-    rows = plain(spark, sf_dir).select("doc_id", lint.triad_spans(F.col("text"), none).alias("t")).select("doc_id", F.explode(lint.triads(F.col("t"))).alias("f"))
+    rows = texts(spark, sf_dir).select("doc_id", lint.triad_spans(F.col("text"), none).alias("t")).select("doc_id", F.explode(lint.triads(F.col("t"))).alias("f"))
     return rows.select("doc_id", F.col("f.start").alias("start_b"), F.col("f.end").alias("end_b"), F.col("f.excerpt").alias("excerpt"))
 
 
@@ -298,28 +300,28 @@ def digest(rows: DataFrame, col) -> DataFrame:
     return rows.select("doc_id", F.md5(col).alias("fixed_md5"))
 
 
-def fix_dashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(plain(spark, sf_dir), R.spaced_en_dashes(R.em_dashes(R.number_ranges(F.col("text")))))
+def fix_dashes(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(texts(spark, sf_dir), R.spaced_en_dashes(R.em_dashes(R.number_ranges(F.col("text")))))
 
 
-def fix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(plain(spark, sf_dir), R.pack_replacements(F.col("text"), ENGINE))
+def fix_phrases(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(texts(spark, sf_dir), R.pack_replacements(F.col("text"), ENGINE))
 
 
-def fix_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(plain(spark, sf_dir), R.word_swaps(F.col("text"), ENGINE))
+def fix_swaps(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(texts(spark, sf_dir), R.word_swaps(F.col("text"), ENGINE))
 
 
-def fix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(plain(spark, sf_dir), R.cleanup(F.col("text")))
+def fix_cleanup(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(texts(spark, sf_dir), R.cleanup(F.col("text")))
 
 
-def fix_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(plain(spark, sf_dir), R.sentence_capitals(F.col("text")))
+def fix_capitals(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(texts(spark, sf_dir), R.sentence_capitals(F.col("text")))
 
 
-def fix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(fixing.fix(plain(spark, sf_dir), ENGINE), F.col("fixed"))
+def fix_full(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
+    return digest(fixing.fix(texts(spark, sf_dir), ENGINE), F.col("fixed"))
 
 
 def replace_sql(text: str, pattern: str, new: str) -> str:
@@ -374,7 +376,7 @@ def full_sql() -> str:
 
 
 def fix_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixing.guarantee(plain(spark, sf_dir), ENGINE)
+    rows = fixing.guarantee(whole(spark, sf_dir), ENGINE)
     return rows.select("doc_id", (F.col("after") <= F.col("before") + 1e-9).alias("not_heavier"), F.col("fixable_left"))
 
 
@@ -442,3 +444,21 @@ QUERIES = {
     "fix_exact": (fix_exact, None),
     "mask_spans_exact": (mask_exact, None),
 }
+
+#: The same on every document. Those with masks have no SQL; tests hold them against the per-text path.
+QUERIES |= {
+    "lint_regex_spans_whole": (partial(lint_regexes, texts=whole), f"SELECT doc_id, rule_id, start_b, end_b FROM ({REGEX_FINDINGS_SQL(WHOLE_SQL)})"),
+    "lint_findings_whole": (partial(found, texts=whole), None),
+    "lint_report_whole": (partial(lint_report, texts=whole), None),
+    "lint_rule_rollup_whole": (partial(lint_rollup, texts=whole), None),
+    "lint_band_gate_whole": (partial(lint_gate, texts=whole), None),
+    "s001_bullets_whole": (partial(s001, texts=whole), f"SELECT doc_id, opener, count(*) AS n, min(start_b) AS first_b FROM ({BULLETS_SQL(WHOLE_SQL)}) GROUP BY doc_id, opener"),
+    "s002_sentence_cv_whole": (partial(s002, texts=whole), f"SELECT doc_id, n, round(cv, 6) AS cv FROM ({SENTENCES_SQL(WHOLE_SQL)})"),
+    "s003_triads_whole": (partial(s003, texts=whole), f"SELECT doc_id, start_b, end_b, excerpt FROM ({S003_SQL(WHOLE_SQL)})"),
+    "fix_ranges_dashes_whole": (partial(fix_dashes, texts=whole), md5_of(dashes_sql("text"), WHOLE_SQL)),
+    "fix_phrases_whole": (partial(fix_phrases, texts=whole), md5_of(phrases_sql("text"), WHOLE_SQL)),
+    "fix_word_swaps_whole": (partial(fix_swaps, texts=whole), md5_of("text", swaps_sql(WHOLE_SQL))),
+    "fix_cleanup_whole": (partial(fix_cleanup, texts=whole), md5_of(cleanup_sql("text"), WHOLE_SQL)),
+    "fix_capitals_whole": (partial(fix_capitals, texts=whole), md5_of("text", capitals_sql(WHOLE_SQL))),
+    "fix_full_whole": (partial(fix_full, texts=whole), None),
+}

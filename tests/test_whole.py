@@ -1,6 +1,7 @@
 """Queries see every document, and all of it."""
 
 import hashlib
+import re
 from collections import Counter
 
 import __spark_entry__
@@ -8,7 +9,7 @@ import __spark_entry__
 from textassay.functions import exact
 from textassay.plans.entries import ENTRIES
 from textassay.plans.fixtures import whole
-from textassay.plans.lint_queries import ENGINE
+from textassay.plans.lint_queries import ENGINE, intervals
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,14 @@ def test_whole_texts_equal_the_per_text_path(spark):
     assert {r.rule_id: r.n for r in got("lint_rule_rollup_whole")} == Counter(f[1] for f in found)
     assert got("lint_band_gate_whole")[0].worst == max((r[4] for r in linted.values()), key=("clean", "seasoned", "heavy").index)
     assert {(r.doc_id, r.fixed_md5) for r in got("fix_full_whole")} == {(i, hashlib.md5(exact.fix_text(t, ENGINE).encode()).hexdigest()) for i, t in texts.items()}
+
+
+def test_prose_words_count_to_the_end(spark):
+    got = {r.doc_id: r.words for r in ENTRIES["prose_words_whole"][0](spark, SF).collect()}
+    masks = {r.doc_id: r.mask for r in intervals(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        text = re.sub(r"[^\x00-\x7f]", "x", r.text)
+        text += (" pad" * 50)[: max(0, 200 - len(text))]
+        pieces = exact.prose_spans(len(text), [(m.start, m.end) for m in masks[r.doc_id]])
+        assert got[r.doc_id] == sum(len(exact.white_split(text[a:b])) for a, b in pieces), r.doc_id
+    assert sum(got.values()) > 10 * sum(r.words for r in ENTRIES["prose_words"][0](spark, SF).collect())

@@ -209,6 +209,21 @@ PROSE_WORDS_SQL = f"""
     JOIN (SELECT doc_id, s, CASE WHEN e = 110 THEN 200 ELSE e END AS e FROM ({SEGMENTS_SQL})) USING (doc_id) GROUP BY doc_id"""
 
 
+def prose_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside the merged intervals, of whole ASCII texts; those too short to hold them are padded."""
+    base = F.regexp_replace(F.col("text"), r"[^\x00-\x7f]", "x")
+    held = F.when(F.length(base) < 200, F.rpad(base, 200, " pad")).otherwise(base)
+    rows = documents(spark, sf_dir).select("doc_id", held.alias("text")).join(intervals(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", lint.prose_words(F.col("text"), F.col("mask")).alias("words"))
+
+
+PROSE_WORDS_WHOLE_SQL = f"""
+    SELECT doc_id, sum(len(list_filter(string_split_regex(substr(text, (s + 1)::INT, (CASE WHEN e = 110 THEN length(text) ELSE e END - s)::INT), '\\s+'), lambda x: x <> '')))::BIGINT AS words
+    FROM (SELECT doc_id, rpad(base || repeat(' pad', 50), greatest(length(base), 200)::INT, ' ') AS text
+          FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS base FROM documents)) t
+    JOIN ({SEGMENTS_SQL}) USING (doc_id) GROUP BY doc_id"""
+
+
 def mask_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     hits = F.regexp_extract_all("html", F.lit(P.HTML_TAG), F.lit(0))
@@ -461,4 +476,5 @@ QUERIES |= {
     "fix_cleanup_whole": (partial(fix_cleanup, texts=whole), md5_of(cleanup_sql("text"), WHOLE_SQL)),
     "fix_capitals_whole": (partial(fix_capitals, texts=whole), md5_of("text", capitals_sql(WHOLE_SQL))),
     "fix_full_whole": (partial(fix_full, texts=whole), None),
+    "prose_words_whole": (prose_words_whole, PROSE_WORDS_WHOLE_SQL),
 }

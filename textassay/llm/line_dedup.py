@@ -6,7 +6,8 @@ Only fingerprints that occur at several places go on: around those the windows
 that hold them are hashed, joined to the first place where they stand, and
 united, which extends a match both ways as far as it goes.  The later places of
 a repeated run are deleted.  A line of ``long_words`` words or more is a run by
-itself.
+itself.  Where ``passage_words`` is given, shorter runs with so many words in
+all are runs too; these are counted by their hashes before any of them travels.
 
 Native columns only.  A line travels as a hash; groups are reduced to their
 first place before the join, so a run that a third of the corpus shares costs a
@@ -22,6 +23,7 @@ from .common import materialise, text_or_empty
 
 WINDOW = 4
 LONG_WORDS = 50
+PASSAGE_WORDS = 50
 
 
 def text_lines(text: Column) -> Column:
@@ -35,21 +37,31 @@ def _selected(hashes: Column, window: int) -> Column:
     return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: -minimum(i)))).otherwise(F.array().cast("array<int>"))
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> DataFrame:
-    """``id, key, hashes, long`` for each distinct (id, text): the hash of every line, and the long ones' positions."""
+def _passages(hashes: Column, counts: Column, size: int, least: int) -> Column:
+    """``start, size, run`` of the runs of ``size`` lines that have ``least`` words in all."""
+    total = lambda i: sum((F.get(counts, i + k) for k in range(1, size)), F.get(counts, i))
+    run = lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("run"))
+    last = F.size(hashes) - size
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: total(i) >= least)
+    return F.when(last >= 0, F.transform(starts, run)).otherwise(F.array().cast("array<struct<start:int,size:int,run:bigint>>"))
+
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, long_words: int, counted: bool = False) -> DataFrame:
+    """``id, key, hashes, long`` for each distinct (id, text): the hash of every line, and the long ones' positions; ``counted``: ``counts`` too, of words, none in an empty line."""
     text = text_or_empty(text_col)
     lines = text_lines(text)
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.sha2(text, 256).alias("sha"),
+        F.unhex(F.sha2(text, 256)).alias("sha"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
         F.filter(F.transform(lines, lambda x, i: F.when(words(x) >= long_words, i)), lambda i: i.isNotNull()).alias("long"),
+        *([F.transform(lines, lambda x: F.when(x == "", 0).otherwise(words(x))).alias("counts")] if counted else []),
     )
-    return rows.groupBy("id", "sha").agg(F.first("hashes").alias("hashes"), F.first("long").alias("long"))
+    return rows.groupBy("id", "sha").agg(*[F.first(c).alias(c) for c in rows.columns[2:]])
 
 
-def repeated_places(lines: DataFrame, window: int) -> DataFrame:
+def repeated_places(lines: DataFrame, window: int, passage_words: int | None = None) -> DataFrame:
     """``id, sha, start, size``: runs at a place that is not their first; order is by id (null last), sha, position."""
     order = lambda at: F.struct(F.col("id").isNull().alias("last"), "id", "sha", F.col(at).alias("at"))
     spots = lines.select("id", "sha", F.posexplode(_selected(F.col("hashes"), window)).alias("k", "at"), F.col("hashes")).withColumn("fp", F.get("hashes", F.col("at")))
@@ -61,35 +73,42 @@ def repeated_places(lines: DataFrame, window: int) -> DataFrame:
     windows = windows.select("id", "sha", (F.col("from") + F.col("step")).alias("start"), "run", F.lit(window).alias("size"))
     single = lines.select("id", "sha", "hashes", F.explode("long").alias("start")).select("id", "sha", "start", F.get("hashes", F.col("start")).alias("run"), F.lit(1).alias("size"))
     runs = windows.unionByName(single)
+    if passage_words is not None:
+        found = F.concat(*[_passages(F.col("hashes"), F.col("counts"), size, passage_words) for size in range(2, window)])
+        passages = lines.select("id", "sha", F.explode(found).alias("p")).select("id", "sha", "p.*")
+        again = passages.groupBy("run", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "size")
+        runs = runs.unionByName(passages.join(again, ["run", "size"], "left_semi"))
     first = runs.groupBy("run", "size").agg(F.min(order("start")).alias("first"), F.max(order("start")).alias("final")).filter("first != final").select("run", "size", "first")
     return runs.join(first, ["run", "size"]).filter(order("start") != F.col("first")).select("id", "sha", "start", "size")
 
 
-def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, passage_words: int | None = None) -> DataFrame:
     """``id, sha, deleted``: for each (id, text) with deleted lines their positions."""
-    lines = materialise(hashed_lines(docs, id_col, text_col, long_words), "lines")
-    places = repeated_places(lines, window)
+    lines = materialise(hashed_lines(docs, id_col, text_col, long_words, passage_words is not None), "lines")
+    places = repeated_places(lines, window, passage_words)
     starts = places.groupBy("id", "sha").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     positions = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1))))
     return starts.select("id", "sha", positions.alias("deleted"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, passage_words: int | None = None) -> DataFrame:
     """Each document without the lines of runs that stand earlier in the corpus.
 
     Returns ``doc_id, text, n_lines, n_deleted``, one row per row of ``docs``.  A
     line goes if it is in a run of ``window`` lines, or is a line of
     ``long_words`` words, that also stands at an earlier place: in a row with a
     smaller id (null ids come last; of equal ids, the smaller SHA-256 of the text
-    is earlier) or further up in the same text.  Rows alike in id and text count
+    is earlier) or further up in the same text.  With ``passage_words``, lines of
+    a run of two lines to ``window`` - 1 that has so many words in all go likewise.
+    Rows alike in id and text count
     as one document and come out alike.  A null text counts as one empty line and
     stays null.  Other columns are ignored, whatever their names; an empty table
     gives an empty result.
     """
     text = text_or_empty(text_col)
     # Lines are split below the join, so that what picks from them doesn't split again.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).isNull().alias("none"), text_lines(text).alias("lines"), F.sha2(text, 256).alias("sha"))
-    deleted = deleted_lines(docs, id_col, text_col, window, long_words)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).isNull().alias("none"), text_lines(text).alias("lines"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    deleted = deleted_lines(docs, id_col, text_col, window, long_words, passage_words)
     joined = rows.join(deleted.withColumnRenamed("sha", "__sha"), (F.col("sha") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("deleted", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")

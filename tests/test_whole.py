@@ -7,6 +7,7 @@ from collections import Counter
 import __spark_entry__
 
 from textassay.functions import exact
+from textassay.operators import lint
 from textassay.plans.entries import ENTRIES
 from textassay.plans.fixtures import whole
 from textassay.plans.lint_queries import ENGINE, intervals
@@ -46,3 +47,21 @@ def test_prose_words_count_to_the_end(spark):
         pieces = exact.prose_spans(len(text), [(m.start, m.end) for m in masks[r.doc_id]])
         assert got[r.doc_id] == sum(len(exact.white_split(text[a:b])) for a, b in pieces), r.doc_id
     assert sum(got.values()) > 10 * sum(r.words for r in ENTRIES["prose_words"][0](spark, SF).collect())
+
+
+def test_no_text_is_emptied(spark):
+    own = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    texts = {r.doc_id: r.text for r in whole(spark, SF).collect()}
+    assert texts.keys() == own.keys() and all(texts[i].startswith(own[i] + " ") for i in own)
+    words = {i: exact.lint_text(t, ENGINE)[1] for i, t in texts.items()}
+    for name in ("lint_masked", "lint_exact"):
+        assert {r.doc_id: r.words for r in ENTRIES[name][0](spark, SF).collect()} == words, name
+    fixed = {r.doc_id: r.fixed for r in ENTRIES["fix_exact"][0](spark, SF).collect()}
+    assert fixed == {i: exact.fix_text(t, ENGINE) for i, t in texts.items()}
+
+
+def test_uniform_sentences_by_both_paths(spark):
+    even = "One two three four. Five six seven eight. " * 4 + "One two three four."
+    rows = spark.createDataFrame([(1, even), (2, even.replace("Five six", "Five " * 12 + "six", 2))], "doc_id long, text string")
+    assert [(r.doc_id, r.rule_id) for r in lint.findings(rows, ENGINE).collect()] == [(1, "S002")]
+    assert [f["rule_id"] for f in exact.lint_text(even, ENGINE)[0]] == ["S002"]

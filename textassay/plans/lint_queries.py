@@ -51,15 +51,15 @@ GUARD_SQL = f"NOT (rule_id = 'T016' AND lower(regexp_extract(substr(text, 1, at_
 EXCERPT_SQL = "CASE WHEN length(hit) <= 60 THEN hit ELSE substr(hit, 1, 57) || '...' END"
 
 
-def literal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = seeded(spark, sf_dir).select("doc_id", F.explode(S.span_array(F.col("text"), literal_regex(LITERALS))).alias("s"))
+def literal_spans(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
+    found = texts(spark, sf_dir).select("doc_id", F.explode(S.span_array(F.col("text"), literal_regex(LITERALS))).alias("s"))
     return found.select("doc_id", F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"), F.col("s.at").alias("at_c"), F.col("s.hit").alias("hit"))
 
 
-def lint_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lint_literals(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
     found = lint.literal_findings(F.col("text"), F.array().cast(S.INTERVALS), ENGINE)
     ids = F.array(*[F.lit(r.id) for r in ENGINE.rules])
-    rows = seeded(spark, sf_dir).select("doc_id", F.explode(found).alias("s"))
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(found).alias("s"))
     return rows.select("doc_id", F.get(ids, F.col("s.rule")).alias("rule_id"), F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"))
 
 
@@ -236,16 +236,16 @@ def mask_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.octet_length(left).alias("bytes_left"), F.md5(left).alias("left_md5"))
 
 
-def mask_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_inline(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
     left = F.regexp_replace(F.regexp_replace("text", P.INLINE_CODE, "<c>"), P.URL, "<u>")
-    return seeded(spark, sf_dir).select("doc_id", F.md5(left).alias("left_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(left).alias("left_md5"))
 
 
-def fence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fence_lines(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
     """Lines inside fences, by a running count of fence lines."""
     from pyspark.sql import Window
 
-    rows = seeded(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
+    rows = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
     mark = F.startswith(F.regexp_replace("x", "^" + P.PY_SPACE + "+", ""), F.lit("```")).cast("int")
     seen = F.sum(mark).over(Window.partitionBy("doc_id").orderBy("line"))
     return rows.select("doc_id", "line", mark.alias("mark"), seen.alias("seen")).filter("seen % 2 = 1 OR mark = 1").select("doc_id", F.col("line").cast("long").alias("line"))
@@ -399,23 +399,23 @@ def fix_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.reports(seeded(spark, sf_dir), ENGINE)
+    return lint.reports(whole(spark, sf_dir), ENGINE)
 
 
 def lint_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.lint_exact(seeded(spark, sf_dir), ENGINE)
+    return lint.lint_exact(whole(spark, sf_dir), ENGINE)
 
 
 def lint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.json_reports(seeded(spark, sf_dir), ENGINE)
+    return lint.json_reports(whole(spark, sf_dir), ENGINE)
 
 
 def fix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixing.fix_exact(seeded(spark, sf_dir), ENGINE).select("doc_id", "fixed")
+    return fixing.fix_exact(whole(spark, sf_dir), ENGINE).select("doc_id", "fixed")
 
 
 def mask_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lint.with_mask(seeded(spark, sf_dir)).select("doc_id", F.explode("mask").alias("m"))
+    rows = lint.with_mask(whole(spark, sf_dir)).select("doc_id", F.explode("mask").alias("m"))
     return rows.select("doc_id", F.col("m.start").alias("start_b"), F.col("m.end").alias("end_b"))
 
 
@@ -462,6 +462,10 @@ QUERIES = {
 
 #: The same on every document. Those with masks have no SQL; tests hold them against the per-text path.
 QUERIES |= {
+    "lint_literal_spans_whole": (partial(literal_spans, texts=whole), f"SELECT doc_id, start_b, end_b, at_c, hit FROM ({spans_sql(WHOLE_SQL, literal_regex(LITERALS))})"),
+    "lint_guarded_whole": (partial(lint_literals, texts=whole), f"SELECT doc_id, rule_id, start_b, end_b FROM ({LITERAL_FINDINGS_SQL(WHOLE_SQL)})"),
+    "mask_inline_whole": (partial(mask_inline, texts=whole), f"SELECT doc_id, md5({replace_sql(replace_sql('text', P.INLINE_CODE, '<c>'), P.URL, '<u>')}) AS left_md5 FROM ({WHOLE_SQL})"),
+    "mask_fences_whole": (partial(fence_lines, texts=whole), FENCE_SQL.replace(SEEDED_SQL, WHOLE_SQL)),
     "lint_regex_spans_whole": (partial(lint_regexes, texts=whole), f"SELECT doc_id, rule_id, start_b, end_b FROM ({REGEX_FINDINGS_SQL(WHOLE_SQL)})"),
     "lint_findings_whole": (partial(found, texts=whole), None),
     "lint_report_whole": (partial(lint_report, texts=whole), None),

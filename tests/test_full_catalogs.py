@@ -1,0 +1,38 @@
+"""Queries of catalogs and training at the operators' defaults."""
+
+import inspect
+
+import pytest
+
+from textassay.operators import evaluation, training
+from textassay.plans import source_queries
+from textassay.plans.entries import ENTRIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_full_catalogs_have_the_default_size(spark):
+    default = inspect.signature(training.fit).parameters["top_k"].default
+    assert source_queries.FULL_TOP_K == default
+    for name in source_queries.MINED_NAMES:
+        query, sql = ENTRIES[f"{name}_full_catalog"]
+        assert query.keywords == {"top_k": default} and f"rank <= {default})" in sql and f"rank <= {source_queries.TOP_K})" not in sql
+    small, full = (ENTRIES[n][0](spark, SF).count() for n in ("mine_vocab", "mine_vocab_full_catalog"))
+    assert full > small
+
+
+@pytest.mark.parametrize("name, module, operator", [("fit_lbfgs", training, "fit"), ("fit_replay", training, "fit"), ("evaluate_full", evaluation, "evaluate")])
+def test_registered_training_keeps_the_defaults(monkeypatch, name, module, operator):
+    said = {}
+
+    class Done:
+        weights = None
+
+        def __getitem__(self, key):
+            return None
+
+    own = inspect.signature(getattr(module, operator))
+    monkeypatch.setattr(module, operator, lambda *a, **k: said.update(own.bind(*a, **k).arguments) or Done())
+    monkeypatch.setattr(source_queries, "corpus", lambda spark, sf_dir: None)
+    ENTRIES[name][0](None, SF)
+    assert said.keys() <= {"df", "trainer"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from textassay.operators.mining import Catalog
 from .fixtures import CORPUS_SQL, SCORED_SQL, corpus, documents, scored
 
 TOP_K = 100
+#: The operators' default, of the ``*_full_catalog`` queries.
+FULL_TOP_K = 2000
 
 # --- tokens
 
@@ -105,15 +109,15 @@ def mine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.family_totals(mining.feature_counts(rows), rows)
 
 
-def mine_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mine_logodds(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
     rows = corpus(spark, sf_dir)
     counts = mining.feature_counts(rows).persist()
     scored_rows = mining.scored_features(counts, mining.family_totals(counts, rows))
-    return mining.nominated(scored_rows, TOP_K).select("family", "rank", "feature", "y", F.round("z", 6).alias("z"))
+    return mining.nominated(scored_rows, top_k).select("family", "rank", "feature", "y", F.round("z", 6).alias("z"))
 
 
-def mined(spark: SparkSession, sf_dir: str) -> Catalog:
-    return mining.mine(corpus(spark, sf_dir), TOP_K).persist()
+def mined(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> Catalog:
+    return mining.mine(corpus(spark, sf_dir), top_k).persist()
 
 
 def weighed(catalog: Catalog) -> Catalog:
@@ -122,20 +126,20 @@ def weighed(catalog: Catalog) -> Catalog:
     return Catalog(catalog.features, weights, catalog.families).persist()
 
 
-def mine_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.with_index(mined(spark, sf_dir)).select("feature", F.col("idx").cast("long").alias("idx"))
+def mine_vocabulary(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    return mining.with_index(mined(spark, sf_dir, top_k)).select("feature", F.col("idx").cast("long").alias("idx"))
 
 
-def mine_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mined(spark, sf_dir).features.select("feature", F.round("idf", 6).alias("idf"), F.round("base", 6).alias("base"))
+def mine_features(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    return mined(spark, sf_dir, top_k).features.select("feature", F.round("idf", 6).alias("idf"), F.round("base", 6).alias("base"))
 
 
-def mine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mined(spark, sf_dir).weights.select("feature", "family", F.round("rate", 6).alias("rate"))
+def mine_rates(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    return mined(spark, sf_dir, top_k).weights.select("feature", "family", F.round("rate", 6).alias("rate"))
 
 
-def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mining.vectors(corpus(spark, sf_dir), mined(spark, sf_dir).features)
+def tfidf(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows = mining.vectors(corpus(spark, sf_dir), mined(spark, sf_dir, top_k).features)
     return rows.select(F.col("id").alias("doc_id"), "feature", F.round("v", 6).alias("v"))
 
 
@@ -159,31 +163,31 @@ POSTERIORS = f"""
     called AS (SELECT *, CASE WHEN matched >= 40 AND confidence >= 0.3 AND top <> 'unmatched' THEN top END AS call FROM decided)"""
 
 
-def who_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))
+def who_scores(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows = attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))
     return rows.select(F.col("id").alias("doc_id"), "family", F.round("score", 6).alias("score"), "matched")
 
 
-def who_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir))))
+def who_posterior(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows = attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k))))
     return rows.select(F.col("id").alias("doc_id"), "family", F.round("probability", 6).alias("probability"), F.col("rank").cast("long").alias("rank"))
 
 
-def who_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution.decisions(attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))))
+def who_call(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows = attribution.decisions(attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))))
     return rows.select(F.col("id").alias("doc_id"), "top", "runner", F.round("confidence", 5).alias("confidence"), "matched", "call")
 
 
-def who_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, catalog = corpus(spark, sf_dir), weighed(mined(spark, sf_dir))
+def who_receipts(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows, catalog = corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k))
     vecs = mining.vectors(rows, catalog.features).persist()
     decided = attribution.decisions(attribution.posteriors(attribution.scores(rows, catalog, vecs=vecs)))
     found = attribution.receipts(decided, vecs, catalog)
     return found.select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", 6).alias("contribution"), F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"))
 
 
-def who_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution.who(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))
+def who_full(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    rows = attribution.who(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))
     return attribution.closest(rows).select("doc_id", F.size("ranked").alias("families"), F.get("closest", 0)["family"].alias("closest"), "call", F.array_join("catalog", ",").alias("catalog"))
 
 
@@ -275,8 +279,8 @@ REPLICATION_SQL = """
     FROM first a JOIN first b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'"""
 
 
-def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.atlas_row(mined(spark, sf_dir), "w:the").select("feature", "family", F.round("rate", 6).alias("rate"))
+def atlas(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    return corpora.atlas_row(mined(spark, sf_dir, top_k), "w:the").select("feature", "family", F.round("rate", 6).alias("rate"))
 
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,20 +320,16 @@ PENDING_SQL = """
 # --- training, rows only
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir)
-
-
 def fit_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.fit(_small(spark, sf_dir), 50).weights
+    return training.fit(corpus(spark, sf_dir)).weights
 
 
 def fit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.fit(_small(spark, sf_dir), 50, 2, trainer="replay").weights
+    return training.fit(corpus(spark, sf_dir), trainer="replay").weights
 
 
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.evaluate(_small(spark, sf_dir), top_k=50)["sweep"]
+    return evaluation.evaluate(corpus(spark, sf_dir))["sweep"]
 
 
 WITH = lambda ctes, select: f"WITH {ctes} {select}"
@@ -382,3 +382,7 @@ QUERIES = {
     "fit_replay": (fit_replay, None),
     "evaluate_full": (evaluate, None),
 }
+
+#: The same over catalogs of the operators' default size.
+MINED_NAMES = ("mine_logodds_topk", "mine_vocab", "mine_features", "mine_catalog_rates", "tfidf_vectors", "atlas_row", "who_scores", "who_posterior", "who_call", "who_receipts", "who_full")
+QUERIES |= {f"{n}_full_catalog": (partial(QUERIES[n][0], top_k=FULL_TOP_K), QUERIES[n][1].replace(f"rank <= {TOP_K})", f"rank <= {FULL_TOP_K})")) for n in MINED_NAMES}

@@ -162,14 +162,22 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def keep_partition(model, text_at: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(model.value, batch.column(text_at).to_pylist())
+            texts = batch.column(text_at).to_pylist()
+            if not model.value.languages:
+                yield batch.filter(pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_()))
+                continue
+            langs, scores = predict(model.value, texts)
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return run
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least``, with all columns."""
+    """The rows of ``docs`` whose language is recognised with a score of ``least``, with all columns.
+
+    With a ``least`` of 0 the model rejects nothing: texts without a letter go,
+    all others stay.  So it is too if there is nothing to learn from.
+    """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, id_col, text_col, lang_col, SAMPLE_ROWS, SAMPLE_CHARS)))
     return docs.mapInArrow(keep_partition(model, docs.columns.index(text_col), least), docs.schema)

@@ -12,6 +12,9 @@ WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+#: Without an end tag these take the rest of the page; of other raw elements the tag alone is skipped.
+TEXT_ONLY = frozenset("script style textarea title".split())
+FOREIGN = frozenset({"svg"})
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("html body li dt dd td th tr tbody thead tfoot caption legend".split()) | {"hr"}
 #: Elements that end an open one of the same sort, and what bounds the search.
@@ -107,8 +110,10 @@ def parse(source: str) -> Page:
         if name in RAW:
             parts.append(" ")
             page.inner[node] += 1
+            if name in FOREIGN and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if name in TEXT_ONLY else at
         elif name in BLOCK:
             if name in ("html", "body"):
                 if words := attribute_words(m[3]):

@@ -9,14 +9,17 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textassay.llm import decontaminate as dc
 from textassay.llm import exact_dedup as ed
 from textassay.llm import packing as pk
 from textassay.llm import simhash_dedup as sd
+from textassay.llm.common import materialise, salted_join
 
 DOCS = "doc_id long, text string, lang string, sha string, root long, n_chars long"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +78,51 @@ def test_patricia_trie():
     assert dict(trie.pop_all()) == seen and trie.bytes == 0
 
 
+def test_tries_hold_many_texts_and_spill_by_subtree():
+    trie = ed.Patricia()
+    keys = [b"shared prefix " + bytes([97 + k % 3]) + str(k).encode() + b"z" * (k % 40) for k in range(900)] + [b"", b"shared prefix ", b"other"]
+    for key in keys:
+        trie.terminal(key)[1] = [key]
+    assert trie.bytes < sum(map(len, keys)) + 2 * len(keys) * ed.NODE_BYTES and set(trie.root[0]) == set(b"so")
+    whole, gone = trie.bytes, dict(trie.spill(trie.bytes // 2))
+    assert whole // 4 < trie.bytes <= whole // 2 and all(key == t[0] for key, t in gone.items())
+    heads = {key[14:15] for key in gone}
+    rest = dict(trie.pop_all())
+    assert len(heads) == 2 and not any(key[14:15] in heads for key in rest)  # whole subtrees, the other stays
+    assert sorted([*gone, *rest]) == sorted(keys) and trie.bytes == 0
+    chain = ed.Patricia()
+    for k in range(300):
+        chain.terminal(b"a" * k)[1] = [k]
+    spilled = list(chain.spill(chain.bytes // 3))
+    assert spilled and {t[0] for _, t in [*spilled, *chain.pop_all()]} == set(range(300))
+
+
+def test_same_length_and_hash_are_told_apart():
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("n", "h", "text", "owner", "rows", "owner_rows"), r, strict=True)) for r in rows])
+    out = [r for b in ed.own_partition(True, 1)(iter([batch((2, 7, b"ab", 1, 1, 1), (2, 7, b"cd", 2, 1, 1)), batch((2, 7, b"ab", 5, 2, 1), (3, 1, b"abc", 4, 1, 1))])) for r in b.to_pylist()]
+    sha = lambda t: hashlib.sha256(t).hexdigest()
+    assert sorted((r["sha"], r["owner"], r["rows"]) for r in out) == sorted([(sha(b"ab"), 5, 3), (sha(b"cd"), 2, 1), (sha(b"abc"), 4, 1)])
+
+
+def test_columns_with_the_operators_own_names(spark):
+    names = ["__sha", "__owner", "__sha_of", "__id_of", "n", "__kept_id", "__kept_sha", "fp", "i", "t"]
+    rows = [(1, "one text"), (2, "one text"), (3, "another"), (3, "another"), (None, None)]
+    docs = spark.createDataFrame([(i, t, *("mine" for _ in names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for kept in (ed.drop_exact_duplicates(docs), sd.drop_near_duplicates(docs)):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert len(found) == 3 and all(r[n] == "mine" for r in found for n in names)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    rows = spark.range(4000).select((F.col("id") % 3000).alias("k0"), F.col("id")).select(F.when(F.col("k0") < 1500, 7).otherwise(F.col("k0")).alias("k"), "id")
+    counted = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")), "counted")
+    for least in (1, 100, 10_000):
+        got = salted_join(rows, counted, ["k"], "n", ["id"], least=least)
+        want = rows.join(counted.drop("n"), "k")
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert ed.exact_duplicates(none).collect() == [] and ed.drop_exact_duplicates(none).collect() == []

@@ -47,7 +47,10 @@ def test_token_counts_and_their_store(spark, tmp_path):
     spark.read.parquet(store).limit(3).write.mode("append").parquet(store + "-twice")
     spark.read.parquet(store).write.mode("append").parquet(store + "-twice")
     assert rows_of(token_counts.token_counts(frame(spark, EDGE), PIECES, store + "-twice")) == sorted(map(repr, want))
+    joined = token_counts.token_counts(frame(spark, [*more, (10, "one more text")]), PIECES, store, small_misses=0)
+    assert joined.count() == len(more) + 1 and spark.read.parquet(store).count() == first + 2
     assert token_counts.token_counts(frame(spark, []), PIECES).collect() == []
+    assert token_counts.token_counts(frame(spark, []), PIECES, store).collect() == []
 
 
 # --- URLs

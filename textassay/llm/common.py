@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,13 +30,16 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    local session, as in tests) a temporary folder is made and set.
+    Only a local session may leave it unset (as in tests): a temporary folder is
+    made and set then.  On a cluster that would be each machine's own disk, so it
+    is refused there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="textassay-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,16 +53,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+    """``df`` written to the shared folder: its path, and the table read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: what is read later does not depend on executors that
     may be lost, and values given out by position (row numbers) are fixed.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)[1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+#: A key is hot if it has more than one in so many of all rows; so at most as many keys are hot, and these are broadcast.
+HOT_KEYS = 10_000
+#: Rows of one key that a task takes at any size of the table.
+COLD_ROWS = 1_000
+
+
+def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, spread: list, how: str = "inner", least: int = COLD_ROWS) -> DataFrame:
+    """``rows`` joined to ``counted`` on ``keys``, where no key's rows are one task's.
+
+    ``counted`` is a stored table with each key once and, in column ``n``, how many
+    rows of ``rows`` have it.  A key that has more than its share is dealt over
+    several tasks by a hash of the columns ``spread`` (names or columns; they only
+    decide where a row goes), and its row of ``counted`` is
+    repeated for them.  ``n`` is not part of the result.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    share = max(total // HOT_KEYS, least)
+    counted = counted.withColumn("__salts", F.ceil(F.col(n) / share).cast("int")).drop(n)
+    hot = counted.filter("__salts > 1").select(*keys, "__salts")
+    if hot.isEmpty():
+        return rows.join(counted.drop("__salts"), keys, how)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    repeated = counted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def text_or_empty(col: str) -> Column:

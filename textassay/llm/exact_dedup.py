@@ -1,17 +1,18 @@
 """Exact duplicates by Patricia tries that own whole byte strings.
 
-Every text is entered as ``length | content hash | bytes`` into a compressed
-radix trie.  A first trie in each input partition folds the copies that
-partition holds, so that a text that fills a third of the corpus crosses the
-network once per task.  What is left is dealt out by length and hash, sorted by
-them, and entered into the tries of those partitions.  A terminal node keeps
-the identifier that stays and the number of rows.  Memory is bounded: while
-folding, the largest subtree is spilled as rows to the shuffle when the trie
-outgrows ``TRIE_BYTES`` (copies of it that come later meet it again behind the
-shuffle); in the sorted partitions a subtree is complete as soon as the scan
-has passed its length and hash, and leaves memory then.
-
-Hash collisions are harmless: the trie compares whole texts.
+Texts are dealt to partitions by their length and content hash, and there the
+full byte strings are inserted into a compressed radix trie.  A terminal node
+keeps the identifier that stays and the number of rows.
+
+A first trie in each input partition folds the copies that the partition holds,
+so that a text that fills a third of the corpus crosses the network once per
+task.  When it outgrows ``TRIE_BYTES``, whole subtrees, the largest first, are
+spilled as rows to the shuffle; copies of their texts that come later meet them
+behind it.  The partitions are read in the order of length and hash, so that a
+trie knows which of its texts are complete: when it outgrows its bound, subtrees
+of these leave as results.  So a trie holds as many texts as the bound allows,
+and texts are told apart by the trie alone: two that share length and hash are
+still two terminals.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pylists, text_or_empty
+from .common import bounded_batches, free_name, pylists, text_or_empty
 
-#: Bytes of keys that one trie may hold before it spills.
-TRIE_BYTES = 48 << 20
-HEAD = 16
+#: Bytes that one trie may hold, its nodes counted, before subtrees are spilled.
+TRIE_BYTES = 64 << 20
+#: What a node takes beside its label: two lists, a dictionary, a tuple.
+NODE_BYTES = 400
 
 
 class Patricia:
@@ -49,7 +51,7 @@ class Patricia:
             if edge is None:
                 leaf: list = [{}, None]
                 node[0][key[at]] = (key[at:], leaf)
-                self.bytes += end - at
+                self.bytes += end - at + NODE_BYTES
                 return leaf
             label, child = edge
             if key.startswith(label, at):
@@ -58,31 +60,66 @@ class Patricia:
             same = shared_length(label, key, at)
             middle: list = [{label[same]: (label[same:], child)}, None]
             node[0][key[at]] = (label[:same], middle)
+            self.bytes += NODE_BYTES
             node, at = middle, at + same
         return node
 
-    def pop(self, branch: int) -> Iterator[tuple[bytes, list]]:
-        """Remove the subtree under a first byte; its keys with their terminals, in order."""
-        label, node = self.root[0].pop(branch)
-        yield from self._walk(label, node)
+    def spill(self, most: int) -> Iterator[tuple[bytes, list]]:
+        """Remove subtrees below a fork, the largest first, to come down to ``most`` bytes; their keys with terminals.
+
+        The fork is the first below which no subtree alone is more than what must go.
+        """
+        sizes = subtree_bytes(self.root)
+        labels, node = [], self.root
+        while node[0]:
+            order = sorted(node[0], key=lambda first: -sizes[id(node[0][first][1])])
+            label, child = node[0][order[0]]
+            if child[0] and sizes[id(child)] > self.bytes - most:
+                labels.append(label)
+                node = child
+                continue
+            for first in order:
+                if self.bytes <= most:
+                    break
+                label, child = node[0].pop(first)
+                yield from self._walk(b"".join(labels) + label, label, child)
+            return
 
     def pop_all(self) -> Iterator[tuple[bytes, list]]:
-        for branch in sorted(self.root[0]):
-            yield from self.pop(branch)
+        """Remove everything; keys with their terminals, in order."""
         if self.root[1] is not None:
             yield b"", self.root[1]
-            self.root[1] = None
-
-    def _walk(self, label: bytes, node: list) -> Iterator[tuple[bytes, list]]:
-        stack = [(label, label, node)]
+        children = self.root[0]
+        self.root = [{}, None]
+        for first in sorted(children):
+            label, node = children.pop(first)
+            yield from self._walk(label, label, node)
+
+    def _walk(self, prefix: bytes, label: bytes, node: list) -> Iterator[tuple[bytes, list]]:
+        stack = [(prefix, label, node)]
         while stack:
             prefix, own, node = stack.pop()
-            self.bytes -= len(own)
+            self.bytes -= len(own) + NODE_BYTES
             if node[1] is not None:
                 yield prefix, node[1]
             stack += [(prefix + e[0], e[0], e[1]) for _, e in sorted(node[0].items(), reverse=True)]
 
 
+def subtree_bytes(root: list) -> dict[int, int]:
+    """Bytes of every node's subtree, with the label that leads to it, by the node's id()."""
+    found, order = {id(root): 0}, []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for label, child in node[0].values():
+            found[id(child)] = len(label) + NODE_BYTES
+            order.append((id(child), id(node)))
+            stack.append(child)
+    for child, parent in reversed(order):  # below first
+        found[parent] += found[child]
+    return found
+
+
 def shared_length(label: bytes, key: bytes, at: int) -> int:
     """How many leading bytes of ``label`` stand in ``key`` from ``at``; halving."""
     low, high = 0, min(len(label), len(key) - at)
@@ -107,74 +144,69 @@ def join_owners(old: list | None, owner: int | None, rows: int, owner_rows: int,
     return old
 
 
-def _key(n: int, h: int, text: bytes) -> bytes:
-    return n.to_bytes(8, "big") + (h & (1 << 64) - 1).to_bytes(8, "big") + text
-
-
 FOLDED = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("text", pa.binary()), ("owner", pa.int64()), ("rows", pa.int64()), ("owner_rows", pa.int64())])
 OWNED = pa.schema([("sha", pa.string()), ("owner", pa.int64()), ("rows", pa.int64())])
 
 
-def _signed(head: bytes) -> int:
-    return int.from_bytes(head, "big", signed=True)
-
-
-def _folded(found: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
-    for key, (owner, n, owner_n) in found:
-        rows.append((_signed(key[:8]), _signed(key[8:HEAD]), key[HEAD:], owner, n, owner_n))
-        size += len(key)
-        if size > 4 << 20 or len(rows) >= 4000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), FOLDED, strict=True)], schema=FOLDED)
-            rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), FOLDED, strict=True)], schema=FOLDED)
+def _batches(rows: Iterator[tuple], sizes: Callable[[tuple], int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sizes(row)
+        if size > 4 << 20 or len(held) >= 4000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def fold_partition(larger: bool, limit: int) -> Callable:
+    """Copies within an input partition folded; a terminal also keeps its text's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Lengths' leading bytes are alike, so tries are kept by the hash's first byte: a subtree each.
-        tries: dict[int, Patricia] = {}
-        held = 0
-        for ids, texts, ns, hs in pylists(batches):
-            for i, text, n, h in zip(ids, texts, ns, hs, strict=True):
-                trie = tries.setdefault(h & 255, Patricia())
-                before = trie.bytes
-                node = trie.terminal(_key(n, h, text))
-                node[1] = join_owners(node[1], i, 1, 1, larger)
-                held += trie.bytes - before
-            while held > limit:
-                largest = max(tries, key=lambda k: tries[k].bytes)
-                held -= tries[largest].bytes
-                yield from _folded(tries.pop(largest).pop_all())
-        for trie in tries.values():
-            yield from _folded(trie.pop_all())
+        trie = Patricia()
+
+        def folded() -> Iterator[tuple]:
+            for ids, texts, hs in pylists(batches):
+                for i, text, h in zip(ids, texts, hs, strict=True):
+                    node = trie.terminal(text)
+                    if node[1] is None:
+                        node[1] = [i, 1, 1, h]
+                    else:
+                        join_owners(node[1], i, 1, 1, larger)
+                    if trie.bytes > limit:
+                        yield from trie.spill(limit // 2)
+            yield from trie.pop_all()
+
+        rows = ((len(text), t[3], text, *t[:3]) for text, t in folded())
+        yield from _batches(rows, lambda row: row[0], FOLDED)
 
     return run
 
 
-def own_partition(larger: bool) -> Callable:
-    """Over rows sorted by length and hash: owners of each distinct text."""
+def own_partition(larger: bool, limit: int) -> Callable:
+    """Owners of each distinct text, over rows sorted by length and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, at = Patricia(), None
-        for ns, hs, texts, owners, rows, owner_rows in pylists(batches):
-            out = []
-            for n, h, text, owner, k, own_k in zip(ns, hs, texts, owners, rows, owner_rows, strict=True):
-                if (n, h) != at:  # the subtree of the length and hash before is complete
-                    out += trie.pop_all()
-                    at = (n, h)
-                node = trie.terminal(_key(n, h, text))
-                node[1] = join_owners(node[1], owner, k, own_k, larger)
-            yield _owned(out)
-        yield _owned(list(trie.pop_all()))
 
-    return run
+        def owned() -> Iterator[tuple]:
+            nonlocal at
+            for ns, hs, texts, owners, rows, owner_rows in pylists(batches):
+                for n, h, text, owner, k, own_k in zip(ns, hs, texts, owners, rows, owner_rows, strict=True):
+                    if (n, h) != at:
+                        if trie.bytes > limit:  # every text in the trie is complete here
+                            yield from trie.spill(limit // 2)
+                        at = (n, h)
+                    node = trie.terminal(text)
+                    node[1] = join_owners(node[1], owner, k, own_k, larger)
+            yield from trie.pop_all()
 
+        yield from _batches(((hashlib.sha256(text).hexdigest(), t[0], t[1]) for text, t in owned()), lambda row: 64, OWNED)
 
-def _owned(found: list[tuple[bytes, list]]) -> pa.RecordBatch:
-    cols = [[hashlib.sha256(key[HEAD:]).hexdigest() for key, _ in found], [t[0] for _, t in found], [t[1] for _, t in found]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OWNED, strict=True)], schema=OWNED)
+    return run
 
 
 def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -183,10 +215,10 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("keep is 'max' or 'min'")
     bounded_batches(docs.sparkSession)
     text = text_or_empty(text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("h"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("h"))
     folded = slim.mapInArrow(fold_partition(keep == "max", trie_bytes), "n long, h long, text binary, owner long, rows long, owner_rows long")
     dealt = folded.repartition("n", "h").sortWithinPartitions("n", "h")
-    return dealt.mapInArrow(own_partition(keep == "max"), "sha string, owner long, rows long")
+    return dealt.mapInArrow(own_partition(keep == "max", trie_bytes), "sha string, owner long, rows long")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -216,13 +248,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    As ``exact_duplicates``; of rows alike in id and text any one stays.
+    As ``exact_duplicates``: null counts as empty, a row without an id stays only
+    where no row of its group has one, and of rows alike in id and text any one
+    stays.  All columns come back as they were, whatever their names; an empty
+    table stays empty.
     """
-    owners = text_owners(docs, id_col, text_col, keep).select(F.col("sha").alias("__sha"), F.col("owner").alias("__owner"))
-    marked = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256))
-    alike = marked.groupBy(F.col("__sha").alias("__s"), F.col(id_col).alias("__i")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__s", "__i")
-    kept = marked.join(owners, "__sha").filter(F.col(id_col).cast("long").eqNullSafe(F.col("__owner")))
-    many = (F.col("__sha") == F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i"))
+    sha, owner, sha_of, id_of = (free_name([*docs.columns, "n"], x) for x in ("__sha", "__owner", "__sha_of", "__id_of"))
+    owners = text_owners(docs, id_col, text_col, keep).select(F.col("sha").alias(sha), F.col("owner").alias(owner))
+    marked = docs.withColumn(sha, F.sha2(text_or_empty(text_col), 256))
+    alike = marked.groupBy(F.col(sha).alias(sha_of), F.col(id_col).alias(id_of)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(sha_of, id_of)
+    kept = marked.join(owners, sha).filter(F.col(id_col).cast("long").eqNullSafe(F.col(owner)))
+    many = (F.col(sha) == F.col(sha_of)) & F.col(id_col).eqNullSafe(F.col(id_of))
     once = kept.join(alike, many, "left_anti")
-    first = kept.join(alike, many, "left_semi").dropDuplicates(["__sha"])
+    first = kept.join(alike, many, "left_semi").dropDuplicates([sha])
     return once.select(docs.columns).unionByName(first.select(docs.columns))

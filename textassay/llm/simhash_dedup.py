@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, text_or_empty
+from .common import bounded_batches, free_name, materialise, salted_join, text_or_empty
 from .components import star_components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -270,20 +270,26 @@ def block_pair(bits: int) -> Callable:
     return run
 
 
+#: Fingerprints whose keys one task makes: 85 keys each.
+KEYED_ROWS = 20_000
+
+
 def fingerprint_links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` that connect all fingerprints (distinct, column fp) at most ``bits`` apart."""
     if not 0 <= bits <= 4:
         raise ValueError("the keys guarantee links of at most four bits")
     spark = prints.sparkSession
-    keyed = prints.select("fp").mapInArrow(key_partition, "key int, fp long")
+    # A fingerprint is small and its keys are many: the table's few files would make too few tasks.
+    dealt = prints.select("fp").repartition(max(1, -(-prints.count() // KEYED_ROWS)), "fp")
+    keyed = dealt.mapInArrow(key_partition, "key int, fp long")
     found = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_partition(bits, bucket), "a long, b long, key long, block long"), "links")
     links = found.filter("b IS NOT NULL").select("a", "b").distinct()
     large = found.filter("b IS NULL").select("key", "block", F.col("a").alias("fp"))
     if large.isEmpty():
         return links
-    last = large.groupBy("key").agg(F.max("block").alias("last"))
+    last = materialise(large.groupBy("key").agg(F.max("block").alias("last"), F.count(F.lit(1)).alias("n")), "large-buckets")
     # Block i meets every block from 0 to last: itself and the later ones as the first, the earlier ones as the second.
-    pairs = large.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+    pairs = salted_join(large, last, ["key"], "n", ["block", "fp"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
     return links.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(block_pair(bits), "a long, b long")).distinct()
 
 
@@ -298,11 +304,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their names; an empty table gives an empty result.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    rooted = rooted_prints(prints, bits)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    fate = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(fate, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    rooted = materialise(rooted_prints(prints, bits), "rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")), "components")
+    fate = materialise(salted_join(rooted.select("fp", "root", "n"), named, ["root"], "prints", ["fp"]).select("fp", "component_id", "n"), "fate")
+    placed = salted_join(rows, fate, ["fp"], "n", [F.monotonically_increasing_id()])
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def rooted_prints(prints: DataFrame, bits: int) -> DataFrame:
@@ -316,17 +323,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The row with the smallest id stays (rows without an id come last; of several
     with that id, the one whose text has the smallest SHA-256, and of rows alike
-    in both any one).
+    in both any one).  A null text counts as empty; texts without words are one
+    component.  All columns come back as they were, whatever their names; an
+    empty table stays empty.
     """
+    sha_name, kept_id, kept_sha = (free_name(docs.columns, x) for x in ("__sha", "__kept_id", "__kept_sha"))
     sha = F.sha2(text_or_empty(text_col), 256)
-    rows = materialise(fingerprints(docs.select(id_col, text_col, sha.alias("sha")), id_col, text_col, words, carry="sha"), "fingerprints")
+    rows = materialise(fingerprints(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), sha.alias("sha")), "i", "t", words, carry="sha"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("sha"))
     prints = materialise(rows.groupBy("fp").agg(F.min(order).alias("first")), "prints")
-    stay = materialise(rooted_prints(prints, bits).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha_kept")), "stay")
+    stay = materialise(rooted_prints(prints, bits).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(kept_id), F.col("first.sha").alias(kept_sha)), "stay")
     alike = rows.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    once = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha_kept"))
-    kept = docs.withColumn("__sha", sha).join(stay, once, "left_semi")
-    twice = materialise(alike.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha_kept")), "alike")
+    once = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(sha_name) == F.col(kept_sha))
+    kept = docs.withColumn(sha_name, sha).join(stay, once, "left_semi")
+    twice = materialise(alike.select(F.col("doc_id").alias(kept_id), F.col("sha").alias(kept_sha)), "alike")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    return kept.join(twice, once, "left_anti").select(docs.columns).unionByName(kept.join(twice, once, "left_semi").dropDuplicates([id_col, "__sha"]).select(docs.columns))
+    return kept.join(twice, once, "left_anti").select(docs.columns).unionByName(kept.join(twice, once, "left_semi").dropDuplicates([id_col, sha_name]).select(docs.columns))

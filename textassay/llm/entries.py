@@ -39,11 +39,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
 
 
-def op6_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), passage_words=line_dedup.PASSAGE_WORDS)
-    return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,7 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack": op4_pack,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
-    "op6_line_passages": op6_line_passages,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_html_extract": op9_html_extract,
@@ -110,42 +104,6 @@ def url_filter_sql() -> str:
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter_sql(),
     "op6_line_dedup": """
-        WITH docs AS (SELECT doc_id, text, sha256(coalesce(text, '')) AS sha FROM documents),
-        one AS (SELECT DISTINCT doc_id, sha, string_split(coalesce(text, ''), chr(10)) AS lines FROM docs),
-        line AS (SELECT doc_id, sha, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM one),
-        runs AS (
-            SELECT doc_id, sha, pos, 4 AS size,
-                   md5(line) || md5(lead(line, 1) OVER w) || md5(lead(line, 2) OVER w) || md5(lead(line, 3) OVER w) AS run
-            FROM line WINDOW w AS (PARTITION BY doc_id, sha ORDER BY pos)
-            UNION ALL
-            SELECT doc_id, sha, pos, 1, md5(line) FROM line
-            WHERE length(line) - length(replace(line, ' ', '')) + 1 >= 50),
-        ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY size, run ORDER BY doc_id NULLS LAST, sha, pos) AS nth
-            FROM runs WHERE run IS NOT NULL),
-        gone AS (
-            SELECT DISTINCT doc_id, sha, unnest(range(pos, pos + size)) AS pos FROM ranked WHERE nth > 1),
-        kept AS (
-            SELECT l.doc_id, l.sha, count(*) AS n_lines, count(g.pos) AS n_deleted,
-                   coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
-            FROM line l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.sha = g.sha AND l.pos = g.pos
-            GROUP BY l.doc_id, l.sha)
-        SELECT d.doc_id, k.n_lines, k.n_deleted, CASE WHEN d.text IS NOT NULL THEN sha256(k.text) END AS text_sha256
-        FROM docs d JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.sha = k.sha
-    """,
-    "op10_exact_dedup": """
-        SELECT doc_id,
-               max(doc_id) OVER g AS keep_id,
-               count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-        WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
-}
-
-#: The same with runs of two and three lines that have 50 words in all.
-ORACLE_SQL["op6_line_passages"] = """
         WITH docs AS (SELECT doc_id, text, sha256(coalesce(text, '')) AS sha FROM documents),
         one AS (SELECT DISTINCT doc_id, sha, string_split(coalesce(text, ''), chr(10)) AS lines FROM docs),
         line AS (
@@ -172,4 +130,14 @@ ORACLE_SQL["op6_line_passages"] = """
             GROUP BY l.doc_id, l.sha)
         SELECT d.doc_id, k.n_lines, k.n_deleted, CASE WHEN d.text IS NOT NULL THEN sha256(k.text) END AS text_sha256
         FROM docs d JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.sha = k.sha
-    """
+    """,
+    "op10_exact_dedup": """
+        SELECT doc_id,
+               max(doc_id) OVER g AS keep_id,
+               count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+        WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+}

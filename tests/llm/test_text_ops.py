@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from textassay.llm import boosted_trees, entries, html_extract, language_id, line_dedup, pii, token_counts, url_filter
 from textassay.llm.common import table
@@ -112,7 +113,7 @@ def test_languages(spark):
 
 def test_scores_equal_the_kernel():
     rows = [("a", "the cat sat"), ("a", "the hat"), ("b", "le chat noir"), ("b", "la mer noire")]
-    model = language_id.fit(rows)
+    model = language_id.fit([(lang, language_id.packed(t)) for lang, t in rows])
     grams = lambda t: language_id.presence([t])[0]
     kernel = lambda x, y: float(x @ y) / np.sqrt(x.sum() * y.sum())
     x = [grams(t) for _, t in rows]
@@ -122,7 +123,38 @@ def test_scores_equal_the_kernel():
     probe = grams("the cat noir")
     # All rows are landmarks: Nyström is exact, and ridge regression has its dual form.
     want = np.array([kernel(probe, b) for b in x]) @ np.linalg.solve(d @ K + language_id.RIDGE * np.eye(4), d @ Y)
-    assert np.allclose(model.scores(["the cat noir"])[0], want, atol=1e-4)
+    response, known = model.scores(["the cat noir"])
+    assert np.allclose(response[0], want, atol=1e-4)
+    in_a = np.maximum(x[0], x[1])
+    assert np.isclose(known[0][0], float(probe @ in_a) / probe.sum())
+
+
+def test_no_language_is_lost_to_length_or_nulls(spark):
+    french = [(k, "le chat noir et la mer noire " * 900 + str(k), "fr") for k in range(30)]
+    english = [(100 + k, f"the cat sat on the hat {k}", "en") for k in range(30)]
+    empty = [(1000 + k, None, "fr") for k in range(300)] + [(2000 + k, "12", "fr") for k in range(300)]
+    docs = spark.createDataFrame(french + english + empty, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.languages(docs, sample_rows=10).collect()}
+    assert all(found[i] == lang for i, _, lang in french + english) and found[1000] == found[2000] == "und"
+    one, two = (language_id.training_rows(d, "doc_id", "text", "lang", 10) for d in (docs, docs.repartition(7)))
+    assert one == two and [x for x, _ in one].count("fr") == [x for x, _ in one].count("en") == 10
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ 12", "_ 5 %", "٣"])
+def test_numbers_are_no_letters(spark, text):
+    rows = [(k, f"some words in a language {k}") for k in range(9)] + [(50, text)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.languages(frame(spark, rows, "xx")).collect()}
+    assert got[50] == ("und", 0.0) and got[0][0] == "xx"
+
+
+def test_other_scripts_are_not_recognised(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source", "n_chars", F.lit("clash").alias("digest"))
+    odd = frame(spark, [(-1, "这是一个中文文本，没有别的语言。"), (-2, "Это русский текст, который модель не знает."), (-3, "½ ² ①")])
+    kept = {r.doc_id for r in language_id.drop_unknown(docs.unionByName(odd)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    english = {r.doc_id for r in language_id.drop_unknown(docs, wanted=("en",)).select("doc_id").collect()}
+    truth = {r.doc_id for r in docs.filter("lang = 'en'").collect()}
+    assert len(english ^ truth) <= 0.02 * len(truth)
 
 
 # --- lines
@@ -300,7 +332,7 @@ def test_pipeline_stages(spark):
     # Brute force: recognised, then the largest id of equal texts, then the smallest of linked ones.
     last = {}
     for i, t in texts.items():
-        if t and re.search(r"[^\W\d_]", t):
+        if t and any(map(str.isalpha, t)):
             last[t] = max(i, last.get(t, i))
     prints = {i: slow_print(t) for t, i in last.items()}
     roots = slow_components(set(prints.values()))

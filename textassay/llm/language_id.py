@@ -7,9 +7,10 @@ one-versus-rest kernel ridge regression is fitted on them, and documents are
 scored many at a time by matrix products.
 
 The fit takes a bounded sample: of every language the ``SAMPLE_ROWS`` labelled
-texts that come first by a hash of their ids (texts of more than ``SAMPLE_CHARS``
-are passed over there), the first ``LANDMARKS`` of which are landmarks.  Scoring
-takes whole texts.  N-grams are hashed to ``BUCKETS`` features.
+texts with a letter that come first by a hash of id and text, the first
+``LANDMARKS`` of which are landmarks.  A sampled text travels as the bits of its
+n-grams, ``BUCKETS`` / 8 bytes however long it is; so no text is passed over, and
+fit and scoring both take whole texts.  N-grams are hashed to ``BUCKETS`` features.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty
@@ -28,15 +29,23 @@ from .common import bounded_batches, text_or_empty
 SPECTRUM = 3
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 200
-SAMPLE_CHARS = 20_000
+#: A language with fewer sampled texts than that knows too little to reject any.
+JUDGING_ROWS = 50
+#: Languages that a fit takes: the sample grows with them.
+MOST_LANGUAGES = 1000
 LANDMARKS = 48
 RIDGE = 1e-2
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 #: Documents in one matrix product.
 BLOCK = 64
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode's categories L; numbers like ½ or Ⅷ are none."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def ngram_buckets(text: str) -> list[np.ndarray]:
     """The buckets of all n-grams of a text, one array for each length; white space is one space."""
     points = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,29 +68,33 @@ def presence(texts: list[str]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``weights``: buckets x languages, landmarks and their coefficients multiplied out."""
+    """``weights``: buckets x languages, landmarks and their coefficients multiplied out; ``seen``: which grams each language's sample has; ``floor``: the least share of a sample's own n-grams that the rest of the sample has."""
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    seen: np.ndarray
+    floor: tuple[float, ...]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text and language the response, and the share of the text's n-grams that the language's sample has."""
         grams = presence(texts)
-        own = np.sqrt(np.maximum(grams.sum(axis=1), 1))
-        return (grams @ self.weights) / own[:, None]
+        own = np.maximum(grams.sum(axis=1), 1)[:, None]
+        return (grams @ self.weights) / np.sqrt(own), (grams @ self.seen) / own
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """From (language, text) rows, which come in a fixed order."""
+def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """From (language, bits of n-grams) rows, which come in a fixed order."""
     languages = tuple(sorted({lang for lang, _ in rows}))
     if not rows:
-        return Model((), np.zeros((BUCKETS, 0), np.float32))
-    by = {lang: [t for own, t in rows if own == lang] for lang in languages}
-    marks = presence([t for lang in languages for t in by[lang][:landmarks]])
+        return Model((), *[np.zeros((BUCKETS, 0), np.float32)] * 2, ())
+    by = {lang: [bits for own, bits in rows if own == lang] for lang in languages}
+    unpacked = lambda some: np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+    marks = unpacked([bits for lang in languages for bits in by[lang][:landmarks]])
     marks /= np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
-    texts = [t for lang in languages for t in by[lang]]
+    every = [bits for lang in languages for bits in by[lang]]
     kernel = []
-    for at in range(0, len(texts), BLOCK):
-        grams = presence(texts[at : at + BLOCK])
+    for at in range(0, len(every), BLOCK):
+        grams = unpacked(every[at : at + BLOCK])
         kernel.append((grams @ marks.T) / np.sqrt(np.maximum(grams.sum(axis=1, keepdims=True), 1)))
     among = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
@@ -92,57 +105,79 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     even = np.repeat([1 / len(by[lang]) for lang in languages], [len(by[lang]) for lang in languages])  # languages count alike
     weighted = features * even[:, None]
     coefficients = np.linalg.solve(weighted.T @ features + ridge * np.eye(features.shape[1]), weighted.T @ target)
-    return Model(languages, (marks.T @ (whiten @ coefficients)).astype(np.float32))
+    seen, floor = [], []
+    for lang in languages:
+        grams = unpacked(by[lang])
+        counts = grams.sum(axis=0)
+        seen.append((counts > 0).astype(np.float32))
+        floor.append(0.0 if len(grams) < JUDGING_ROWS else float(((grams @ (counts > 1)) / np.maximum(grams.sum(axis=1), 1)).min()))
+    return Model(languages, (marks.T @ (whiten @ coefficients)).astype(np.float32), np.stack(seen, axis=1), tuple(floor))
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> list[tuple[str, str]]:
-    """The bounded sample, sorted: the languages' first rows by a hash of the id, then by text."""
-    order = F.xxhash64(F.col(id_col))
-    known = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
-    # Ids alone decide how far into the hash each language must be read; texts come only from there.
-    counts = dict(docs.filter(known).groupBy(F.col(lang_col).cast("string")).count().collect())
-    if not counts:
+def packed(text: str) -> bytes:
+    """The n-grams of a text as ``BUCKETS`` bits."""
+    return np.packbits(presence([text])[0].astype(bool)).tobytes()
+
+
+def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = pa.array([packed(t) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), bits], names=["lang", "h", "bits"])
+
+
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> list[tuple[str, bytes]]:
+    """The bounded sample, sorted: each language's first ``rows`` texts by a hash, the same for any partitioning.
+
+    Texts that repeat with their id count once.  Every task ranks its own hashes
+    first, so what is shuffled is bounded too.
+    """
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col)
+    known = lang.isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & text.isNotNull() & text.rlike(r"\p{L}")
+    labelled = docs.filter(known).select(lang.alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    first = labelled.select("lang", "h").withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= rows).select("lang", "h").distinct()
+    chosen = first.limit(MOST_LANGUAGES * rows + 1).collect()
+    if len({r.lang for r in chosen}) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} a column of languages?")
+    if not chosen:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * rows / n))])
-    near = F.pmod(order, F.lit(1 << 20)) < F.element_at(share, F.col(lang_col).cast("string")) * (1 << 20)
-    chosen = docs.filter(known & near & F.col(text_col).isNotNull()).filter((F.length(text_col) <= chars) & F.col(text_col).rlike(r"\p{L}"))
-    some = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(order, F.lit(1 << 20)).alias("h"), F.col(text_col).alias("text"))
-    found: dict[str, list[tuple[int, str]]] = {}
-    for lang, h, text in some.limit(16 * rows * len(counts)).collect():
-        found.setdefault(lang, []).append((h, text))
-    return [(lang, text) for lang in sorted(found) for _, text in sorted(found[lang])[:rows]]
+    wanted = docs.sparkSession.createDataFrame([(r.lang, r.h) for r in chosen], "lang string, h long")
+    texts = labelled.join(F.broadcast(wanted), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = texts.mapInArrow(pack_partition, "lang string, h long, bits binary").collect()
+    return [(r.lang, bytes(r.bits)) for r in sorted(found, key=lambda r: (r.lang, r.h))]
 
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """A language and a score from 0 to 1 for each text: half of one plus the best response, clipped."""
-    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """For each text a language, a score from 0 to 1 (half of one plus the best response, clipped) and the share of known n-grams."""
+    langs, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    known = [k for k, t in enumerate(texts) if has_letter(t)] if model.languages else []
     for at in range(0, len(known), BLOCK):
         some = known[at : at + BLOCK]
-        found = model.scores([texts[k] for k in some])
+        found, share = model.scores([texts[k] for k in some])
         best = found.argmax(axis=1)
-        for k, b, s in zip(some, best.tolist(), found[np.arange(len(some)), best].tolist(), strict=True):
-            langs[k], scores[k] = model.languages[b], min(1.0, max(0.0, (1 + s) / 2))
-    return langs, scores
+        rows = np.arange(len(some))
+        for k, b, s, part in zip(some, best.tolist(), found[rows, best].tolist(), share[rows, best].tolist(), strict=True):
+            langs[k], scores[k], shares[k] = model.languages[b], min(1.0, max(0.0, (1 + s) / 2)), part
+    return langs, scores, shares
 
 
 def predict_partition(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(model.value, batch.column("text").to_pylist())
+            langs, scores, _ = predict(model.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=PREDICTED)
 
     return run
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs``.
 
     The model learns from rows with a language and an id outside the held-out
@@ -154,30 +189,42 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(fit(training_rows(docs, id_col, text_col, lang_col, sample_rows, sample_chars)))
+    model = spark.sparkContext.broadcast(fit(training_rows(docs, id_col, text_col, lang_col, sample_rows)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(predict_partition(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_partition(model, text_at: int, least: float) -> Callable:
+#: A text is in a language if at least so many of its distinct n-grams stand in that language's sample.
+LEAST_KNOWN = 0.5
+
+
+def keep_partition(model, text_at: int, least: float, wanted: tuple[str, ...] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             if not model.value.languages:
-                yield batch.filter(pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array(map(has_letter, texts), pa.bool_()))
                 continue
-            langs, scores = predict(model.value, texts)
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, shares = predict(model.value, texts)
+            bound = {lang: min(least, low) for lang, low in zip(model.value.languages, model.value.floor, strict=True)}
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= bound[lang] and (wanted is None or lang in wanted) for lang, s in zip(langs, shares, strict=True)], pa.bool_()))
 
     return run
 
 
-def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least``, with all columns.
+def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_KNOWN, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a recognised language, with all columns.
 
-    With a ``least`` of 0 the model rejects nothing: texts without a letter go,
-    all others stay.  So it is too if there is nothing to learn from.
+    A row goes if its text is null, empty or without a letter, if less than
+    ``least`` of its distinct n-grams are known from the language that the kernel
+    model gives it (so another script or random signs, which the model would have
+    to call something; the bound is never above what the sample's own texts share with
+    the rest of it, and 0 in a language of fewer than ``JUDGING_ROWS`` sampled texts), or if that language is not among ``wanted`` (None: any will
+    do).  Where there is nothing to learn from, no prediction is made and
+    every text with a letter stays.  Ties between languages go to the first by
+    name; repeated rows fare alike; columns come back as they were, whatever their
+    names; an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, id_col, text_col, lang_col, SAMPLE_ROWS, SAMPLE_CHARS)))
-    return docs.mapInArrow(keep_partition(model, docs.columns.index(text_col), least), docs.schema)
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, id_col, text_col, lang_col, SAMPLE_ROWS)))
+    return docs.mapInArrow(keep_partition(model, docs.columns.index(text_col), least, wanted), docs.schema)

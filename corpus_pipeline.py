@@ -21,7 +21,7 @@ from textassay.llm.simhash_dedup import drop_near_duplicates
 
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: those without letters."""
+    """Documents in no language that the labelled ones have go, and those without letters."""
     return drop_unknown(docs)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -11,7 +12,7 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", r
 WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button".split())
 #: Without an end tag these take the rest of the page; of other raw elements the tag alone is skipped.
 TEXT_ONLY = frozenset("script style textarea title".split())
 FOREIGN = frozenset({"svg"})
@@ -46,6 +47,8 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, with their block
     node, links = 0, 0
     parts: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by name: most searches of the stack find none and are not begun
+    endless: set[str] = set()  # raw elements that have no end tag from here on
 
     def flush() -> None:
         if parts:
@@ -62,6 +65,7 @@ def parse(source: str) -> Page:
         nonlocal node, links
         flush()
         for name, block in stack[at:]:
+            opened[name] -= 1
             if name in BLOCK:
                 page.ends[block] = len(page.tags)
             elif name == "a":
@@ -70,6 +74,8 @@ def parse(source: str) -> Page:
         node = stack[-1][1]
 
     def last_open(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> int:
+        if not any(opened[n] for n in names):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 return k
@@ -104,7 +110,8 @@ def parse(source: str) -> Page:
                     flush()
             elif name == "a":
                 if k := last_open({"a"}, BLOCK):
-                    close_inline(stack, k)
+                    del stack[k]
+                    opened["a"] -= 1
                     links -= 1
             continue
         if name in RAW:
@@ -112,7 +119,9 @@ def parse(source: str) -> Page:
             page.inner[node] += 1
             if name in FOREIGN and m[3].endswith("/"):
                 continue
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else n if name in TEXT_ONLY else at
         elif name in BLOCK:
             if name in ("html", "body"):
@@ -136,6 +145,7 @@ def parse(source: str) -> Page:
             page.marks.append(0)
             node = len(page.tags) - 1
             stack.append((name, node))
+            opened[name] += 1
         else:
             page.inner[node] += 1
             if name in VOID:
@@ -146,11 +156,9 @@ def parse(source: str) -> Page:
             elif name == "a":
                 if not links:
                     stack.append((name, node))
+                    opened[name] += 1
                     links += 1
     close(1)
     page.ends[0] = len(page.tags)
     return page
 
-
-def close_inline(stack: list[tuple[str, int]], at: int) -> None:
-    del stack[at]

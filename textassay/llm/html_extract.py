@@ -269,10 +269,29 @@ class Writer:
                 out.append(r.choice([self.advert, self.notice, self.share, self.side, self.form])())
         return "".join(out)
 
+    def loose(self) -> str:
+        """An article without an element of its own: its parts stand in the body, some of them no elements at all."""
+        r, s = self.rng, self.SIGN
+        how = r.random()
+        if how < 0.4:
+            return self.article()
+        if how < 0.7:
+            return s + r.choice(["<br><br>", "<br>", " "]).join(self.sentences(1, 6) for _ in range(r.randint(1, 6)))
+        return "".join(f"<div>{s}{self.sentences(1, 6)}</div>" for _ in range(r.randint(1, 8)))
+
     def page(self) -> str:
         r = self.rng
-        open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (self.named("div", "content", "post", "entry", "article-body", "story", "post-content", "main"), "</div>"), (self.named("article", "post", "entry", "story"), "</article>"), (self.named("section", "content", "article", "post-body"), "</section>")])
-        inner = self.article()
+        if r.random() < 0.04:
+            return self.SIGN + self.sentences(1, 6)  # plain text
+        around = r.random()
+        if around < 0.2:
+            open_, close, inner = "", "", self.loose()
+        elif around < 0.27:
+            open_, close = r.choice([("<div>", "</div>"), ("<center>", "</center>"), ("<table><tr><td>", "</td></tr></table>"), (self.named("div", self.word()), "</div>")])
+            inner = self.loose()
+        else:
+            open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (self.named("div", "content", "post", "entry", "article-body", "story", "post-content", "main"), "</div>"), (self.named("article", "post", "entry", "story"), "</article>"), (self.named("section", "content", "article", "post-body"), "</section>")])
+            inner = self.article()
         if r.random() < 0.12:
             inner += self.comments()
         if r.random() < 0.1:
@@ -280,15 +299,17 @@ class Writer:
         body = open_ + inner + close
         before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.side, self.form) if r.random() < 0.45]
         after = [f() for f in (self.comments, self.side, self.advert, self.form, self.notice, self.menu, self.footer, self.footer) if r.random() < 0.4]
+        if not open_ and r.random() < 0.5:
+            before, after = [], []
         if r.random() < 0.5:
             r.shuffle(after)
-        if r.random() < 0.35:
+        if open_ and r.random() < 0.35:
             body = f"{self.named('div', 'wrapper', 'container', 'page', 'layout', 'row', 'columns')}{body}{r.choice(['', self.side()])}</div>"
         whole = f"<!DOCTYPE html><html><head><title>x</title></head><body>{''.join(before)}<!-- {self.word()} -->{body}{''.join(after)}"
         return whole + r.choice(["</body></html>", "</body></html>", ""])
 
 
-def training_pages(seed: int = 11, pages: int = 500) -> tuple[list[Page], list[np.ndarray]]:
+def training_pages(seed: int = 11, pages: int = 700) -> tuple[list[Page], list[np.ndarray]]:
     """Pages with, for every block element, whether it belongs to the article.
 
     Elements with marked text do; so do those that enclose only such elements, as
@@ -322,7 +343,7 @@ def training_pages(seed: int = 11, pages: int = 500) -> tuple[list[Page], list[n
 _fitted: dict[tuple[int, int], Trees] = {}
 
 
-def trained(seed: int = 11, pages: int = 500) -> Trees:
+def trained(seed: int = 11, pages: int = 700) -> Trees:
     """The trees, fitted once in a process."""
     if (seed, pages) not in _fitted:
         found, labels = training_pages(seed, pages)

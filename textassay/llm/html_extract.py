@@ -284,9 +284,9 @@ class Writer:
         if r.random() < 0.04:
             return self.SIGN + self.sentences(1, 6)  # plain text
         around = r.random()
-        if around < 0.2:
+        if around < 0.14:
             open_, close, inner = "", "", self.loose()
-        elif around < 0.27:
+        elif around < 0.2:
             open_, close = r.choice([("<div>", "</div>"), ("<center>", "</center>"), ("<table><tr><td>", "</td></tr></table>"), (self.named("div", self.word()), "</div>")])
             inner = self.loose()
         else:
@@ -309,7 +309,7 @@ class Writer:
         return whole + r.choice(["</body></html>", "</body></html>", ""])
 
 
-def training_pages(seed: int = 11, pages: int = 700) -> tuple[list[Page], list[np.ndarray]]:
+def training_pages(seed: int = 11, pages: int = 800) -> tuple[list[Page], list[np.ndarray]]:
     """Pages with, for every block element, whether it belongs to the article.
 
     Elements with marked text do; so do those that enclose only such elements, as
@@ -343,7 +343,7 @@ def training_pages(seed: int = 11, pages: int = 700) -> tuple[list[Page], list[n
 _fitted: dict[tuple[int, int], Trees] = {}
 
 
-def trained(seed: int = 11, pages: int = 700) -> Trees:
+def trained(seed: int = 11, pages: int = 800) -> Trees:
     """The trees, fitted once in a process."""
     if (seed, pages) not in _fitted:
         found, labels = training_pages(seed, pages)

@@ -1,11 +1,12 @@
 """Personal data by anchors.
 
 An Aho-Corasick automaton finds the signs that personal data can't do without:
-at-signs, digits, plus signs, schemes, and cues of account numbers.  At each
-anchor a small deterministic parser expands to both sides and validates what it
-finds.  Four base kinds have fixed boundaries; three more are added by the
-method: ``login`` (user and password in a URL), ``ipv6`` (a bracketed host after a
-scheme) and ``iban`` (behind its cue, with a right checksum).
+at-signs, digits, plus signs, schemes, and cues of identifiers.  At each anchor a
+small deterministic parser expands to both sides and validates what it finds.
+Four base kinds have fixed boundaries; four more are added by the method:
+``login`` (user and password in a URL), ``ipv6`` (a bracketed host after a scheme),
+``iban`` (behind its cue, with a right checksum) and ``secret`` (a value assigned to
+a name like token or password, or a key with the prefix of a known issuer).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone", "login", "ipv6", "iban")
+KINDS = ("email", "ip", "card", "phone", "login", "ipv6", "iban", "secret")
 BASE = KINDS[:4]
 
 DIGITS = frozenset("0123456789")
@@ -34,10 +35,28 @@ PHONE = DIGITS | frozenset(" ().-")
 Span = tuple[int, int]
 
 
+#: Names whose assigned value is a secret, and the least length of that value.
+SECRET_NAMES = {"token": 16, "secret": 12, "api_key": 12, "api-key": 12, "apikey": 12, "api key": 12, "access_key": 12, "private_key": 12, "password": 6, "passwd": 6, "passphrase": 6}
+#: Public prefixes of issued keys, with the signs and the length of what follows.
+KEY_PREFIXES = {"AKIA": (r"[0-9A-Z]", 16, 16), "ASIA": (r"[0-9A-Z]", 16, 16), "AIza": (r"[0-9A-Za-z_-]", 35, 35), "ghp_": (r"[0-9A-Za-z]", 36, 36), "github_pat_": (r"[0-9A-Za-z_]", 60, 90), "glpat-": (r"[0-9A-Za-z_-]", 20, 40), "sk_live_": (r"[0-9A-Za-z]", 16, 99), "xoxb-": (r"[0-9A-Za-z-]", 24, 99), "xoxp-": (r"[0-9A-Za-z-]", 24, 99)}
+
+
+def spellings(cue: str) -> set[str]:
+    return {cue, cue.upper(), cue.capitalize(), cue.title()}
+
+
 def _automaton() -> ahocorasick.Automaton:
+    """Signs with what to do at them: a sign itself, or (parser's name, cue)."""
     found = ahocorasick.Automaton()
-    for sign in ("@", "+", "://", "IBAN", "iban", *DIGITS):
+    for sign in ("@", "+", "://", *DIGITS):
         found.add_word(sign, sign)
+    for spelling in spellings("iban"):
+        found.add_word(spelling, ("iban", "iban"))
+    for name in SECRET_NAMES:
+        for spelling in spellings(name):
+            found.add_word(spelling, ("name", name))
+    for prefix in KEY_PREFIXES:
+        found.add_word(prefix, ("prefix", prefix))
     found.make_automaton()
     return found
 
@@ -163,12 +182,39 @@ def iban_at(text: str, at: int) -> Span | None:
     return m.span(1) if 15 <= len(plain) <= 34 and int(digits) % 97 == 1 else None
 
 
+ASSIGNED = re.compile(r"""["']?[ \t]{0,3}(?:=|:|=>|:=|is)[ \t]{0,3}(?:"([^"\s]{6,512})"|'([^'\s]{6,512})'|([^\s"'<>,;)\]}]{6,512}))""")
+KEYS = {prefix: re.compile(f"{signs}{{{low},{high}}}(?!{signs})") for prefix, (signs, low, high) in KEY_PREFIXES.items()}
+
+
+def assigned_at(text: str, at: int, name: str) -> Span | None:
+    """The value assigned to the name that ends at ``at``: long enough, and no plain word."""
+    m = ASSIGNED.match(text, at)
+    if not m:
+        return None
+    start, end = m.span(m.lastindex)
+    if m.lastindex == 3:
+        while end > start and text[end - 1] in ".:!?":  # marks of a sentence
+            end -= 1
+    value = text[start:end]
+    mixed = any(c in DIGITS for c in value) and any(c not in DIGITS for c in value)
+    return (start, end) if end - start >= SECRET_NAMES[name] and (mixed or m.lastindex < 3) else None
+
+
+def key_at(text: str, at: int, prefix: str) -> Span | None:
+    """The key whose prefix ends at ``at``."""
+    start = at - len(prefix)
+    if start and (text[start - 1] in ALNUM or text[start - 1] == "_"):
+        return None
+    m = KEYS[prefix].match(text, at)
+    return (start, m.end()) if m else None
+
+
 def find_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all personal data, by start and then by kind as listed."""
     if not _made:
         _made.append(_automaton())
     found: list[tuple[int, str, int]] = []
-    email_end = ip_end = card_end = phone_end = 0
+    email_end = ip_end = card_end = phone_end = secret_end = 0
     for last, sign in _made[0].iter(text):
         if sign in DIGITS:
             if last >= ip_end:
@@ -192,8 +238,16 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
             for kind, parse in (("login", login_at), ("ipv6", ipv6_at)):
                 if span := parse(text, last + 1):
                     found.append((span[0], kind, span[1]))
-        elif span := iban_at(text, last + 1):
-            found.append((span[0], "iban", span[1]))
+        else:
+            parser, cue = sign
+            if parser == "iban":
+                span, kind = iban_at(text, last + 1), "iban"
+            else:
+                span, kind = (assigned_at if parser == "name" else key_at)(text, last + 1, cue), "secret"
+            if span and (kind != "secret" or span[0] >= secret_end):
+                found.append((span[0], kind, span[1]))
+                if kind == "secret":
+                    secret_end = span[1]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -201,7 +255,7 @@ def listed(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-PRIVATE = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+PRIVATE = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def scan_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +264,13 @@ def scan_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             spans = find_spans(text)
             base = [s for s in spans if s[1] in BASE]
-            rows.append((i, *(sum(s[1] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
+            rows.append((i, *(sum(s[1] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PRIVATE, strict=True)], schema=PRIVATE)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row of ``docs``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` for each row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, end exclusive.  A null text has
     none.  Repeated rows and null ids are reported like any others; other columns
@@ -224,7 +278,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(scan_partition, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(scan_partition, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str | None) -> str | None:
@@ -248,6 +302,11 @@ def mask_partition(text_at: int) -> Callable:
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with personal data masked; null texts stay null."""
+    """``docs``, all rows and columns, with every span replaced by its kind in angle brackets.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike;
+    columns come back as they were, whatever their names; an empty table stays
+    empty.
+    """
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(mask_partition(docs.columns.index(text_col)), docs.schema)

@@ -1,7 +1,7 @@
 """URL verdicts by pattern rules that are indexed by their rarest literal token.
 
-A rule is a regular expression with the literal tokens that any match contains.
-It is filed under the token of it that the fewest URLs have; a URL's tokens fetch
+A rule is a regular expression; its literal tokens, which any match contains, are
+taken from the pattern.  It is filed under the token of it that the fewest URLs have; a URL's tokens fetch
 its candidate rules, and only those run.  Host rules (a host with a path) decide
 before the patterns do.
 
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rule_tokens import literal_tokens
+
 INLINE_RULES = 500
 
 
@@ -34,12 +36,15 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: runs of a-z and 0-9 that stand as whole tokens in every URL that ``pattern`` fits."""
+    """``pattern`` is looked for in URLs in lower case; ``tokens`` are those of the pattern where none are given."""
 
     name: str
     action: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
+
+    def literals(self) -> tuple[str, ...]:
+        return self.tokens or literal_tokens(self.pattern)
 
 
 HOST_RULES = (
@@ -51,14 +56,17 @@ HOST_RULES = (
 )
 
 PATTERN_RULES = (
-    PatternRule("casino", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?casino[.-]", ("casino",)),
-    PatternRule("free-bets", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?free-bets[.]", ("free", "bets")),
-    PatternRule("online-poker", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?online-poker[.]", ("online", "poker")),
-    PatternRule("cheap-pills", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?cheap-pills[.]", ("cheap", "pills")),
-    PatternRule("adult-host", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.])?xxx[.-]", ("xxx",)),
-    PatternRule("login-page", "block", r"://[^/?#]+/(?:[^?#]*/)?login(?:[/?#.]|$)", ("login",)),
+    PatternRule("casino", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?casino[.-]"),
+    PatternRule("free-bets", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?free-bets[.]"),
+    PatternRule("online-poker", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?online-poker[.]"),
+    PatternRule("cheap-pills", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.-])?cheap-pills[.]"),
+    PatternRule("adult-host", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*[.])?xxx[.-]"),
+    PatternRule("login-page", "block", r"://[^/?#]+/(?:[^?#]*/)?login(?:[/?#.]|$)"),
 )
 
+#: Rules that one filter takes: they travel with the plan or as a small table.
+MOST_RULES = 100_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,27 +94,47 @@ def host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Column
 
 
 def check_rules(rules: tuple[PatternRule, ...]) -> None:
+    """Refuse rules that can't be filed: each needs a pattern that compiles, an action and tokens that its pattern surely holds."""
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
     for r in rules:
         re.compile(r.pattern)
-        if not r.tokens or any(not re.fullmatch("[a-z0-9]+", t) for t in r.tokens):
-            raise ValueError(f"rule {r.name} needs literal tokens of a-z and 0-9")
+        own = literal_tokens(r.pattern)
+        if not own or not set(r.tokens) <= set(own):
+            raise ValueError(f"rule {r.name}: {'no token is sure to stand in a match' if not own else f'its pattern only has the tokens {own}'}")
         if r.action not in ("allow", "block"):
             raise ValueError(f"rule {r.name}: its action is allow or block")
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[tuple[HostRule, ...], tuple[PatternRule, ...]]:
+    """Rules of a JSON-lines file or folder, in the order of ``place``.
+
+    A row has ``action`` and either ``host`` and ``path`` or ``name`` and
+    ``pattern``; the tokens of a pattern are taken from it and checked.
+    """
+    rows = spark.read.schema("place int, action string, host string, path string, name string, pattern string").option("mode", "FAILFAST").json(path).orderBy("place", "name", "host", "path").limit(MOST_RULES + 1).collect()
+    hosts = tuple(HostRule(r.action, r.host.lower(), r.path or "") for r in rows if r.host)
+    patterns = tuple(PatternRule(r.name, r.action, r.pattern) for r in rows if r.pattern)
+    check_rules(patterns)
+    if bad := [r for r in hosts if r.action not in ("allow", "block")]:
+        raise ValueError(f"rule {bad[0].name}: its action is allow or block")
+    return hosts, patterns
+
+
 def rarest_tokens(pages: DataFrame, url_col: str, rules: tuple[PatternRule, ...]) -> dict[str, list[int]]:
     """Token to the rules filed under it: of each rule's tokens the one that the fewest URLs have.
 
     One pass counts the rules' own tokens only; as many numbers as these come back.
     """
-    wanted = sorted({t for r in rules for t in r.tokens})
+    tokens = [r.literals() for r in rules]
+    wanted = sorted({t for own in tokens for t in own})
     spark = pages.sparkSession
     own = spark.createDataFrame([(t,) for t in wanted], "token string")
     counts = pages.select(F.explode(url_tokens(F.col(url_col))).alias("token")).join(own, "token").groupBy("token").count()
     urls = dict(counts.toLocalIterator())
     index: dict[str, list[int]] = {}
-    for k, r in enumerate(rules):
-        index.setdefault(min(r.tokens, key=lambda t: (urls.get(t, 0), t)), []).append(k)
+    for k, own in enumerate(tokens):
+        index.setdefault(min(own, key=lambda t: (urls.get(t, 0), t)), []).append(k)
     return index
 
 

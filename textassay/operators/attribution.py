@@ -1,76 +1,117 @@
-"""Attribution: scores of a catalog's families, a call or a refusal, and evidence."""
+"""Attribution: scores of a catalog's families, a call or a refusal, and evidence.
+
+A text is attributed in its own row: its feature bag comes from native columns, and
+Arrow batches of bags are multiplied with the catalog, which every task holds.
+Nothing is shuffled, and rows that share an id (or have none) stay apart.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mining import UNMATCHED, Catalog, bounded_broadcast, vectors
+from .mining import UNMATCHED, Catalog, Matrix, bags_of, in_memory
 
 RECEIPTS = 8
 MIN_CONFIDENCE, MIN_MATCHED = 0.30, 40
 
+RANKED = "array<struct<family:string,probability:double,score:double>>"
+EVIDENCE = "array<struct<feature:string,contribution:double,rate:double,baseline:double>>"
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    raised = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def lists(offsets: np.ndarray, fields: dict[str, pa.Array]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def attributed_batch(bags: pa.ListArray, m: Matrix, most: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Rankings, gaps of the first two, matched features and evidence of a batch of bags."""
+    n, k = len(bags), len(m.families)
+    rows, places, values = m.entries(bags)
+    cells = m.weights[places] * values[:, None]
+    scores = np.stack([np.bincount(rows, cells[:, f], n) for f in range(k)], axis=1) + m.bias if k else np.zeros((n, 0))
+    matched = np.bincount(rows, minlength=n)
+    odds = softmax(scores) if k else scores
+    order = np.argsort(-np.round(odds, 9), axis=1, kind="stable")  # families are in the order of names: ties go by it
+    line = np.arange(n)[:, None]
+    ranked_odds, ranked_scores = odds[line, order], scores[line, order]
+    gap = ranked_odds[:, 0] - ranked_odds[:, 1] if k > 1 else np.zeros(n)
+    names = pa.array(m.families, pa.string())
+    ranked = lists(np.arange(n + 1) * k, {"family": names.take(pa.array(order.ravel())), "probability": pa.array(ranked_odds.ravel()), "score": pa.array(ranked_scores.ravel())})
+    if k < 2:
+        return ranked, pa.array(gap), pa.array(matched), lists(np.zeros(n + 1), {"feature": names[:0], "contribution": pa.array([], pa.float64()), "rate": pa.array([], pa.float64()), "baseline": pa.array([], pa.float64())})
+    lead = cells[np.arange(len(rows)), order[rows, 0]] - cells[np.arange(len(rows)), order[rows, 1]]
+    by = np.lexsort((places, -np.round(lead, 9), rows))  # places are in the order of features
+    first = np.cumsum(matched) - matched
+    kept = by[np.arange(len(by)) - first[rows] < most]  # rows come sorted, so the place in a row's run is known
+    top = order[rows[kept], 0]
+    proof = lists(np.r_[0, np.cumsum(np.minimum(matched, most))], {"feature": m.features.take(pa.array(places[kept])), "contribution": pa.array(lead[kept]), "rate": pa.array(m.rates[places[kept], top]), "baseline": pa.array(m.base[places[kept]])})
+    return ranked, pa.array(gap), pa.array(matched), proof
+
+
+def attributed(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, most: int = RECEIPTS) -> DataFrame:
+    """``id``, the columns ``carry``, ``ranked`` (families by probability; ties by name), ``confidence`` (the gap of the first two), ``matched`` and ``evidence``.
+
+    One row for each row of ``df``.  Evidence is what the first family leads the
+    second by, feature by feature.  A text without a feature of the catalog scores
+    the biases.
+    """
+    matrix = df.sparkSession.sparkContext.broadcast(in_memory(catalog))
+    carry = {"id": F.col(id_col)} | (carry or {})
+    bags = bags_of(df, carry, text_col)
+    kinds = dict(bags.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = attributed_batch(batch.column("features"), matrix.value, most)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "ranked", "confidence", "matched", "evidence"])
 
-def scores(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text", vecs: DataFrame | None = None) -> DataFrame:
-    """``id, family, score, matched`` for every text and family; texts without a feature score the biases."""
-    vecs = vectors(df, catalog.features, id_col, text_col) if vecs is None else vecs
-    pulled = vecs.join(bounded_broadcast(catalog.weights.select("feature", "family", "w")), "feature").groupBy("id", "family").agg(F.sum(F.col("w") * F.col("v")).alias("pull"), F.count(F.lit(1)).alias("matched"))
-    grid = df.select(F.col(id_col).alias("id")).crossJoin(F.broadcast(catalog.families.select("family", "bias")))
-    return grid.join(pulled, ["id", "family"], "left").select("id", "family", (F.col("bias") + F.coalesce("pull", F.lit(0.0))).alias("score"), F.coalesce("matched", F.lit(0)).alias("matched"))
+    own = ", ".join(f"{name} {kinds[name]}" for name in carry)
+    return bags.mapInArrow(run, f"{own}, ranked {RANKED}, confidence double, matched long, evidence {EVIDENCE}")
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """With ``probability`` (softmax over the families of a text) and ``rank`` (ties by name)."""
-    own = Window.partitionBy("id")
-    raised = scored.withColumn("__e", F.exp(F.col("score") - F.max("score").over(own)))
-    shared = raised.withColumn("probability", F.col("__e") / F.sum("__e").over(own)).drop("__e")
-    order = own.orderBy(F.round("probability", 9).desc(), "family")
-    return shared.withColumn("rank", F.row_number().over(order))
+def scores(found: DataFrame) -> DataFrame:
+    """``id, family, score, matched`` of attributed texts."""
+    return found.select("id", "matched", F.explode("ranked").alias("r")).select("id", "r.family", "r.score", "matched")
 
 
-def called(confidence: Column, matched: Column, top: Column, min_confidence: float, min_matched: int) -> Column:
-    """The family if enough matched and the gap is wide enough; null refuses, as does the rejection class."""
-    return F.when((matched >= min_matched) & (confidence >= min_confidence) & (top != UNMATCHED), top)
+def posteriors(found: DataFrame) -> DataFrame:
+    """``id, family, probability, rank`` of attributed texts."""
+    return found.select("id", F.posexplode("ranked").alias("at", "r")).select("id", "r.family", "r.probability", (F.col("at") + 1).alias("rank"))
 
 
-def ranked_texts(posterior: DataFrame) -> DataFrame:
-    """``id, ranked, confidence, matched``: families by probability and the gap of the first two."""
-    gathered = posterior.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "family", "probability"))).alias("r"), F.max("matched").alias("matched"))
-    ranked = F.transform("r", lambda x: F.struct(x["family"].alias("family"), x["probability"].alias("probability")))
-    gap = F.when(F.size("r") > 1, F.get("r", 0)["probability"] - F.get("r", 1)["probability"]).otherwise(0.0)
-    return gathered.select("id", ranked.alias("ranked"), gap.alias("confidence"), "matched")
+def called(min_confidence: float, min_matched: int) -> Column:
+    """The first family if enough matched and the gap is wide enough; null refuses, as does the rejection class."""
+    top = F.get("ranked", 0)["family"]
+    return F.when((F.col("matched") >= min_matched) & (F.col("confidence") >= min_confidence) & (top != UNMATCHED), top)
 
 
-def decisions(posterior: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_matched: int = MIN_MATCHED) -> DataFrame:
+def decisions(found: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_matched: int = MIN_MATCHED) -> DataFrame:
     """``id, top, runner, confidence, matched, call``."""
-    r = ranked_texts(posterior)
-    top, runner = F.get("ranked", 0)["family"], F.try_element_at("ranked", F.lit(2))["family"]
-    return r.select("id", top.alias("top"), runner.alias("runner"), "confidence", "matched", called(F.col("confidence"), F.col("matched"), top, min_confidence, min_matched).alias("call"))
+    return found.select("id", F.get("ranked", 0)["family"].alias("top"), F.get("ranked", 1)["family"].alias("runner"), "confidence", "matched", called(min_confidence, min_matched).alias("call"))
 
 
-def receipts(decided: DataFrame, vecs: DataFrame, catalog: Catalog, most: int = RECEIPTS) -> DataFrame:
-    """Evidence of each call: ``id, rank, feature, contribution, rate, baseline``, the winner's lead over the runner-up."""
-    calls = decided.filter(F.col("call").isNotNull() & F.col("runner").isNotNull()).select("id", "top", "runner")
-    weights = bounded_broadcast(catalog.weights)
-    won = weights.select("feature", F.col("family").alias("top"), F.col("w").alias("w_top"), "rate")
-    lost = weights.select("feature", F.col("family").alias("runner"), F.col("w").alias("w_runner"))
-    rows = vecs.join(calls, "id").join(won, ["feature", "top"]).join(lost, ["feature", "runner"]).join(catalog.features.select("feature", F.col("base").alias("baseline")), "feature")
-    pulled = rows.select("id", "feature", ((F.col("w_top") - F.col("w_runner")) * F.col("v")).alias("contribution"), "rate", "baseline")
-    order = Window.partitionBy("id").orderBy(F.round("contribution", 9).desc(), "feature")
-    return pulled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+def receipts(found: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_matched: int = MIN_MATCHED) -> DataFrame:
+    """Evidence of each call: ``id, rank, feature, contribution, rate, baseline``."""
+    rows = found.filter(called(min_confidence, min_matched).isNotNull()).select("id", F.posexplode("evidence").alias("at", "e"))
+    return rows.select("id", (F.col("at") + 1).alias("rank"), "e.*")
 
 
 def who(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text", min_confidence: float = MIN_CONFIDENCE, min_matched: int = MIN_MATCHED) -> DataFrame:
     """One row per text: ``ranked, confidence, matched, call, receipts`` and the closed set ``catalog``."""
-    vecs = vectors(df, catalog.features, id_col, text_col).persist()
-    posterior = posteriors(scores(df, catalog, id_col, text_col, vecs)).persist()
-    decided = decisions(posterior, min_confidence, min_matched)
-    proof = receipts(decided, vecs, catalog).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution", "rate", "baseline"))).alias("r"))
-    shown = F.transform("r", lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution"), x["rate"].alias("rate"), x["baseline"].alias("baseline")))
-    closed = F.broadcast(catalog.families.agg(F.array_sort(F.collect_list("family")).alias("catalog")))
-    joined = ranked_texts(posterior).join(decided.select("id", "call"), "id").join(proof, "id", "left").crossJoin(closed)
-    none = F.array().cast("array<struct<feature:string,contribution:double,rate:double,baseline:double>>")
-    return joined.select(F.col("id").alias(id_col), "ranked", "confidence", "matched", "call", F.coalesce(shown, none).alias("receipts"), "catalog")
+    found = attributed(df, catalog, id_col, text_col)
+    shown = F.transform("ranked", lambda x: F.struct(x["family"].alias("family"), x["probability"].alias("probability")))
+    call = called(min_confidence, min_matched)
+    families = F.array_sort(F.transform("ranked", lambda x: x["family"]))
+    return found.select(F.col("id").alias(id_col), shown.alias("ranked"), "confidence", "matched", call.alias("call"), F.when(call.isNotNull(), F.col("evidence")).otherwise(F.array().cast(EVIDENCE)).alias("receipts"), families.alias("catalog"))
 
 
 def closest(df: DataFrame, most: int = 2) -> DataFrame:

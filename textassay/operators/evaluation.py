@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from textassay.functions import patterns as P
 from textassay.functions.hashing import fnv1a_mod
 
-from .attribution import decisions, posteriors, scores
+from textassay.sources.scratch import materialise
+
+from .attribution import attributed
 from .mining import UNMATCHED
 from .training import fit
 
@@ -78,22 +80,26 @@ def confusion(scored: DataFrame, families: list[str], m: Column | float) -> Data
 
 def score_rows(df: DataFrame, catalog, id_col: str, family_col: str, text_col: str) -> DataFrame:
     """``truth, pred, confidence`` of each text."""
-    decided = decisions(posteriors(scores(df, catalog, id_col, text_col)), 0.0, 0)
-    return df.select(F.col(id_col).alias("id"), F.col(family_col).alias("truth")).join(decided.select("id", F.col("top").alias("pred"), "confidence"), "id").select("truth", "pred", "confidence")
+    found = attributed(df, catalog, id_col, text_col, {"truth": F.col(family_col)}, most=0)
+    return found.select("truth", F.get("ranked", 0)["family"].alias("pred"), "confidence")
 
 
 def evaluate(df: DataFrame, top_k: int = 2000, epochs: int = 12, floor: float = 0.95, holdout: int = 20, negatives: DataFrame | None = None, truncate: int = 0, id_col: str = "doc_id", family_col: str = "family", text_col: str = "text", prompt_col: str = "prompt_id", trainer: str = "lbfgs") -> dict[str, DataFrame]:
-    """Split, fit, score and sweep: ``accuracy, sweep, threshold, control, confusion``."""
+    """Split, fit, score and sweep: ``scored, accuracy, sweep, threshold, control, confusion``.
+
+    The catalog, the scored rows and the sweep are stored in between: what is
+    returned reads small tables.
+    """
     rows = truncate_words(df, truncate, text_col) if truncate else df
-    rows = split_holdout(rows, holdout, prompt_col, text_col).persist()
-    catalog = fit(rows.filter("is_train"), top_k, epochs, id_col, family_col, text_col, trainer).persist()
+    rows = split_holdout(rows, holdout, prompt_col, text_col)
+    catalog = fit(rows.filter("is_train"), top_k, epochs, id_col, family_col, text_col, trainer)
     scored = score_rows(rows.filter("NOT is_train"), catalog, id_col, family_col, text_col)
     if negatives is not None:
         scored = scored.unionByName(score_rows(negatives.withColumn(family_col, F.lit(UNMATCHED)), catalog, id_col, family_col, text_col))
-    scored = scored.persist()
-    swept = sweep(scored).persist()
-    chosen = threshold(swept, floor).persist()
+    scored = materialise(scored, "scored")
+    swept = materialise(sweep(scored), "sweep")
+    chosen = threshold(swept, floor)
     first = chosen.first()
     m = first.m if first else 0.0
     families = [r.family for r in catalog.families.select("family").orderBy("family").collect()]
-    return {"accuracy": forced_choice(scored), "sweep": swept, "threshold": chosen, "control": control(scored, m), "confusion": confusion(scored, families, m)}
+    return {"scored": scored, "accuracy": forced_choice(scored), "sweep": swept, "threshold": chosen, "control": control(scored, m), "confusion": confusion(scored, families, m)}

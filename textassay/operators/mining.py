@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions import features as X
+from textassay.sources.scratch import bounded_batches, materialise
 
 UNMATCHED = "unmatched"
 ALPHA = 1000.0
 LEAST_COUNT = 5
-#: Catalog rows up to which the catalog is sent to every task; a larger one is joined by feature.
-BROADCAST_ROWS = 500_000
+#: Cells (features times families) of a catalog that is sent to every task: 8 bytes each.  Larger ones are refused.
+MOST_CELLS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -25,7 +30,11 @@ class Catalog:
     families: DataFrame
 
     def persist(self) -> Catalog:
-        return Catalog(*(df.persist() for df in (self.features, self.weights, self.families)))
+        return Catalog(*(df.persist() for df in vars(self).values()))
+
+    def stored(self) -> Catalog:
+        """The catalog written to the shared folder: what follows reads three small tables."""
+        return Catalog(*(materialise(df, f"catalog-{name}") for name, df in vars(self).items()))
 
 
 def feature_bag(text: Column, words: Column) -> Column:
@@ -39,16 +48,39 @@ def with_features(df: DataFrame, text_col: str = "text", out_col: str = "feature
     return df.withColumn("__words", X.words(text)).withColumn(out_col, feature_bag(text, F.col("__words"))).drop("__words")
 
 
+def entries_of(rows: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, code) pairs each once, sorted, and how often: rows, codes, counts."""
+    pairs, counts = np.unique(rows.astype(np.int64) * max(width, 1) + codes, return_counts=True)
+    return pairs // max(width, 1), pairs % max(width, 1), counts
+
+
+def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of (family, features) rows counted within a batch."""
+    for batch in batches:
+        features = batch.column("features")
+        values = pc.list_flatten(features).dictionary_encode()
+        families = batch.column("family").dictionary_encode()
+        n = len(values.dictionary)
+        texts, codes, counts = entries_of(np.asarray(pc.list_parent_indices(features)), np.asarray(values.indices), n)
+        family = np.asarray(families.indices.fill_null(len(families.dictionary)))[texts]
+        cells, place = np.unique(family * max(n, 1) + codes, return_inverse=True)
+        names = pa.concat_arrays([families.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(cells // max(n, 1))), values.dictionary.take(pa.array(cells % max(n, 1))), pa.array(np.bincount(place, counts, len(cells)).astype(np.int64)), pa.array(np.bincount(place, minlength=len(cells)).astype(np.int64))],
+            names=["family", "feature", "y", "df"],
+        )
+
+
 def feature_counts(df: DataFrame, family_col: str = "family", text_col: str = "text") -> DataFrame:
     """``family, feature, y`` (occurrences) and ``df`` (texts that have it), in one shuffle.
 
-    Each text adds a row for every occurrence and one for every distinct feature;
-    the map side folds them, so that frequent features don't travel.
+    Features come from native columns; Arrow batches of them are counted without a
+    Python object for any, and the map side folds the batches of a task, so that
+    frequent features don't travel.
     """
-    bags = with_features(df.select(F.col(family_col).alias("family"), text_col), text_col)
-    one = lambda y, n: lambda f: F.struct(f.alias("feature"), F.lit(y).alias("y"), F.lit(n).alias("df"))
-    # Outer: for an inner generator the optimizer tests the array first, and works it out twice for that.
-    rows = bags.select("family", F.inline_outer(F.concat(F.transform("features", one(1, 0)), F.transform(F.array_distinct("features"), one(0, 1))))).filter("feature IS NOT NULL")
+    bounded_batches(df.sparkSession)
+    bags = with_features(df.select(F.col(family_col).cast("string").alias("family"), F.col(text_col).alias("text"))).select("family", "features")
+    rows = bags.mapInArrow(count_partition, "family string, feature string, y long, df long")
     return rows.groupBy("family", "feature").agg(F.sum("y").alias("y"), F.sum("df").alias("df"))
 
 
@@ -71,12 +103,15 @@ def log_odds(y: Column, y_w: Column, total: Column, n: Column) -> Column:
     return delta / F.sqrt(F.lit(1.0) / own + F.lit(1.0) / pool)
 
 
-def scored_features(counts: DataFrame, totals: DataFrame) -> DataFrame:
+def scored_features(counts: DataFrame, totals: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
     """``family, feature, y, z`` of the features that a family uses often enough."""
     n = totals.agg(F.sum("total").cast("double").alias("n"))
-    rows = counts.join(pooled_counts(counts).select("feature", "y_w"), "feature").join(F.broadcast(totals.select("family", "total")), "family").crossJoin(F.broadcast(n))
+    pooled = pooled_counts(counts) if pooled is None else pooled
+    # Only what some family uses often enough is looked up.
+    often = counts.filter(F.col("y") >= LEAST_COUNT)
+    rows = often.join(pooled.select("feature", "y_w"), "feature").join(F.broadcast(totals.select("family", "total")), "family").crossJoin(F.broadcast(n))
     d = lambda c: F.col(c).cast("double")
-    return rows.filter(F.col("y") >= LEAST_COUNT).select("family", "feature", "y", log_odds(d("y"), d("y_w"), d("total"), F.col("n")).alias("z"))
+    return rows.select("family", "feature", "y", log_odds(d("y"), d("y_w"), d("total"), F.col("n")).alias("z"))
 
 
 def nominated(scored: DataFrame, top_k: int) -> DataFrame:
@@ -87,17 +122,18 @@ def nominated(scored: DataFrame, top_k: int) -> DataFrame:
 
 def mine(df: DataFrame, top_k: int = 2000, family_col: str = "family", text_col: str = "text") -> Catalog:
     """A catalog without weights: what the families nominate, with rates and document frequencies."""
-    counts = feature_counts(df, family_col, text_col).persist()
-    totals = family_totals(counts, df, family_col).persist()
-    vocabulary = nominated(scored_features(counts, totals), top_k).select("feature").distinct()
+    counts = materialise(feature_counts(df, family_col, text_col), "counts")
+    totals = materialise(family_totals(counts, df, family_col), "totals")
+    pooled = materialise(pooled_counts(counts).filter(F.col("y_w") >= LEAST_COUNT), "pooled")
+    vocabulary = materialise(nominated(scored_features(counts, totals, pooled), top_k).select("feature").distinct(), "vocabulary")
     over = totals.agg(F.sum("total").cast("double").alias("n"), F.sum("samples").cast("double").alias("docs"))
-    described = vocabulary.join(pooled_counts(counts), "feature").crossJoin(F.broadcast(over))
+    described = vocabulary.join(pooled, "feature").crossJoin(F.broadcast(over))
     features = described.select("feature", (F.log((F.lit(1.0) + F.col("docs")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"), (F.col("y_w") / F.col("n") * 1000.0).alias("base"))
     grid = vocabulary.crossJoin(F.broadcast(totals.select("family", "total")))
     rates = grid.join(counts.select("family", "feature", "y"), ["family", "feature"], "left")
     weights = rates.select("feature", "family", F.coalesce(F.try_divide(F.col("y").cast("double"), F.col("total").cast("double")) * 1000.0, F.lit(0.0)).alias("rate"), F.lit(0.0).alias("w"))
     families = totals.select("family", "samples", F.lit(0.0).alias("bias"))
-    return Catalog(features, weights, families)
+    return Catalog(features, weights, families).stored()
 
 
 def with_index(catalog: Catalog) -> DataFrame:
@@ -105,15 +141,62 @@ def with_index(catalog: Catalog) -> DataFrame:
     return catalog.features.select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).alias("idx"))
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is small; it is counted, not trusted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+@dataclass(frozen=True)
+class Matrix:
+    """A catalog in memory: features and families by name, cells by feature and family."""
+
+    features: pa.Array
+    idf: np.ndarray
+    base: np.ndarray
+    families: list[str]
+    bias: np.ndarray
+    weights: np.ndarray
+    rates: np.ndarray
+
+    def entries(self, bags: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places and values of the texts' vectors: (1 + ln c) idf, each text of length one."""
+        places = pc.index_in(pc.list_flatten(bags), value_set=self.features)
+        known = np.asarray(places.is_valid())
+        rows = np.asarray(pc.list_parent_indices(bags))[known]
+        rows, places, counts = entries_of(rows, np.asarray(places.drop_null()), len(self.features))
+        values = (1.0 + np.log(counts.astype(np.float64))) * self.idf[places]
+        norms = np.sqrt(np.bincount(rows, values * values, len(bags)))[rows]
+        return rows, places, np.where(norms > 0, values / np.where(norms > 0, norms, 1), values)
+
+
+def in_memory(catalog: Catalog) -> Matrix:
+    """The catalog on the driver; refused where it has more than ``MOST_CELLS`` cells."""
+    families = catalog.families.orderBy("family").collect()
+    n = catalog.features.count()
+    if n * max(len(families), 1) > MOST_CELLS:
+        raise ValueError(f"a catalog of {n} features and {len(families)} families; at most {MOST_CELLS} cells are sent to tasks")
+    features = catalog.features.select("feature", "idf", "base").orderBy("feature").toArrow()
+    names = features.column("feature").combine_chunks()
+    cells = catalog.weights.select("feature", "family", "rate", "w").toArrow()
+    order = [r.family for r in families]
+    at = np.asarray(pc.index_in(cells.column("feature"), value_set=names)), np.asarray(pc.index_in(cells.column("family"), value_set=pa.array(order, pa.string())))
+    weights, rates = np.zeros((n, len(order))), np.zeros((n, len(order)))
+    weights[at], rates[at] = np.asarray(cells.column("w")), np.asarray(cells.column("rate"))
+    return Matrix(names, np.asarray(features.column("idf")), np.asarray(features.column("base")), order, np.array([r.bias for r in families]), weights, rates)
+
+
+def bags_of(df: DataFrame, carry: dict[str, Column], text_col: str) -> DataFrame:
+    """The columns ``carry`` and the feature bag of each row."""
+    bounded_batches(df.sparkSession)
+    return with_features(df.select(*[c.alias(name) for name, c in carry.items()], F.col(text_col).alias("__text")), "__text").select(*carry, "features")
+
+
+def vectors(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, feature, v``: (1 + ln c) idf of the features in the catalog, each text of length one.
+
+    A text is a row: rows that share an id, or have none, are not put together.
+    Nothing is shuffled.  A null text has the features of an empty one.
+    """
+    matrix = df.sparkSession.sparkContext.broadcast(in_memory(catalog))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, values = matrix.value.entries(batch.column("features"))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), matrix.value.features.take(pa.array(places)), pa.array(values)], names=["id", "feature", "v"])
 
-def vectors(df: DataFrame, features: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, feature, v``: (1 + ln c) idf of the features in the catalog, each text of length one."""
-    bags = with_features(df.select(F.col(id_col).alias("id"), text_col), text_col).select("id", F.explode_outer("features").alias("feature"))
-    counted = bags.join(bounded_broadcast(features.select("feature", "idf")), "feature").groupBy("id", "feature").agg(F.count(F.lit(1)).alias("c"), F.first("idf").alias("idf"))
-    raw = counted.select("id", "feature", ((F.lit(1.0) + F.log(F.col("c").cast("double"))) * F.col("idf")).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return raw.select("id", "feature", F.when(norm > 0, F.col("x") / norm).otherwise(F.col("x")).alias("v"))
+    return bags_of(df, {"id": F.col(id_col)}, text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, feature string, v double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +9,11 @@ from textassay.functions import features as X
 from textassay.operators import attribution, corpora, evaluation, harvest, mining, training
 from textassay.operators.mining import Catalog
 
+from textassay.sources.scratch import materialise
+
 from .fixtures import CORPUS_SQL, SCORED_SQL, corpus, documents, scored
 
-TOP_K = 100
-#: The operators' default, of the ``*_full_catalog`` queries.
-FULL_TOP_K = 2000
+TOP_K = 2000
 
 # --- tokens
 
@@ -97,7 +95,7 @@ def mine_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All levels of the counts in one pass: family and feature, each alone, and the whole."""
     counts = mining.feature_counts(corpus(spark, sf_dir))
     counts.createOrReplaceTempView("__feature_counts")
-    return spark.sql("SELECT family, feature, sum(y) AS y FROM __feature_counts GROUP BY GROUPING SETS ((family, feature), (feature), (family), ())").filter("feature IS NULL OR family IS NULL")
+    return spark.sql("SELECT family, feature, sum(y) AS y FROM __feature_counts GROUP BY GROUPING SETS ((family, feature), (feature), (family), ())")
 
 
 def mine_docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,37 +107,37 @@ def mine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.family_totals(mining.feature_counts(rows), rows)
 
 
-def mine_logodds(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+def mine_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    counts = mining.feature_counts(rows).persist()
+    counts = materialise(mining.feature_counts(rows), "counts")
     scored_rows = mining.scored_features(counts, mining.family_totals(counts, rows))
-    return mining.nominated(scored_rows, top_k).select("family", "rank", "feature", "y", F.round("z", 6).alias("z"))
+    return mining.nominated(scored_rows, TOP_K).select("family", "rank", "feature", "y", F.round("z", 6).alias("z"))
 
 
-def mined(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> Catalog:
-    return mining.mine(corpus(spark, sf_dir), top_k).persist()
+def mined(spark: SparkSession, sf_dir: str) -> Catalog:
+    return mining.mine(corpus(spark, sf_dir), TOP_K)
 
 
 def weighed(catalog: Catalog) -> Catalog:
     """A catalog with weights from the rates alone, so that SQL can check what follows."""
     weights = catalog.weights.join(catalog.features.select("feature", "base"), "feature").select("feature", "family", "rate", F.round(F.log((F.col("rate") + 0.1) / (F.col("base") + 0.1)), 6).alias("w"))
-    return Catalog(catalog.features, weights, catalog.families).persist()
+    return Catalog(catalog.features, weights, catalog.families).stored()
 
 
-def mine_vocabulary(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    return mining.with_index(mined(spark, sf_dir, top_k)).select("feature", F.col("idx").cast("long").alias("idx"))
+def mine_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.with_index(mined(spark, sf_dir)).select("feature", F.col("idx").cast("long").alias("idx"))
 
 
-def mine_features(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    return mined(spark, sf_dir, top_k).features.select("feature", F.round("idf", 6).alias("idf"), F.round("base", 6).alias("base"))
+def mine_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(spark, sf_dir).features.select("feature", F.round("idf", 6).alias("idf"), F.round("base", 6).alias("base"))
 
 
-def mine_rates(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    return mined(spark, sf_dir, top_k).weights.select("feature", "family", F.round("rate", 6).alias("rate"))
+def mine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(spark, sf_dir).weights.select("feature", "family", F.round("rate", 6).alias("rate"))
 
 
-def tfidf(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows = mining.vectors(corpus(spark, sf_dir), mined(spark, sf_dir, top_k).features)
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mining.vectors(corpus(spark, sf_dir), mined(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), "feature", F.round("v", 6).alias("v"))
 
 
@@ -163,31 +161,31 @@ POSTERIORS = f"""
     called AS (SELECT *, CASE WHEN matched >= 40 AND confidence >= 0.3 AND top <> 'unmatched' THEN top END AS call FROM decided)"""
 
 
-def who_scores(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows = attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))
-    return rows.select(F.col("id").alias("doc_id"), "family", F.round("score", 6).alias("score"), "matched")
+def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attributed(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))
+
 
+def who_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.scores(attributed(spark, sf_dir)).select(F.col("id").alias("doc_id"), "family", F.round("score", 6).alias("score"), "matched")
 
-def who_posterior(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows = attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k))))
+
+def who_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attribution.posteriors(attributed(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), "family", F.round("probability", 6).alias("probability"), F.col("rank").cast("long").alias("rank"))
 
 
-def who_call(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows = attribution.decisions(attribution.posteriors(attribution.scores(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))))
+def who_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attribution.decisions(attributed(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), "top", "runner", F.round("confidence", 5).alias("confidence"), "matched", "call")
 
 
-def who_receipts(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows, catalog = corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k))
-    vecs = mining.vectors(rows, catalog.features).persist()
-    decided = attribution.decisions(attribution.posteriors(attribution.scores(rows, catalog, vecs=vecs)))
-    found = attribution.receipts(decided, vecs, catalog)
+def who_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = attribution.receipts(attributed(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", 6).alias("contribution"), F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"))
 
 
-def who_full(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    rows = attribution.who(corpus(spark, sf_dir), weighed(mined(spark, sf_dir, top_k)))
+def who_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attribution.who(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))
     return attribution.closest(rows).select("doc_id", F.size("ranked").alias("families"), F.get("closest", 0)["family"].alias("closest"), "call", F.array_join("catalog", ",").alias("catalog"))
 
 
@@ -279,15 +277,14 @@ REPLICATION_SQL = """
     FROM first a JOIN first b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'"""
 
 
-def atlas(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
-    return corpora.atlas_row(mined(spark, sf_dir, top_k), "w:the").select("feature", "family", F.round("rate", 6).alias("rate"))
+def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.atlas_row(mined(spark, sf_dir), "w:the").select("feature", "family", F.round("rate", 6).alias("rate"))
 
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose first script reference, made from the page's number, is stamped with the page's content."""
+    """Whole pages whose references to an asset that many of them name carry the page's own stamp."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    reference = F.concat(F.lit('<link href="/styles.css'), F.when(F.col("page_id") % 2 == 0, "?v=00ff").otherwise(""), F.lit('">'))
-    return pages.select("page_id", corpora.stamp(F.col("html")).alias("stamp"), corpora.stamped(reference, "href", "styles.css", F.col("html")).alias("link"))
+    return pages.select("page_id", corpora.stamp(F.col("html")).alias("stamp"), F.md5(corpora.stamped(F.col("html"), "href", "de", F.col("html"))).alias("page_md5"))
 
 
 def _harvest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,7 +338,7 @@ QUERIES = {
     "tok_punct": (tok_marks, KIND_COUNT("p:")),
     "tok_layout": (tok_layout, KIND_COUNT("s:")),
     "mine_counts": (mine_counts, COUNTS_SQL),
-    "mine_grouping_sets": (mine_grouping, f"SELECT family, feature, count(*) AS y FROM ({BAG_SQL}) GROUP BY GROUPING SETS ((feature), (family), ())"),
+    "mine_grouping_sets": (mine_grouping, f"SELECT family, feature, count(*) AS y FROM ({BAG_SQL}) GROUP BY GROUPING SETS ((family, feature), (feature), (family), ())"),
     "mine_docfreq": (mine_docfreq, f"SELECT feature, sum(y)::BIGINT AS y_w, sum(df)::BIGINT AS df FROM ({COUNTS_SQL}) GROUP BY feature"),
     "mine_totals": (mine_totals, WITH(MINED, "SELECT family, total::BIGINT AS total, samples FROM totals JOIN samples USING (family)")),
     "mine_logodds_topk": (mine_logodds, WITH(MINED, "SELECT family, rank, feature, y, round(z, 6) AS z FROM top")),
@@ -375,14 +372,10 @@ QUERIES = {
     "group_counts": (group_counts, f"SELECT family, count(*) AS n, count(DISTINCT prompt_id) AS prompts FROM ({CORPUS_SQL}) GROUP BY family"),
     "replication_medians": (replication, REPLICATION_SQL),
     "atlas_row": (atlas, WITH(MINED, "SELECT feature, family, round(rate, 6) AS rate FROM weights WHERE feature = 'w:the'")),
-    "asset_stamp": (stamps, """SELECT page_id, substr(sha256(html), 1, 8) AS stamp, '<link href="/styles.css?v=' || substr(sha256(html), 1, 8) || '">' AS link FROM pages"""),
+    "asset_stamp": (stamps, r"""SELECT page_id, substr(sha256(html), 1, 8) AS stamp, md5(regexp_replace(html, 'href="/de(?:\?v=[0-9a-f]+)?"', 'href="/de?v=' || substr(sha256(html), 1, 8) || '"', 'g')) AS page_md5 FROM pages"""),
     "harvest_pending": (pending, PENDING_SQL),
     "harvest_round_robin": (round_robin, f"SELECT model_idx, turn, prompt_id FROM ({PENDING_SQL}) ORDER BY turn, model_idx LIMIT 50"),
     "fit_lbfgs": (fit_lbfgs, None),
     "fit_replay": (fit_replay, None),
     "evaluate_full": (evaluate, None),
 }
-
-#: The same over catalogs of the operators' default size.
-MINED_NAMES = ("mine_logodds_topk", "mine_vocab", "mine_features", "mine_catalog_rates", "tfidf_vectors", "atlas_row", "who_scores", "who_posterior", "who_call", "who_receipts", "who_full")
-QUERIES |= {f"{n}_full_catalog": (partial(QUERIES[n][0], top_k=FULL_TOP_K), QUERIES[n][1].replace(f"rank <= {TOP_K})", f"rank <= {FULL_TOP_K})")) for n in MINED_NAMES}

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .spans import word_count
 
 #: Unicode's alphanumerics; the apostrophe belongs to words.
 WORD_GAP = r"[^\p{IsAlphabetic}\p{N}']+"
@@ -14,6 +13,9 @@ MARK = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}']"
 LONGEST_WORD = 32
 
 
+WORD = P.PY_SPACE.replace("[", "[^", 1) + "+"
+
+
 def words(text: Column) -> Column:
     """Words in order, lower-cased; those of 32 bytes or more and empty ones are left out."""
     kept = F.filter(F.split(text, WORD_GAP), lambda w: (F.octet_length(w) > 0) & (F.octet_length(w) < LONGEST_WORD))
@@ -37,7 +39,7 @@ def mark_features(text: Column) -> Column:
 def line_kind(line: Column) -> Column:
     """What a line looks like: markup first, then its length in words."""
     t = F.regexp_replace(line, "^" + P.PY_SPACE + "+", "")
-    n = word_count(t)
+    n = F.regexp_count(t, F.lit(WORD))
     return (
         F.when(F.startswith(t, F.lit("```")), "fence")
         .when(F.startswith(t, F.lit("#")), "heading")

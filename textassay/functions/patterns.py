@@ -7,23 +7,24 @@ White_Space property; Java needs (?U) for it, Python's own class has four more.
 
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PY_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-SPACE = r"\p{IsWhite_Space}"
 
-# Masks; the same text serves Java and Python.
+# Masks.  Elements whose whole content is no prose:
+BLOCK_NAMES = ("script", "style", "svg", "code")
+#: The same with comments as one pattern, for SQL.
 HTML_BLOCK = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<svg\b[^>]*>.*?</svg\s*>|<code\b[^>]*>.*?</code\s*>|<!--.*?-->"
 HTML_TAG = r"(?s)<[a-zA-Z/!][^>]*>"
 INLINE_CODE = r"`[^`\n]+`"
 URL = r"https?://[^\s)>\"'\]]+"
-#: What a text with masked regions must contain.
-MASK_CUE = r"[`<]|https?://"
 
-SENTENCE = r"[.!?]+(?:\p{IsWhite_Space}+|\z)"
-PY_SENTENCE = r"[.!?]+(?:" + PY_SPACE + r"+|\Z)"
+PY_SENTENCE = r"(?<![.!?])[.!?]++(?:" + PY_SPACE + r"+|\Z)"
 TRIAD = r"\b[A-Za-z]+, [A-Za-z]+, and [A-Za-z]+\b"
 NUMBER_RANGE = r"(\d)" + PY_SPACE + "*[–—]" + PY_SPACE + r"*(\d|Present|Current|Now|[A-Z][a-z]+\.? \d)"
 #: A run of blanks in a line, with something on both sides of it.
 SPACE_RUN = r"(?<=[^\n \t])[ \t]{2,}(?=[^\n \t])"
 
+#: What a text with a bullet line must contain.
+BULLET_CUE = r"(?m)^[\t\x0b-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+(?:[-*] |[0-9])"
+
 EXCERPT = 60
 BULLETS, BULLET_SHARE = 4, 0.8
 SENTENCES, SENTENCE_WORDS, SENTENCE_CV = 8, 3, 0.3

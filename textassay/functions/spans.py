@@ -1,109 +1,51 @@
-"""Spans of matches, masks and segments as native columns.
-
-A span array is ``array<struct<start,end,at,hit>>``: byte offsets, the code
-point (from 1) where the match begins, and what matched.  Matches are those of
-one left-to-right scan; whatever rejects them comes afterwards.
-"""
+"""Intervals of one row, in time linear in their number."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import patterns as P
+from . import exact
 
-SPANS = "array<struct<start:int,end:int,at:int,hit:string>>"
 INTERVALS = "array<struct<start:int,end:int>>"
 
 
-def span_array(text: Column, pattern: str, cue: Column | None = None) -> Column:
-    """All matches of a pattern that never matches the empty string.
-
-    The gaps between matches give the offsets.  Nothing is built for a text in
-    which ``cue`` (otherwise a first scan) excludes a match.
-    """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("byte"), F.lit(1).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["byte"] + F.octet_length(x["g"])
-        at = acc["at"] + F.char_length(x["g"])
-        end = first + F.octet_length(x["m"])
-        one = F.struct(first.alias("start"), end.alias("end"), at.alias("at"), x["m"].alias("hit"))
-        return F.struct(end.alias("byte"), (at + F.char_length(x["m"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    paired = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), hits, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(F.regexp_like(text, F.lit(pattern)) if cue is None else cue, F.aggregate(paired, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
-
+def _pairs(spans) -> list[tuple[int, int]]:
+    return [(s["start"], s["end"]) for s in spans]
 
-ALNUM = "[0-9A-Za-z]"
 
+def _named(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
 
-def is_bounded(text: Column, span: Column) -> Column:
-    """No ASCII letter or digit goes on across an edge of the span."""
-    hit, at = span["hit"], span["at"]
-    before = F.when(at > 1, F.substring(text, at - 1, F.lit(1))).otherwise("")
-    after = F.substring(text, at + F.char_length(hit), F.lit(1))
-    crosses = lambda a, b: F.regexp_like(a, F.lit(f"{ALNUM}$")) & F.regexp_like(b, F.lit(f"^{ALNUM}"))
-    return ~crosses(before, hit) & ~crosses(hit, after)
 
+def _per_row(kind: str, work: Callable, columns: tuple[Column, ...]) -> Column:
+    """``work`` of each row's intervals and numbers; null intervals give null."""
 
-def word_before(text: Column, at: Column) -> Column:
-    """The ASCII letters that end the last ASCII word before code point ``at`` (from 1), in lower case."""
-    head = F.reverse(F.substring(text, F.lit(1), at - 1))
-    return F.lower(F.reverse(F.regexp_extract(head, "^[^0-9A-Za-z]*([A-Za-z]*)", 1)))
+    @F.pandas_udf(kind)
+    def applied(spans: pd.Series, *rest: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else work(_pairs(s), *map(int, r)) for s, *r in zip(spans, *rest, strict=True)], dtype=object)
 
-
-def overlaps(mask: Column, start: Column, end: Column) -> Column:
-    return F.exists(mask, lambda m: (start < m["end"]) & (end > m["start"]))
-
-
-def covers(mask: Column, point: Column) -> Column:
-    return F.exists(mask, lambda m: (point >= m["start"]) & (point < m["end"]))
+    return applied(*columns)
 
 
 def merged(intervals: Column) -> Column:
     """Intervals in order, those that overlap or touch made one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        joins = (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.when(F.size(intervals) < 2, intervals).otherwise(F.aggregate(F.array_sort(intervals), F.array().cast(INTERVALS), step))
+    return _per_row(INTERVALS, lambda spans: _named(exact.merge(spans)), (intervals,))
 
 
 def complement(mask: Column, length: Column) -> Column:
-    """What disjoint sorted intervals leave of ``length`` bytes, in order."""
-    edge = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    befores = F.transform(mask, lambda m, i: edge(F.when(i > 0, F.try_element_at(mask, F.greatest(i, F.lit(1)))["end"]).otherwise(0), m["start"]))
-    tail = F.array(edge(F.coalesce(F.try_element_at(mask, F.lit(-1))["end"], F.lit(0)), length))
-    return F.filter(F.concat(befores, tail), lambda s: s["start"] < s["end"])
-
-
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text.cast("binary"), start + 1, end - start).cast("string")
-
+    """What disjoint sorted intervals leave of a length, in order."""
+    return _per_row(INTERVALS, lambda spans, n: _named(exact.prose_spans(n, spans)), (mask, length))
 
-WORDS = P.PY_SPACE.replace("[", "[^", 1) + "+"
 
-
-def word_count(text: Column) -> Column:
-    """Pieces between Unicode white space."""
-    return F.regexp_count(text, F.lit(WORDS))
-
-
-def cue_for(text: Column, lowered: Column, pattern: str) -> Column | None:
-    """A cheap test that every text with a match of ``pattern`` passes; None if none is known."""
-    literals, folded = P.required_literals(pattern)
-    if not literals:
-        return None
-    return reduce(or_, [F.contains(lowered if folded else text, F.lit(x)) for x in literals])
+def covers(mask: Column, point: Column) -> Column:
+    """Whether a point lies in one of disjoint sorted intervals."""
+    return _per_row("boolean", exact.covers, (mask, point))
 
 
-def excerpt(text: Column) -> Column:
-    return F.when(F.char_length(text) <= P.EXCERPT, text).otherwise(F.concat(F.substring(text, 1, P.EXCERPT - 3), F.lit("...")))
+def overlaps(mask: Column, start: Column, end: Column) -> Column:
+    """Whether a half-open span overlaps one of disjoint sorted intervals."""
+    return _per_row("boolean", exact.overlaps, (mask, start, end))

@@ -2,76 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textassay.functions import exact
-from textassay.functions import patterns as P
-from textassay.functions import rewrite as R
 from textassay.sources.packs import Engine, default_engine
 
-
-def fixed_plain(text: Column, engine: Engine) -> Column:
-    """All steps in order, for a text without masked regions."""
-    done = R.spaced_en_dashes(R.em_dashes(R.number_ranges(text)))
-    done = R.pack_replacements(done, engine)
-    return R.first_capital(text, R.sentence_capitals(R.cleanup(R.word_swaps(done, engine))))
+from .lint import over_texts
 
 
-def fix(df: DataFrame, engine: Engine | None = None, text_col: str = "text", out_col: str = "fixed") -> DataFrame:
-    """``df`` with each text rewritten.
+def fix(df: DataFrame, engine: Engine | None = None, text_col: str = "text", out_col: str = "fixed", steps: tuple[str, ...] | None = None) -> DataFrame:
+    """``df`` with each text rewritten, segment by segment between its masked regions.
 
-    Texts without a cue of markup or code are rewritten by native columns; the
-    others, segment by segment between their masked regions, in Python.  Steps
-    that scan the text more than once have columns of their own.
+    ``steps`` (names of ``exact.STEPS``) does these alone.  A null text stays null.
     """
     engine = engine or default_engine()
-    cue = F.coalesce(F.regexp_like(F.col(text_col), F.lit(P.MASK_CUE)), F.lit(False))
-    plain = df.filter(~cue)
-    plain = plain.withColumn("__packed", R.pack_replacements(R.spaced_en_dashes(R.em_dashes(R.number_ranges(F.col(text_col)))), engine))
-    plain = plain.withColumn("__swapped", R.word_swaps(F.col("__packed"), engine))
-    plain = plain.withColumn("__clean", R.cleanup(F.col("__swapped")))
-    plain = plain.withColumn("__capital", R.sentence_capitals(F.col("__clean")))
-    plain = plain.withColumn(out_col, R.first_capital(F.col(text_col), F.col("__capital"))).drop("__packed", "__swapped", "__clean", "__capital")
-
-    @F.pandas_udf("string")
-    def rewritten(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield some.map(lambda t: exact.fix_text(t, engine), na_action="ignore")
+    done = over_texts(df, text_col, {out_col: "string"}, lambda texts: [pa.array([exact.fix_text(t, engine, steps) for t in texts], pa.string())])
+    return done.withColumn(out_col, F.when(F.col(text_col).isNotNull(), F.col(out_col)))
 
-    return plain.unionByName(df.filter(cue).withColumn(out_col, rewritten(F.col(text_col))))
-
-
-def fix_exact(df: DataFrame, engine: Engine | None = None, text_col: str = "text", out_col: str = "fixed") -> DataFrame:
-    """All texts by the per-text Python path."""
-    engine = engine or default_engine()
 
-    @F.pandas_udf("string")
-    def rewritten(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield some.map(lambda t: exact.fix_text(t, engine), na_action="ignore")
-
-    return df.withColumn(out_col, rewritten(F.col(text_col)))
-
-
-def guarantee(df: DataFrame, engine: Engine | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text the weight before and after rewriting, and the fixable findings that are left.
-
-    Both lints and the rewriting of a text are one step in Python: as columns,
-    a lint of a rewritten text would hold the rewriting many times over.
-    """
+def guarantee(df: DataFrame, engine: Engine | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with the weight of each text before and after rewriting, and the fixable findings that are left."""
     engine = engine or default_engine()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            before = [exact.lint_text(t, engine) for t in texts]
-            after = [exact.lint_text(exact.fix_text(t, engine), engine) for t in texts]
-            yield pd.DataFrame({"id": pdf["id"], "before": [r[2] for r in before], "after": [r[2] for r in after], "fixable_left": [sum(f["fixable"] for f in r[0]) for r in after]})
+    def build(texts: list[str]) -> list[pa.Array]:
+        weight = lambda found: float(sum(exact.details(f[2], engine)[2] for f in found))
+        before = [exact.findings_of(t, engine)[0] for t in texts]
+        after = [exact.findings_of(exact.fix_text(t, engine), engine)[0] for t in texts]
+        left = [sum(exact.details(f[2], engine)[4] for f in found) for found in after]
+        return [pa.array(map(weight, before), pa.float64()), pa.array(map(weight, after), pa.float64()), pa.array(left, pa.int32())]
 
-    kind = dict(df.dtypes)[id_col]
-    done = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, before double, after double, fixable_left int")
-    return done.withColumnRenamed("id", id_col)
+    return over_texts(df, text_col, {"before": "double", "after": "double", "fixable_left": "int"}, build)

@@ -7,6 +7,6 @@ from .source_queries import QUERIES as SOURCES
 
 ENTRIES = LINT | SOURCES
 #: Reports of every document.
-flagship = ENTRIES["lint_report_whole"][0]
+flagship = ENTRIES["lint_report"][0]
 
 __all__ = ["ENTRIES", "flagship"]

@@ -26,10 +26,6 @@ SUFFIX = """CASE doc_id % 12
  WHEN 11 THEN 'One two three four. Five six seven eight. One two three four. Five six seven eight. One two three four. Five six seven eight. One two three four. Five six seven eight. One two three four.'
  ELSE '' END"""
 
-#: Where documents of remainder 11 are short, their sentences are uniform.
-SEEDED_SQL = f"SELECT doc_id, CASE WHEN doc_id % 24 = 11 THEN '' ELSE text || ' ' END || {SUFFIX} AS text FROM documents"
-#: Seeded documents without masked regions.
-PLAIN_SQL = f"SELECT * FROM ({SEEDED_SQL}) WHERE doc_id % 12 NOT IN (8, 9)"
 #: Every document with its own text and its suffix.
 WHOLE_SQL = f"SELECT doc_id, text || ' ' || {SUFFIX} AS text FROM documents"
 CORPUS_SQL = "SELECT doc_id, CASE WHEN lang = 'es' THEN 'unmatched' ELSE lang END AS family, CAST(doc_id % 50 AS VARCHAR) AS prompt_id, text FROM documents"
@@ -43,15 +39,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(F.col("doc_id") % 24 == 11, "").otherwise(F.concat("text", F.lit(" ")))
-    return documents(spark, sf_dir).select("doc_id", F.concat(head, F.expr(SUFFIX)).alias("text"))
-
-
-def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(spark, sf_dir).filter(~(F.col("doc_id") % 12).isin(8, 9))
-
-
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, none left out or emptied."""
     return documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), F.expr(SUFFIX)).alias("text"))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textassay.functions import patterns as P
-from textassay.functions import rewrite as R
 from textassay.functions import spans as S
 from textassay.operators import fix as fixing
 from textassay.operators import lint
 from textassay.sources.packs import Engine, Pack, Rule, base_pack, literal_regex, merge_rules, rules_frame
 
-from .fixtures import PLAIN_SQL, SEEDED_SQL, WHOLE_SQL, documents, plain, seeded, whole
+from .fixtures import WHOLE_SQL, documents, whole
 
 ENGINE = Engine.compile([base_pack()])
 LITERALS = list(ENGINE.literals)
@@ -51,105 +48,136 @@ GUARD_SQL = f"NOT (rule_id = 'T016' AND lower(regexp_extract(substr(text, 1, at_
 EXCERPT_SQL = "CASE WHEN length(hit) <= 60 THEN hit ELSE substr(hit, 1, 57) || '...' END"
 
 
-def literal_spans(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
-    found = texts(spark, sf_dir).select("doc_id", F.explode(S.span_array(F.col("text"), literal_regex(LITERALS))).alias("s"))
-    return found.select("doc_id", F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"), F.col("s.at").alias("at_c"), F.col("s.hit").alias("hit"))
-
-
-def lint_literals(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
-    found = lint.literal_findings(F.col("text"), F.array().cast(S.INTERVALS), ENGINE)
-    ids = F.array(*[F.lit(r.id) for r in ENGINE.rules])
-    rows = texts(spark, sf_dir).select("doc_id", F.explode(found).alias("s"))
-    return rows.select("doc_id", F.get(ids, F.col("s.rule")).alias("rule_id"), F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"))
-
-
-LITERAL_FINDINGS_SQL = lambda source: f"""
+# The masks: candidates of every sort, each kept if its start is free of the sorts before; then merged.
+CANDIDATES = lambda k, pattern: f"SELECT doc_id, {k} AS sort, start_b, end_b, at_c - 1 AS start_c, at_c - 1 + length(hit) AS end_c FROM ({spans_sql('SELECT doc_id, text FROM whole', pattern)})"
+FREE = lambda k, earlier: f"SELECT c.* FROM candidates c WHERE sort = {k} AND NOT EXISTS (SELECT 1 FROM ({earlier}) e WHERE e.doc_id = c.doc_id AND c.start_b >= e.start_b AND c.start_b < e.end_b)"
+MASK_CTES = f"""
+    whole AS MATERIALIZED ({WHOLE_SQL}),
+    line AS (SELECT doc_id, text, i, len(lines) AS n, lines[i] AS line,
+                    coalesce(list_sum(list_transform(lines[1:i-1], lambda x: strlen(x) + 1)), 0)::BIGINT AS start_b,
+                    coalesce(list_sum(list_transform(lines[1:i-1], lambda x: length(x) + 1)), 0)::BIGINT AS start_c
+             FROM (SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM whole WHERE contains(text, '```')))),
+    mark AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM line WHERE starts_with(regexp_replace(line, '^\\s+', ''), '```')),
+    fence AS (SELECT o.doc_id, 0 AS sort, o.start_b, CASE WHEN c.i IS NULL OR c.i = c.n THEN strlen(o.text) ELSE c.start_b + strlen(c.line) + 1 END AS end_b,
+                     o.start_c, CASE WHEN c.i IS NULL OR c.i = c.n THEN length(o.text) ELSE c.start_c + length(c.line) + 1 END AS end_c
+              FROM mark o LEFT JOIN mark c ON c.doc_id = o.doc_id AND c.k = o.k + 1 WHERE o.k % 2 = 1),
+    candidates AS MATERIALIZED ({" UNION ALL ".join(CANDIDATES(k + 1, p) for k, p in enumerate((P.HTML_BLOCK, P.HTML_TAG, P.INLINE_CODE, P.URL)))}),
+    m1 AS MATERIALIZED (SELECT * FROM fence UNION ALL {FREE(1, "SELECT * FROM fence")}),
+    m2 AS MATERIALIZED (SELECT * FROM m1 UNION ALL {FREE(2, "SELECT * FROM m1")}),
+    m3 AS MATERIALIZED (SELECT * FROM m2 UNION ALL {FREE(3, "SELECT * FROM m2")}),
+    m4 AS MATERIALIZED (SELECT * FROM m3 UNION ALL {FREE(4, "SELECT * FROM m3")}),
+    mask AS MATERIALIZED (
+        SELECT doc_id, min(start_b) AS s, max(end_b) AS e, min(start_c) AS sc, max(end_c) AS ec
+        FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_b, end_b ROWS UNBOUNDED PRECEDING) AS island
+              FROM (SELECT *, CASE WHEN start_b <= max(end_b) OVER (PARTITION BY doc_id ORDER BY start_b, end_b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM m4))
+        GROUP BY doc_id, island),
+    segment AS MATERIALIZED (
+        SELECT doc_id, sc AS place, false AS prose, substr(text, (sc + 1)::INT, (ec - sc)::INT) AS text FROM mask JOIN whole USING (doc_id)
+        UNION ALL
+        SELECT doc_id, a, true, substr(text, (a + 1)::INT, (b - a)::INT) FROM (
+            SELECT doc_id, coalesce(lag(ec) OVER (PARTITION BY doc_id ORDER BY sc), 0) AS a, sc AS b FROM mask
+            UNION ALL SELECT w.doc_id, coalesce(max(ec), 0), any_value(length(w.text)) FROM whole w LEFT JOIN mask m ON m.doc_id = w.doc_id GROUP BY w.doc_id)
+        JOIN whole USING (doc_id) WHERE a < b)"""
+WORDS_SQL = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
+OUTSIDE = lambda rows, end="end_b": f"SELECT x.* FROM ({rows}) x WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.doc_id = x.doc_id AND m.s < x.{end} AND m.e > x.start_b)"
+WHOLE = "SELECT doc_id, text FROM whole"
+LITERAL_FINDINGS_SQL = OUTSIDE(f"""
     SELECT doc_id, rule_id, start_b, end_b, {EXCERPT_SQL} AS excerpt, weight
-    FROM ({spans_sql(source, literal_regex(LITERALS))}) s JOIN {RULES_SQL} ON lower(hit) = form
-    WHERE {BOUNDED_SQL} AND {GUARD_SQL}"""
-REGEX_FINDINGS_SQL = lambda source: " UNION ALL ".join(
-    f"SELECT doc_id, {q(ENGINE.rules[k].id)} AS rule_id, start_b, end_b, {EXCERPT_SQL} AS excerpt, {ENGINE.rules[k].weight:.6f} AS weight FROM ({spans_sql(source, pattern)})" for k, pattern in ENGINE.regexes
-)
+    FROM ({spans_sql(WHOLE, literal_regex(LITERALS))}) s JOIN {RULES_SQL} ON lower(hit) = form
+    WHERE {BOUNDED_SQL} AND {GUARD_SQL}""")
+REGEX_FINDINGS_SQL = OUTSIDE(" UNION ALL ".join(
+    f"SELECT doc_id, {q(ENGINE.rules[k].id)} AS rule_id, start_b, end_b, {EXCERPT_SQL} AS excerpt, {ENGINE.rules[k].weight:.6f} AS weight FROM ({spans_sql(WHOLE, pattern)})" for k, pattern in ENGINE.regexes
+))
+MASKED = lambda select: f"WITH {MASK_CTES}, found AS MATERIALIZED ({FINDINGS_SQL}), report AS ({REPORT_SQL}) {select}"
 
 # --- rules of whole documents
 
-BULLETS_SQL = lambda source: f"""
-    SELECT doc_id, i, body, rest, start_b,
+BULLETS_SQL = OUTSIDE("""
+    SELECT doc_id, i, body, rest, start_b, start_b + strlen(body) + 1 AS end_b,
            lower(regexp_replace(regexp_extract(rest, '[^\\s]+'), '^[*_]+', '')) AS opener
     FROM (SELECT *, regexp_replace(regexp_replace(body, '^[-* ]+', ''), '^[0-9.]+', '') AS rest
           FROM (SELECT doc_id, i, regexp_replace(lines[i], '^\\s+', '') AS body,
                        coalesce(list_sum(list_transform(lines[1:i-1], lambda x: strlen(x) + 1)), 0)::BIGINT AS start_b
                 FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-                      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ({source})))))
+                      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM whole))))
     WHERE (starts_with(body, '- ') OR starts_with(body, '* ') OR (regexp_matches(body, '^[0-9]') AND contains(body || chr(10), '. ')))
-      AND regexp_matches(rest, '[^\\s]')"""
-S001_SQL = lambda source: f"""
+      AND regexp_matches(rest, '[^\\s]')""")
+S001_SQL = f"""
     SELECT doc_id, 'S001' AS rule_id, start_b, start_b AS end_b, n || '/' || total || ' bullets open with "' || opener || '"' AS excerpt, 2.0 AS weight
     FROM (SELECT doc_id, opener, count(*) AS n, sum(count(*)) OVER w AS total, min(min(start_b)) OVER w AS start_b,
                  row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, opener DESC) AS r
-          FROM ({BULLETS_SQL(source)}) GROUP BY doc_id, opener WINDOW w AS (PARTITION BY doc_id))
+          FROM ({BULLETS_SQL}) GROUP BY doc_id, opener WINDOW w AS (PARTITION BY doc_id))
     WHERE r = 1 AND total >= 4 AND n / total >= 0.8"""
-SENTENCES_SQL = lambda source: f"""
+SENTENCES_SQL = """
     SELECT doc_id, n, sqrt(n * squares - total * total) / total AS cv
     FROM (SELECT doc_id, count(*)::DOUBLE AS n, sum(w)::DOUBLE AS total, sum(w * w)::DOUBLE AS squares
           FROM (SELECT doc_id, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS w
-                FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+(?:\\s+|$)')) AS s FROM ({source})))
+                FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+(?:\\s+|$)')) AS s FROM whole))
           WHERE w >= 3 GROUP BY doc_id)"""
-S002_SQL = lambda source: f"""
+S002_SQL = f"""
     SELECT doc_id, 'S002' AS rule_id, 0 AS start_b, 0 AS end_b, printf('%d sentences, length CV %.2f', n::BIGINT, cv) AS excerpt, 2.0 AS weight
-    FROM ({SENTENCES_SQL(source)}) WHERE n >= 8 AND cv < 0.3"""
-S003_SQL = lambda source: f"""
-    SELECT doc_id, 'S003' AS rule_id, start_b, end_b, {EXCERPT_SQL} AS excerpt, 0.25 AS weight
-    FROM ({spans_sql(source, P.TRIAD)}) QUALIFY count(*) OVER (PARTITION BY doc_id) >= 3"""
-FINDINGS_SQL = lambda source: " UNION ALL ".join(f(source) for f in (LITERAL_FINDINGS_SQL, REGEX_FINDINGS_SQL, S001_SQL, S002_SQL, S003_SQL))
-WORDS_SQL = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
+    FROM ({SENTENCES_SQL}) WHERE n >= 8 AND cv < 0.3"""
+TRIADS_SQL = OUTSIDE(f"SELECT doc_id, start_b, end_b, {EXCERPT_SQL} AS excerpt FROM ({spans_sql(WHOLE, P.TRIAD)})")
+S003_SQL = f"SELECT doc_id, 'S003' AS rule_id, start_b, end_b, excerpt, 0.25 AS weight FROM ({TRIADS_SQL}) QUALIFY count(*) OVER (PARTITION BY doc_id) >= 3"
+FINDINGS_SQL = " UNION ALL ".join((LITERAL_FINDINGS_SQL, REGEX_FINDINGS_SQL, S001_SQL, S002_SQL, S003_SQL))
 REPORT_SQL = f"""
     SELECT doc_id, n_findings, words, round(total_weight, 4) AS total_weight,
            round(CASE WHEN words = 0 THEN 0 ELSE total_weight / (words / 1000.0e0) END, 4) AS score,
            CASE WHEN words = 0 THEN 'clean' WHEN total_weight / (words / 1000.0e0) >= 6 THEN 'heavy' WHEN total_weight / (words / 1000.0e0) >= 2 THEN 'seasoned' ELSE 'clean' END AS band
-    FROM (SELECT d.doc_id, count(f.rule_id) AS n_findings, any_value({WORDS_SQL.replace("text", "d.text")}) AS words, coalesce(sum(f.weight), 0)::DOUBLE AS total_weight
-          FROM ({PLAIN_SQL}) d LEFT JOIN ({FINDINGS_SQL(PLAIN_SQL)}) f ON d.doc_id = f.doc_id GROUP BY d.doc_id)"""
+    FROM (SELECT w.doc_id, count(f.rule_id) AS n_findings, any_value(coalesce(p.words, 0))::BIGINT AS words, coalesce(sum(f.weight), 0)::DOUBLE AS total_weight
+          FROM whole w LEFT JOIN found f ON w.doc_id = f.doc_id
+          LEFT JOIN (SELECT doc_id, sum({WORDS_SQL}) AS words FROM segment WHERE prose GROUP BY doc_id) p ON p.doc_id = w.doc_id GROUP BY w.doc_id)"""
+LITERAL_IDS = sorted({ENGINE.rules[k].id for k in ENGINE.literals.values()})
+REGEX_IDS = sorted({ENGINE.rules[k].id for k, _ in ENGINE.regexes})
+
+
+def literal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint.literal_spans(whole(spark, sf_dir), ENGINE).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"), F.col("s.at").alias("at_c"), F.col("s.hit").alias("hit"))
 
 
-def found(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    rows = lint.findings(texts(spark, sf_dir), ENGINE)
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lint.findings(whole(spark, sf_dir), ENGINE)
     return rows.select("doc_id", "rule_id", F.col("start").alias("start_b"), F.col("end").alias("end_b"), "excerpt", F.round("weight", 4).alias("weight"))
 
 
-def lint_regexes(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    ids = F.array(*[F.lit(r.id) for r in ENGINE.rules])
-    rows = texts(spark, sf_dir).select("doc_id", F.explode(lint.regex_findings(F.col("text"), F.array().cast(S.INTERVALS), ENGINE)).alias("s"))
-    return rows.select("doc_id", F.get(ids, F.col("s.rule")).alias("rule_id"), F.col("s.start").alias("start_b"), F.col("s.end").alias("end_b"))
+def lint_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of words and phrases."""
+    return found(spark, sf_dir).filter(F.col("rule_id").isin(LITERAL_IDS)).select("doc_id", "rule_id", "start_b", "end_b")
+
 
+def lint_regexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of patterns."""
+    return found(spark, sf_dir).filter(F.col("rule_id").isin(REGEX_IDS)).select("doc_id", "rule_id", "start_b", "end_b")
 
-def lint_report(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    rows = lint.reports(texts(spark, sf_dir), ENGINE)
+
+def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lint.reports(whole(spark, sf_dir), ENGINE)
     return rows.select("doc_id", "n_findings", "words", F.round("total_weight", 4).alias("total_weight"), F.round("score", 4).alias("score"), "band")
 
 
-def lint_rollup(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return lint.rule_rollup(lint.findings(texts(spark, sf_dir), ENGINE)).select("rule_id", "n", F.round("weight", 4).alias("weight"))
+def lint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.json_reports(whole(spark, sf_dir), ENGINE)
+
 
+def lint_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.rule_rollup(lint.findings(whole(spark, sf_dir), ENGINE)).select("rule_id", "n", F.round("weight", 4).alias("weight"))
 
-def lint_gate(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return lint.gate(lint.reports(texts(spark, sf_dir), ENGINE), "seasoned")
 
+def lint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.gate(lint.reports(whole(spark, sf_dir), ENGINE), "seasoned")
 
-def s001(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    found = lint.bullets(F.col("text"), F.array().cast(S.INTERVALS))
-    rows = texts(spark, sf_dir).select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.*")
-    return rows.groupBy("doc_id", "opener").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_b"))
 
+def structural(rule_id: str):
+    def of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return found(spark, sf_dir).filter(F.col("rule_id") == rule_id).select("doc_id", "start_b", "end_b", "excerpt")
 
-def s002(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    stats = texts(spark, sf_dir).select("doc_id", lint.tokens(F.col("text")).alias("t")).select("doc_id", lint.sentence_stats(F.col("t")).alias("s"))
-    return stats.filter("s.n > 0").select("doc_id", F.col("s.n").cast("double").alias("n"), F.round(lint.sentence_cv(F.col("s")), 6).alias("cv"))
+    return of
 
 
-def s003(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    none = F.array().cast(S.INTERVALS)
-    rows = texts(spark, sf_dir).select("doc_id", lint.triad_spans(F.col("text"), none).alias("t")).select("doc_id", F.explode(lint.triads(F.col("t"))).alias("f"))
-    return rows.select("doc_id", F.col("f.start").alias("start_b"), F.col("f.end").alias("end_b"), F.col("f.excerpt").alias("excerpt"))
+def s002(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = lint.sentence_stats(whole(spark, sf_dir)).filter("n > 0")
+    return stats.select("doc_id", F.col("n").cast("double").alias("n"), F.round("cv", 6).alias("cv"))
 
 
 # --- masks and intervals
@@ -196,67 +224,22 @@ MASK_HITS_SQL = f"""
     FROM documents d, range(0, 101, 10) p(p) JOIN ({MERGED_SQL}) m ON m.doc_id = d.doc_id GROUP BY d.doc_id, p.p"""
 
 
-def prose_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words outside the merged intervals, of ASCII texts padded to hold them."""
-    base = F.rpad(F.regexp_replace(F.col("text"), r"[^\x00-\x7f]", "x"), 200, " pad")
-    rows = documents(spark, sf_dir).select("doc_id", base.alias("text")).join(intervals(spark, sf_dir), "doc_id")
-    return rows.select("doc_id", lint.prose_words(F.col("text"), F.col("mask")).alias("words"))
-
-
-PROSE_WORDS_SQL = f"""
-    SELECT doc_id, sum(len(list_filter(string_split_regex(substr(text, (s + 1)::INT, (e - s)::INT), '\\s+'), lambda x: x <> '')))::BIGINT AS words
-    FROM (SELECT doc_id, rpad(regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') || repeat(' pad', 50), 200, ' ') AS text FROM documents) t
-    JOIN (SELECT doc_id, s, CASE WHEN e = 110 THEN 200 ELSE e END AS e FROM ({SEGMENTS_SQL})) USING (doc_id) GROUP BY doc_id"""
-
-
-def prose_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words outside the merged intervals, of whole ASCII texts; those too short to hold them are padded."""
-    base = F.regexp_replace(F.col("text"), r"[^\x00-\x7f]", "x")
-    held = F.when(F.length(base) < 200, F.rpad(base, 200, " pad")).otherwise(base)
-    rows = documents(spark, sf_dir).select("doc_id", held.alias("text")).join(intervals(spark, sf_dir), "doc_id")
-    return rows.select("doc_id", lint.prose_words(F.col("text"), F.col("mask")).alias("words"))
-
-
-PROSE_WORDS_WHOLE_SQL = f"""
-    SELECT doc_id, sum(len(list_filter(string_split_regex(substr(text, (s + 1)::INT, (CASE WHEN e = 110 THEN length(text) ELSE e END - s)::INT), '\\s+'), lambda x: x <> '')))::BIGINT AS words
-    FROM (SELECT doc_id, rpad(base || repeat(' pad', 50), greatest(length(base), 200)::INT, ' ') AS text
-          FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS base FROM documents)) t
-    JOIN ({SEGMENTS_SQL}) USING (doc_id) GROUP BY doc_id"""
-
-
-def mask_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    hits = F.regexp_extract_all("html", F.lit(P.HTML_TAG), F.lit(0))
-    return pages.select("page_id", hits.alias("h")).select("page_id", F.size("h").alias("tags"), F.octet_length(F.array_join("h", "")).alias("bytes"))
-
-
-def mask_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    left = F.regexp_replace("html", P.HTML_BLOCK, "")
-    return pages.select("page_id", F.octet_length(left).alias("bytes_left"), F.md5(left).alias("left_md5"))
-
-
-def mask_inline(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
-    left = F.regexp_replace(F.regexp_replace("text", P.INLINE_CODE, "<c>"), P.URL, "<u>")
-    return texts(spark, sf_dir).select("doc_id", F.md5(left).alias("left_md5"))
+def mask_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged masks of all texts: fences, blocks, tags, inline code and URLs."""
+    rows = lint.with_mask(whole(spark, sf_dir)).select("doc_id", F.explode("mask").alias("m"))
+    return rows.select("doc_id", F.col("m.start").alias("start_b"), F.col("m.end").alias("end_b"))
 
 
-def fence_lines(spark: SparkSession, sf_dir: str, texts=seeded) -> DataFrame:
-    """Lines inside fences, by a running count of fence lines."""
-    from pyspark.sql import Window
+def page_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks of raw pages, where script, style and comments are long."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    rows = lint.with_mask(pages, "html").select("page_id", F.explode("mask").alias("m"))
+    return rows.select("page_id", F.col("m.start").alias("start_b"), F.col("m.end").alias("end_b"))
 
-    rows = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
-    mark = F.startswith(F.regexp_replace("x", "^" + P.PY_SPACE + "+", ""), F.lit("```")).cast("int")
-    seen = F.sum(mark).over(Window.partitionBy("doc_id").orderBy("line"))
-    return rows.select("doc_id", "line", mark.alias("mark"), seen.alias("seen")).filter("seen % 2 = 1 OR mark = 1").select("doc_id", F.col("line").cast("long").alias("line"))
 
+def prose_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.reports(whole(spark, sf_dir), ENGINE).select("doc_id", "words")
 
-FENCE_SQL = f"""
-    SELECT doc_id, line FROM (
-        SELECT doc_id, line, mark, sum(mark) OVER (PARTITION BY doc_id ORDER BY line) AS seen
-        FROM (SELECT doc_id, i - 1 AS line, CAST(starts_with(regexp_replace(lines[i], '^\\s+', ''), '```') AS INT) AS mark
-              FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ({SEEDED_SQL})))))
-    WHERE seen % 2 = 1 OR mark = 1"""
 
 # --- packs
 
@@ -295,67 +278,54 @@ def values_sql(rules: list[Rule]) -> str:
 
 
 def lint_data_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pack over words that the documents have: weights of its rules on the texts as they are."""
-    found = lint.findings(documents(spark, sf_dir), DATA_ENGINE).filter(F.startswith("rule_id", F.lit("X")))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
-
-
-DATA_FORMS = literal_regex(list(DATA_ENGINE.literals))
-DATA_PACK_SQL = f"""
-    SELECT doc_id, count(*) AS n, round(sum(weight), 4) AS weight FROM (
-        SELECT doc_id, CASE WHEN lower(hit) = 'the' THEN 0.01 ELSE 0.02 END::DOUBLE AS weight
-        FROM ({spans_sql("SELECT doc_id, text FROM documents", DATA_FORMS)}) WHERE lower(hit) IN ('the', 'of the', 'de la') AND {BOUNDED_SQL}
-        UNION ALL SELECT doc_id, 0.03::DOUBLE FROM ({spans_sql("SELECT doc_id, text FROM documents", "[0-9]+")}))
-    GROUP BY doc_id"""
-
-# --- rewriting
-
-
-def digest(rows: DataFrame, col) -> DataFrame:
-    return rows.select("doc_id", F.md5(col).alias("fixed_md5"))
+    """A pack over words that the documents have, on top of the base pack: all findings of both on the texts as they are, by rule."""
+    found = lint.findings(documents(spark, sf_dir), DATA_ENGINE)
+    return found.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-def fix_dashes(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(texts(spark, sf_dir), R.spaced_en_dashes(R.em_dashes(R.number_ranges(F.col("text")))))
+def engine_sql(engine: Engine, source: str) -> str:
+    """Findings of an engine's rules on texts that show no markup, as ``doc_id, rule_id, weight``."""
+    rules = "(VALUES " + ", ".join(f"({q(form)}, {q(engine.rules[k].id)}, {engine.rules[k].weight:.6f})" for form, k in engine.literals.items()) + ") rule(form, rule_id, weight)"
+    literal = f"SELECT doc_id, rule_id, start_b, end_b, weight FROM ({spans_sql(source, literal_regex(list(engine.literals)))}) s JOIN {rules} ON lower(hit) = form WHERE {BOUNDED_SQL} AND {GUARD_SQL}"
+    return " UNION ALL ".join([literal, *(f"SELECT doc_id, {q(engine.rules[k].id)}, start_b, end_b, {engine.rules[k].weight:.6f} FROM ({spans_sql(source, pattern)})" for k, pattern in engine.regexes)])
 
 
-def fix_phrases(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(texts(spark, sf_dir), R.pack_replacements(F.col("text"), ENGINE))
-
-
-def fix_swaps(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(texts(spark, sf_dir), R.word_swaps(F.col("text"), ENGINE))
-
+DATA_PACK_SQL = f"""
+    WITH {MASK_CTES.replace(WHOLE_SQL, "SELECT doc_id, text FROM documents")},
+    found AS ({OUTSIDE(engine_sql(DATA_ENGINE, WHOLE))} UNION ALL SELECT doc_id, rule_id, start_b, end_b, weight FROM ({S001_SQL} UNION ALL {S002_SQL} UNION ALL {S003_SQL}))
+    SELECT doc_id, rule_id, count(*) AS n, round(sum(weight)::DOUBLE, 4) AS weight FROM found GROUP BY doc_id, rule_id"""
 
-def fix_cleanup(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(texts(spark, sf_dir), R.cleanup(F.col("text")))
+# --- rewriting
 
 
-def fix_capitals(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(texts(spark, sf_dir), R.sentence_capitals(F.col("text")))
+def fixed(*steps: str):
+    """Texts rewritten by these steps alone (none named: by all)."""
 
+    def of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = fixing.fix(whole(spark, sf_dir), ENGINE, steps=steps or None)
+        return rows.select("doc_id", F.md5("fixed").alias("fixed_md5"))
 
-def fix_full(spark: SparkSession, sf_dir: str, texts=plain) -> DataFrame:
-    return digest(fixing.fix(texts(spark, sf_dir), ENGINE), F.col("fixed"))
+    return of
 
 
 def replace_sql(text: str, pattern: str, new: str) -> str:
     return f"regexp_replace({text}, {q(pattern)}, {q(new)}, 'g')"
 
 
-def dashes_sql(text: str) -> str:
-    text = replace_sql(text, r"(\d)\s*[–—]\s*(\d|Present|Current|Now|[A-Z][a-z]+\.? \d)", r"\1 to \2")
-    return f"replace({replace_sql(text, r'\s*—\s*', ', ')}, ' – ', ', ')"
+def dashes_sql(source: str) -> str:
+    text = replace_sql("text", r"(\d)\s*[–—]\s*(\d|Present|Current|Now|[A-Z][a-z]+\.? \d)", r"\1 to \2")
+    return f"SELECT doc_id, place, prose, replace({replace_sql(text, r'\s*—\s*', ', ')}, ' – ', ', ') AS text FROM ({source})"
 
 
-def phrases_sql(text: str) -> str:
+def phrases_sql(source: str) -> str:
+    text = "text"
     for pattern, new in ENGINE.fixes:
         text = replace_sql(text, pattern, new)
-    return text
+    return f"SELECT doc_id, place, prose, {text} AS text FROM ({source})"
 
 
 def swaps_sql(source: str) -> str:
-    """``doc_id, text`` with words swapped, token by token."""
+    """Words swapped, token by token."""
     forms = "MAP {" + ", ".join(f"{q(f)}: {q(new)}" for f, (new, _) in sorted(ENGINE.swaps.items())) + "}"
     guarded = ", ".join(q(f) for f, (_, k) in sorted(ENGINE.swaps.items()) if ENGINE.rules[k].unless_preceded_by)
     before = "CASE WHEN i > 1 AND NOT regexp_matches(gaps[i], '[0-9]') THEN lower(words[i - 1]) ELSE '' END"
@@ -363,31 +333,42 @@ def swaps_sql(source: str) -> str:
     shaped = f"CASE WHEN regexp_matches(w, '^[A-Z]{{2,}}$') THEN upper({new}) WHEN regexp_matches(w, '^[A-Z]') THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END"
     word = f"CASE WHEN {new} IS NULL OR (lower(w) IN ({guarded}) AND {before} IN ({', '.join(map(q, GUARD_WORDS))})) THEN w ELSE {shaped} END"
     return f"""
-        SELECT doc_id, array_to_string(list_transform(words, lambda w, i: gaps[i] || {word}), '') || gaps[len(gaps)] AS text
-        FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words, string_split_regex(text, '[A-Za-z]+') AS gaps FROM ({source}))"""
+        SELECT doc_id, place, prose, array_to_string(list_transform(words, lambda w, i: gaps[i] || {word}), '') || gaps[len(gaps)] AS text
+        FROM (SELECT doc_id, place, prose, regexp_extract_all(text, '[A-Za-z]+') AS words, string_split_regex(text, '[A-Za-z]+') AS gaps FROM ({source}))"""
 
 
-def cleanup_sql(text: str) -> str:
+def cleanup_sql(source: str) -> str:
+    text = "text"
     for _ in range(2):  # no lookaround: neighbours that a match takes are met the second time
         text = replace_sql(text, "([^\\n \\t])[ \\t]{2,}([^\\n \\t])", r"\1 \2")
     for pattern, new in ((r",\s*,", ","), (r"[ \t]+([,.;:!?])", r"\1"), (r"[,;:]\s*\.", ".")):
         text = replace_sql(text, pattern, new)
-    return text
+    return f"SELECT doc_id, place, prose, {text} AS text FROM ({source})"
 
 
 def capitals_sql(source: str) -> str:
     p = q(r"[.!?]\s+[a-z]")
     return f"""
-        SELECT doc_id, array_to_string(list_transform(gaps, lambda g, i: g || upper(coalesce(hits[i], ''))), '') AS text
-        FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS hits, string_split_regex(text, {p}) AS gaps FROM ({source}))"""
+        SELECT doc_id, place, prose, array_to_string(list_transform(gaps, lambda g, i: g || upper(coalesce(hits[i], ''))), '') AS text
+        FROM (SELECT doc_id, place, prose, regexp_extract_all(text, {p}) AS hits, string_split_regex(text, {p}) AS gaps FROM ({source}))"""
+
+
+def joined_sql(*steps) -> str:
+    """``doc_id, text``: prose segments by the steps, masked ones as they are, put together."""
+    source = "SELECT * FROM segment WHERE prose"
+    for step in steps:
+        source = step(source)
+    return f"SELECT w.doc_id, coalesce(string_agg(x.text, '' ORDER BY x.place), '') AS text FROM whole w LEFT JOIN (SELECT * FROM segment WHERE NOT prose UNION ALL {source}) x ON x.doc_id = w.doc_id GROUP BY w.doc_id"
+
+
+def fixed_sql(*steps) -> str:
+    return f"WITH {MASK_CTES} SELECT doc_id, md5(text) AS fixed_md5 FROM ({joined_sql(*steps)})"
 
 
 def full_sql() -> str:
-    packed = f"SELECT doc_id, {phrases_sql('t1')} AS text FROM (SELECT doc_id, {dashes_sql('text')} AS t1 FROM ({PLAIN_SQL}))"
-    clean = f"SELECT doc_id, {cleanup_sql('text')} AS text FROM ({swaps_sql(packed)})"
     done = "regexp_extract(c.text, '^([^A-Za-z]*)', 1)"
     first = f"CASE WHEN regexp_matches(d.text, '^[^A-Za-z]*[A-Z]') AND regexp_matches(c.text, '[A-Za-z]') THEN {done} || upper(substr(c.text, length({done}) + 1, 1)) || substr(c.text, length({done}) + 2) ELSE c.text END"
-    return f"SELECT d.doc_id, md5({first}) AS fixed_md5 FROM ({PLAIN_SQL}) d JOIN ({capitals_sql(clean)}) c ON d.doc_id = c.doc_id"
+    return f"WITH {MASK_CTES} SELECT d.doc_id, md5({first}) AS fixed_md5 FROM whole d JOIN ({joined_sql(dashes_sql, phrases_sql, swaps_sql, cleanup_sql, capitals_sql)}) c ON d.doc_id = c.doc_id"
 
 
 def fix_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,90 +376,36 @@ def fix_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("after") <= F.col("before") + 1e-9).alias("not_heavier"), F.col("fixable_left"))
 
 
-# --- whole texts with masks, by both paths
-
-
-def lint_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.reports(whole(spark, sf_dir), ENGINE)
-
-
-def lint_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.lint_exact(whole(spark, sf_dir), ENGINE)
-
-
-def lint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.json_reports(whole(spark, sf_dir), ENGINE)
-
-
-def fix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixing.fix_exact(whole(spark, sf_dir), ENGINE).select("doc_id", "fixed")
-
-
-def mask_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lint.with_mask(whole(spark, sf_dir)).select("doc_id", F.explode("mask").alias("m"))
-    return rows.select("doc_id", F.col("m.start").alias("start_b"), F.col("m.end").alias("end_b"))
-
-
-def md5_of(text: str, source: str) -> str:
-    return f"SELECT doc_id, md5({text}) AS fixed_md5 FROM ({source})"
-
+STRUCTURAL_SQL = lambda rule_id: MASKED(f"SELECT doc_id, start_b, end_b, excerpt FROM found WHERE rule_id = '{rule_id}'")
+ONE_OF = lambda ids: ", ".join(map(q, ids))
 
 QUERIES = {
-    "lint_literal_spans": (literal_spans, f"SELECT doc_id, start_b, end_b, at_c, hit FROM ({spans_sql(SEEDED_SQL, literal_regex(LITERALS))})"),
-    "lint_guarded": (lint_literals, f"SELECT doc_id, rule_id, start_b, end_b FROM ({LITERAL_FINDINGS_SQL(SEEDED_SQL)})"),
-    "lint_regex_spans": (lint_regexes, f"SELECT doc_id, rule_id, start_b, end_b FROM ({REGEX_FINDINGS_SQL(PLAIN_SQL)})"),
-    "lint_findings": (found, f"SELECT doc_id, rule_id, start_b, end_b, excerpt, round(weight, 4)::DOUBLE AS weight FROM ({FINDINGS_SQL(PLAIN_SQL)})"),
-    "lint_report": (lint_report, REPORT_SQL),
-    "lint_rule_rollup": (lint_rollup, f"SELECT rule_id, count(*) AS n, round(sum(weight)::DOUBLE, 4) AS weight FROM ({FINDINGS_SQL(PLAIN_SQL)}) GROUP BY rule_id"),
-    "lint_band_gate": (lint_gate, f"SELECT CASE r WHEN 2 THEN 'heavy' WHEN 1 THEN 'seasoned' ELSE 'clean' END AS worst, r >= 1 AS fails FROM (SELECT max(CASE band WHEN 'heavy' THEN 2 WHEN 'seasoned' THEN 1 ELSE 0 END) AS r FROM ({REPORT_SQL}))"),
+    "lint_literal_spans": (literal_spans, f"WITH whole AS MATERIALIZED ({WHOLE_SQL}) SELECT doc_id, start_b, end_b, at_c, hit FROM ({spans_sql(WHOLE, literal_regex(LITERALS))})"),
+    "lint_guarded": (lint_literals, MASKED(f"SELECT doc_id, rule_id, start_b, end_b FROM found WHERE rule_id IN ({ONE_OF(LITERAL_IDS)})")),
+    "lint_regex_spans": (lint_regexes, MASKED(f"SELECT doc_id, rule_id, start_b, end_b FROM found WHERE rule_id IN ({ONE_OF(REGEX_IDS)})")),
+    "lint_findings": (found, MASKED("SELECT doc_id, rule_id, start_b, end_b, excerpt, round(weight, 4)::DOUBLE AS weight FROM found")),
+    "lint_report": (lint_report, MASKED("SELECT * FROM report")),
+    "lint_json": (lint_json, None),
+    "lint_rule_rollup": (lint_rollup, MASKED("SELECT rule_id, count(*) AS n, round(sum(weight)::DOUBLE, 4) AS weight FROM found GROUP BY rule_id")),
+    "lint_band_gate": (lint_gate, MASKED("SELECT CASE r WHEN 2 THEN 'heavy' WHEN 1 THEN 'seasoned' ELSE 'clean' END AS worst, r >= 1 AS fails FROM (SELECT max(CASE band WHEN 'heavy' THEN 2 WHEN 'seasoned' THEN 1 ELSE 0 END) AS r FROM report)")),
     "lint_data_pack": (lint_data_pack, DATA_PACK_SQL),
-    "s001_bullets": (s001, f"SELECT doc_id, opener, count(*) AS n, min(start_b) AS first_b FROM ({BULLETS_SQL(PLAIN_SQL)}) GROUP BY doc_id, opener"),
-    "s002_sentence_cv": (s002, f"SELECT doc_id, n, round(cv, 6) AS cv FROM ({SENTENCES_SQL(PLAIN_SQL)})"),
-    "s003_triads": (s003, f"SELECT doc_id, start_b, end_b, excerpt FROM ({S003_SQL(PLAIN_SQL)})"),
+    "s001_bullets": (structural("S001"), STRUCTURAL_SQL("S001")),
+    "s002_sentence_cv": (s002, MASKED(f"SELECT doc_id, n, round(cv, 6) AS cv FROM ({SENTENCES_SQL})")),
+    "s003_triads": (structural("S003"), STRUCTURAL_SQL("S003")),
+    "mask_spans": (mask_spans, f"WITH {MASK_CTES} SELECT doc_id, s AS start_b, e AS end_b FROM mask"),
+    "mask_pages": (page_masks, f"WITH {MASK_CTES.replace(WHOLE_SQL, 'SELECT page_id AS doc_id, html AS text FROM pages')} SELECT doc_id AS page_id, s AS start_b, e AS end_b FROM mask"),
     "mask_merge": (mask_merge, MERGED_SQL),
     "mask_hits": (mask_hits, MASK_HITS_SQL),
     "prose_segments": (prose_segments, SEGMENTS_SQL),
-    "prose_words": (prose_words, PROSE_WORDS_SQL),
-    "mask_html_tags": (mask_html_tags, f"SELECT page_id, len(h) AS tags, strlen(array_to_string(h, '')) AS bytes FROM (SELECT page_id, regexp_extract_all(html, {q(P.HTML_TAG)}) AS h FROM pages)"),
-    "mask_html_blocks": (mask_html_blocks, f"SELECT page_id, strlen(x) AS bytes_left, md5(x) AS left_md5 FROM (SELECT page_id, regexp_replace(html, {q(P.HTML_BLOCK)}, '', 'g') AS x FROM pages)"),
-    "mask_inline": (mask_inline, f"SELECT doc_id, md5({replace_sql(replace_sql('text', P.INLINE_CODE, '<c>'), P.URL, '<u>')}) AS left_md5 FROM ({SEEDED_SQL})"),
-    "mask_fences": (fence_lines, FENCE_SQL),
+    "prose_words": (prose_words, MASKED("SELECT doc_id, words FROM report")),
     "pack_merge": (pack_merge, f"SELECT * FROM (VALUES {values_sql(merge_rules(PACKS))}) t(place, id, name, weight)"),
     "pack_fixable": (pack_fixable, "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {q(r.kind)})" for r in base_pack().rules if r.fixable) + ") t(id, kind)"),
     "pack_check": (pack_check, "SELECT 'T013' AS id, 'repeated' AS fault"),
-    "fix_ranges_dashes": (fix_dashes, md5_of(dashes_sql("text"), PLAIN_SQL)),
-    "fix_phrases": (fix_phrases, md5_of(phrases_sql("text"), PLAIN_SQL)),
-    "fix_word_swaps": (fix_swaps, md5_of("text", swaps_sql(PLAIN_SQL))),
-    "fix_cleanup": (fix_cleanup, md5_of(cleanup_sql("text"), PLAIN_SQL)),
-    "fix_capitals": (fix_capitals, md5_of("text", capitals_sql(PLAIN_SQL))),
-    "fix_full_plain": (fix_full, full_sql()),
+    "fix_ranges_dashes": (fixed("ranges", "em dashes", "en dashes"), fixed_sql(dashes_sql)),
+    "fix_phrases": (fixed("phrases"), fixed_sql(phrases_sql)),
+    "fix_word_swaps": (fixed("swaps"), fixed_sql(swaps_sql)),
+    "fix_cleanup": (fixed("cleanup"), fixed_sql(cleanup_sql)),
+    "fix_capitals": (fixed("capitals"), fixed_sql(capitals_sql)),
+    "fix_full": (fixed(), full_sql()),
     "fix_guarantee": (fix_guarantee, None),
-    "lint_masked": (lint_masked, None),
-    "lint_exact": (lint_exact, None),
-    "lint_json": (lint_json, None),
-    "fix_exact": (fix_exact, None),
-    "mask_spans_exact": (mask_exact, None),
-}
-
-#: The same on every document. Those with masks have no SQL; tests hold them against the per-text path.
-QUERIES |= {
-    "lint_literal_spans_whole": (partial(literal_spans, texts=whole), f"SELECT doc_id, start_b, end_b, at_c, hit FROM ({spans_sql(WHOLE_SQL, literal_regex(LITERALS))})"),
-    "lint_guarded_whole": (partial(lint_literals, texts=whole), f"SELECT doc_id, rule_id, start_b, end_b FROM ({LITERAL_FINDINGS_SQL(WHOLE_SQL)})"),
-    "mask_inline_whole": (partial(mask_inline, texts=whole), f"SELECT doc_id, md5({replace_sql(replace_sql('text', P.INLINE_CODE, '<c>'), P.URL, '<u>')}) AS left_md5 FROM ({WHOLE_SQL})"),
-    "mask_fences_whole": (partial(fence_lines, texts=whole), FENCE_SQL.replace(SEEDED_SQL, WHOLE_SQL)),
-    "lint_regex_spans_whole": (partial(lint_regexes, texts=whole), f"SELECT doc_id, rule_id, start_b, end_b FROM ({REGEX_FINDINGS_SQL(WHOLE_SQL)})"),
-    "lint_findings_whole": (partial(found, texts=whole), None),
-    "lint_report_whole": (partial(lint_report, texts=whole), None),
-    "lint_rule_rollup_whole": (partial(lint_rollup, texts=whole), None),
-    "lint_band_gate_whole": (partial(lint_gate, texts=whole), None),
-    "s001_bullets_whole": (partial(s001, texts=whole), f"SELECT doc_id, opener, count(*) AS n, min(start_b) AS first_b FROM ({BULLETS_SQL(WHOLE_SQL)}) GROUP BY doc_id, opener"),
-    "s002_sentence_cv_whole": (partial(s002, texts=whole), f"SELECT doc_id, n, round(cv, 6) AS cv FROM ({SENTENCES_SQL(WHOLE_SQL)})"),
-    "s003_triads_whole": (partial(s003, texts=whole), f"SELECT doc_id, start_b, end_b, excerpt FROM ({S003_SQL(WHOLE_SQL)})"),
-    "fix_ranges_dashes_whole": (partial(fix_dashes, texts=whole), md5_of(dashes_sql("text"), WHOLE_SQL)),
-    "fix_phrases_whole": (partial(fix_phrases, texts=whole), md5_of(phrases_sql("text"), WHOLE_SQL)),
-    "fix_word_swaps_whole": (partial(fix_swaps, texts=whole), md5_of("text", swaps_sql(WHOLE_SQL))),
-    "fix_cleanup_whole": (partial(fix_cleanup, texts=whole), md5_of(cleanup_sql("text"), WHOLE_SQL)),
-    "fix_capitals_whole": (partial(fix_capitals, texts=whole), md5_of("text", capitals_sql(WHOLE_SQL))),
-    "fix_full_whole": (partial(fix_full, texts=whole), None),
-    "prose_words_whole": (prose_words_whole, PROSE_WORDS_WHOLE_SQL),
 }

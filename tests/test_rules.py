@@ -1,6 +1,9 @@
 """Packs, masks, linting and rewriting: golden cases, traps, and both paths alike."""
 
+import json
 import random
+import re
+import time
 
 import pytest
 
@@ -100,7 +103,12 @@ def test_paths_agree_on_random_texts(spark):
     texts = [rng.choice(["", " "]).join(rng.choice(WORDS) for _ in range(rng.randint(0, 25))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
     key = lambda rows: sorted((r.doc_id, r.n_findings, r.words, round(r.total_weight, 6), r.band) for r in rows)
-    assert key(lint.reports(df, ENGINE).collect()) == key(lint.lint_exact(df, ENGINE).collect())
+    want = [(k, len(r[0]), r[1], round(r[2], 6), r[4]) for k, r in enumerate(exact.lint_text(t or "", ENGINE) for t in [*texts, None])]
+    assert key(lint.reports(df, ENGINE).collect()) == want
+    for r in lint.json_reports(df, ENGINE).collect():
+        findings, words, _, _, band = exact.lint_text([*texts, None][r.doc_id] or "", ENGINE)
+        said = json.loads(r.report)
+        assert said["findings"] == findings and (said["words"], said["band"]) == (words, band)
     fixed = {r.doc_id: r.fixed for r in fixing.fix(df, ENGINE).collect()}
     assert fixed == {k: None if t is None else exact.fix_text(t, ENGINE) for k, t in enumerate([*texts, None])}
 
@@ -155,8 +163,66 @@ def test_later_packs_override_in_place():
         packs.parse_pack("[meta]\nname = 'x'\n")
 
 
-def test_java_replacements():
-    assert packs.java_replacement("$1 to $name\\ $$") == "$1 to ${name}\\\\ \\$"
+def slow_mask(text):
+    """The masks by plain patterns and a list of all that is taken, point by point."""
+    taken = [False] * len(text)
+    fence, at, found = None, 0, []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        if line.lstrip(P.SPACES).startswith("```"):
+            if fence is None:
+                fence = at
+            else:
+                found.append((fence, at + len(line)))
+                fence = None
+        at += len(line)
+    if fence is not None:
+        found.append((fence, len(text)))
+    for pattern in (None, P.HTML_BLOCK, P.HTML_TAG, P.INLINE_CODE, P.URL):
+        more = found if pattern is None else [m.span() for m in re.finditer(pattern, text) if not taken[m.start()]]
+        for a, b in more:
+            taken[a:b] = [True] * (b - a)
+    return taken
+
+
+MARKUP = ["<script>", "</script>", "<Style a>", "</style >", "<svg", "</svg>", "<code>", "</code>", "<!--", "-->", "<b>", "<", ">", "`", "```", "\n", "\n```\n", "https://a.b/c", "x", " ", ")", "é"]
+
+
+def test_masks_equal_plain_patterns():
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choice(MARKUP) for _ in range(rng.randint(0, 18)))
+        got = [False] * len(text)
+        for a, b in exact.mask_spans(text):
+            got[a:b] = [True] * (b - a)
+        assert got == slow_mask(text), text
+
+
+def test_literals_equal_the_pattern():
+    rng = random.Random(13)
+    forms = list(ENGINE.literals)
+    pattern = re.compile("(?a)" + packs.literal_regex(forms))
+    for _ in range(2000):
+        text = rng.choice(["", " ", "-"]).join(rng.choice([*rng.sample(forms, 3), "a", "in", "the", "É", "ſ", "K", "\n"]) for _ in range(8))
+        text = "".join(c.upper() if rng.random() < 0.2 and c.isascii() else c for c in text)
+        assert exact.literal_spans(text, ENGINE) == [m.span() for m in pattern.finditer(text)], text
+
+
+LONG = ["<b>x</b>", "<script>", "<code", "`a` ", "```\n", "we delve into a testament to ", "it's worth noting that we ", "- built a thing\n", "red, green, and blue. ", "a — b – c ", "   ", "\n", "....", "é harness ", "1–2 ", ", , ", "https://a.b/c ", "In today's fast-paced world, ", "not just x, but y. "]
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_time_is_linear_in_the_text(piece):
+    took = []
+    for size in (200_000, 400_000):
+        text = piece * (size // len(piece))
+        best = 9e9
+        for _ in range(2):
+            began = time.perf_counter()
+            exact.lint_text(text, ENGINE)
+            exact.fix_text(text, ENGINE)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] <= 2.5 * took[0] + 0.2 and took[0] < 3, took
 
 
 def test_a_pack_is_set_once():

@@ -1,5 +1,6 @@
 """Catalogs, attribution, evaluation, corpora, harvests, readers, writers, streams and the command line."""
 
+import io
 import json
 
 import numpy as np
@@ -9,10 +10,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textassay.__main__ import main
+from textassay.functions.bag import feature_bag
 from textassay.functions.hashing import fnv1a_mod
-from textassay.functions.registered import register
+from textassay.functions.registered import load_catalog, register
 from textassay.operators import attribution, corpora, evaluation, harvest, mining, training
 from textassay.sources import readers, writers
+from textassay.sources.chat import chat_transport
 from textassay.streaming.samples import lint_stream, sample_stream
 
 ALPHA = "Moreover, the {0} is robust. Furthermore, we note the {0} again; moreover it holds."
@@ -130,6 +133,78 @@ def test_harvest_loop():
     assert [p for f, p in asked if f == "c"] == ["x", "y"] and [p for f, p in asked if f == "b"] == ["x", "x"]
 
 
+def test_samples_name_their_source():
+    config = harvest.Config("http://h/v1", delay_secs=0, models=(harvest.Model("a", "p", "m"),))
+    out = []
+    assert harvest.harvest(config, [[("1", "x")]], lambda model, prompt: ("said", "up"), out.append, "now") == {"a": 1}
+    assert json.loads(out[0]) == {"family": "a", "provider": "p", "model": "m", "prompt_id": "1", "source": "harvest/http://h/v1", "upstream": "up", "harvested_at": "now", "text": "said"}
+
+
+def test_a_cooling_model_is_waited_for_and_others_are_asked():
+    config = harvest.Config("http://h", delay_secs=0, backoff_secs=9, models=(harvest.Model("a", "p", "a"), harvest.Model("b", "p", "b")))
+    now, slept, asked = [100.0], [], []
+
+    def ask(model, prompt):
+        asked.append((now[0], model.family, prompt))
+        now[0] += 1
+        if len(asked) == 1:
+            raise RuntimeError("Rate Limit reached")
+        return "yes", "up"
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    got = harvest.harvest(config, [[("1", "x")], [("1", "x"), ("2", "y")]], ask, lambda line: None, "t", lambda: now[0], sleep)
+    assert got == {"b": 2, "a": 1} and [f for _, f, _ in asked] == ["a", "b", "b", "a"] and asked[-1][0] == 110 and slept == [7]
+
+
+def test_chat_transport():
+    config = harvest.Config("http://h/v1/", api_key="k", models=(harvest.Model("a", "p", "m"),))
+    seen = []
+
+    def answering(body):
+        def open_url(request, timeout):
+            seen.append((request.full_url, dict(request.header_items()), json.loads(request.data), timeout))
+            return io.BytesIO(json.dumps(body).encode())
+
+        return chat_transport(config, open_url)
+
+    model = config.models[0]
+    assert answering({"choices": [{"message": {"content": "hi"}}], "model": "m-2"})(model, "q") == ("hi", "m-2")
+    url, headers, body, timeout = seen[0]
+    assert url == "http://h/v1/chat/completions" and headers["Authorization"] == "Bearer k" and timeout == 420
+    assert body == {"model": "m", "messages": [{"role": "user", "content": "q"}], "max_tokens": 1024, "stream": False}
+    assert answering({"choices": [{"message": {"content": None}}]})(model, "q") == ("", "m") == answering({})(model, "q")
+    with pytest.raises(RuntimeError, match="429"):
+        answering({"error": {"code": 429}})(model, "q")
+
+
+def test_bags_of_both_paths(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", "\n", "a\r\n\n# x\n- y\n**z\n1. q\n```", "it's “é” ² x_y"]
+    rows = mining.with_features(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    for r in rows:
+        assert sorted(feature_bag(texts[r.i])) == sorted(r.features), texts[r.i][:80]
+
+
+def test_attribution_in_sql(spark, catalog):
+    load_catalog(spark, catalog, min_matched=4)
+    row = spark.sql(f"SELECT assay_who('{ALPHA.format('lamp')}', 0.3D) AS w, assay_who(NULL, 0.3D) AS n").first()
+    said, want = json.loads(row.w), ask(spark, catalog, ALPHA.format("lamp"))
+    assert row.n is None and said["call"] == want.call == "alpha" and said["matched"] == want.matched and abs(said["confidence"] - want.confidence) < 1e-9
+    assert [r["feature"] for r in said["receipts"]] == [r.feature for r in want.receipts] and said["catalog"] == ["alpha", "beta"]
+    with pytest.raises(RuntimeError):
+        load_catalog(spark, catalog)
+
+
+def test_rows_with_one_id_stay_apart(spark, catalog):
+    rows = spark.createDataFrame([(1, ALPHA.format("a")), (1, BETA.format("b")), (None, ALPHA.format("c")), (2, None)], "doc_id long, text string")
+    found = attribution.who(rows, catalog, min_matched=4).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.call or "") for r in found) == [(False, 1, "alpha"), (False, 1, "beta"), (False, 2, ""), (True, 0, "alpha")]
+    assert "Exchange" not in attribution.attributed(rows, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert mining.vectors(rows, catalog).filter("id = 1").count() == sum(r.matched for r in found if r.doc_id == 1)
+
+
 def test_readers_and_writers(spark, catalog, tmp_path):
     lines = tmp_path / "c.jsonl"
     lines.write_text('{"family": "a", "text": "x", "more": 1}\n\n{"family": "b", "prompt_id": "7", "text": "y"}\n')

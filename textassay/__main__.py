@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import tomllib
+from datetime import UTC, datetime
 from pathlib import Path
 
 from textassay.functions import exact
@@ -55,7 +56,7 @@ def mine(a: argparse.Namespace) -> int:
     from textassay.sources.readers import read_corpus
     from textassay.sources.writers import catalog_toml, write_catalog
 
-    rows = read_corpus(session(), a.corpus).withColumn("doc_id", F.monotonically_increasing_id()).persist()
+    rows = read_corpus(session(), a.corpus).withColumn("doc_id", F.monotonically_increasing_id())
     catalog = fit(rows, a.top_k, a.epochs, trainer=a.trainer)
     if a.output.endswith(".toml"):
         Path(a.output).write_text(catalog_toml(catalog, a.corpus), encoding="utf-8")
@@ -71,7 +72,7 @@ def who(a: argparse.Namespace) -> int:
 
     spark = session()
     catalog = parse_catalog(spark, Path(a.catalog).read_text(encoding="utf-8")) if a.catalog.endswith(".toml") else read_catalog(spark, a.catalog)
-    row = attribute(spark.createDataFrame([(0, text_of(a.file))], "doc_id long, text string"), catalog, min_confidence=a.margin).first().asDict(recursive=True)
+    row = attribute(spark.createDataFrame([(0, text_of(a.file))], "doc_id long, text string"), catalog, min_confidence=a.margin, min_matched=a.min_matched).first().asDict(recursive=True)
     print(json.dumps({k: v for k, v in row.items() if k != "doc_id"}, indent=2, ensure_ascii=False) if a.json else "\n".join(attribution_lines(row)))
     return 0
 
@@ -83,7 +84,7 @@ def evaluate(a: argparse.Namespace) -> int:
     from textassay.sources.readers import read_corpus
 
     spark = session()
-    keyed = lambda path: read_corpus(spark, path).withColumn("doc_id", F.monotonically_increasing_id()).persist()
+    keyed = lambda path: read_corpus(spark, path).withColumn("doc_id", F.monotonically_increasing_id())
     found = run(keyed(a.corpus), a.top_k, a.epochs, a.floor, a.holdout, keyed(a.negatives) if a.negatives else None, a.truncate, trainer=a.trainer)
     for name, df in found.items():
         print(name)
@@ -93,6 +94,7 @@ def evaluate(a: argparse.Namespace) -> int:
 
 def harvest(a: argparse.Namespace) -> int:
     from textassay.operators import harvest as H
+    from textassay.sources.chat import chat_transport
     from textassay.sources.readers import read_prompts, read_samples
 
     spark = session()
@@ -100,11 +102,24 @@ def harvest(a: argparse.Namespace) -> int:
     config = H.Config(**{k: v for k, v in data.items() if k != "models"}, models=tuple(H.Model(**m) for m in data["models"]))
     models = spark.createDataFrame([(k, m.family, m.target) for k, m in enumerate(config.models)], "model_idx int, family string, target int")
     done = H.done_pairs(read_samples(spark, a.corpus)) if Path(a.corpus).exists() else spark.createDataFrame([], "family string, prompt_id string")
-    plan = H.round_robin(H.pending(read_prompts(spark, a.prompts), models, done), config.per_run)
-    for r in plan.collect():
-        print(f"would ask {config.models[r.model_idx].model} for {r.prompt_id}")
-    if not a.dry_run:
-        raise ValueError("asking needs a transport: call textassay.operators.harvest.harvest with one")
+    prompts = read_prompts(spark, a.prompts)
+    if a.dry_run:
+        for r in H.round_robin(H.pending(prompts, models, done), config.per_run).collect():
+            print(f"would ask {config.models[r.model_idx].model} for {r.prompt_id}")
+        return 0
+    queues: list[list[tuple[str, str]]] = [[] for _ in config.models]
+    owed = H.pending(prompts, models, done)
+    for r in owed.join(prompts.select("prompt_id", "prompt"), "prompt_id").filter(f"turn <= {config.per_run + config.strikes}").orderBy("model_idx", "turn").collect():
+        queues[r.model_idx].append((r.prompt_id, r.prompt))
+    with open(a.corpus, "a", encoding="utf-8") as corpus:
+
+        def append(line: str) -> None:
+            corpus.write(line + "\n")
+            corpus.flush()
+
+        got = H.harvest(config, queues, chat_transport(config), append, a.at or datetime.now(UTC).isoformat(timespec="seconds"))
+    for family, n in got.items():
+        print(f"{family}: {n} samples")
     return 0
 
 
@@ -126,7 +141,7 @@ def main(args: list[str] | None = None) -> int:
     command("lint", lint, file, pack, flag("--json"), (("--fail-on",), {"choices": ["seasoned", "heavy"]}))
     command("fix", fix, file, pack, flag("--write"))
     command("mine", mine, (("corpus",), {}), (("-o", "--output"), {"required": True}), number("--top-k", int, 2000), number("--epochs", int, 12), trainer)
-    command("who", who, file, (("-c", "--catalog"), {"required": True}), number("--margin", float, 0.30), flag("--json"))
+    command("who", who, file, (("-c", "--catalog"), {"required": True}), number("--margin", float, 0.30), number("--min-matched", int, 40), flag("--json"))
     command("eval", evaluate, (("corpus",), {}), number("--top-k", int, 2000), number("--epochs", int, 12), number("--floor", float, 0.95), number("--holdout", int, 20), (("--negatives",), {}), number("--truncate", int, 0), trainer)
     command("harvest", harvest, (("config",), {}), (("--prompts",), {"required": True}), (("--corpus",), {"required": True}), (("--at",), {}), flag("--dry-run"))
     a = top.parse_args(args)

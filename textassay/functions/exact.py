@@ -88,7 +88,8 @@ def _block_start(names: tuple[str, ...]) -> re.Pattern:
 def html_blocks(text: str) -> list[Span]:
     """Script, style, svg and code elements and comments that have an end; one without an end is looked for once."""
     found, at, names = [], 0, tuple(BLOCK_ENDS)
-    while names and (m := _block_start(names).search(text, at)):
+    last = text.rfind(">") + 1
+    while names and (m := _block_start(names).search(text, at, last)):
         name = (m[1] or "!--").lower()
         end = BLOCK_ENDS[name].search(text, m.end())
         if end:
@@ -231,7 +232,12 @@ def literal_spans(text: str, engine: Engine) -> list[Span]:
     """The leftmost longest words and phrases, one scan from left to right; only ASCII letters fold."""
     if not engine.literals:
         return []
-    return [(last + 1 - size, last + 1) for last, size in _automaton(tuple(engine.literals)).iter_long(ascii_lower(text))]
+    every = sorted((last + 1 - size, -last - 1) for last, size in _automaton(tuple(engine.literals)).iter(ascii_lower(text)))
+    found: list[Span] = []
+    for start, end in every:
+        if not found or start >= found[-1][1]:
+            found.append((start, -end))
+    return found
 
 
 @lru_cache(maxsize=64)

@@ -36,10 +36,16 @@ def era_corpora(df: DataFrame, rejection: DataFrame, families: dict[str, str], v
     return out | {f"pair-{a}-{b}": with_rejection([of(a), of(b)], None, family_col) for a, b in combinations(vendors, 2)}
 
 
+#: Names of which all pairs are made.
+MOST_NAMES = 1000
+
+
 def vendor_pairs(families: DataFrame, col: str = "family") -> DataFrame:
-    """All pairs of a small set of names, each once."""
-    a, b = families.select(F.col(col).alias("a")), families.select(F.col(col).alias("b"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    """All pairs of a small set of names, each once; a larger one is refused."""
+    names = [r[0] for r in families.select(col).distinct().orderBy(col).limit(MOST_NAMES + 1).collect() if r[0] is not None]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names: all pairs are for small sets")
+    return families.sparkSession.createDataFrame(list(combinations(names, 2)), "a string, b string")
 
 
 def replication(ours: DataFrame, theirs: DataFrame, key_col: str = "prompt_id", n_col: str = "n_words") -> DataFrame:

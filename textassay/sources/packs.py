@@ -66,17 +66,6 @@ def merge_rules(packs: list[Pack]) -> list[Rule]:
     return list(merged.values())
 
 
-def java_replacement(text: str) -> str:
-    """A replacement in which ``$name`` and ``$1`` are groups and a backslash is itself, for Java's matcher."""
-    out, at = [], 0
-    for m in re.finditer(r"\$\$|\$([0-9A-Za-z_]+)|\$\{([0-9A-Za-z_]+)\}", text):
-        out.append(text[at : m.start()].replace("\\", "\\\\").replace("$", "\\$"))
-        ref = m[1] or m[2]
-        out.append("\\$" if ref is None else f"${ref}" if ref.isdigit() else f"${{{ref}}}")
-        at = m.end()
-    return "".join(out) + text[at:].replace("\\", "\\\\").replace("$", "\\$")
-
-
 @dataclass(frozen=True)
 class Engine:
     """Compiled rules.
@@ -126,7 +115,7 @@ class Engine:
 
 
 def escape(form: str) -> str:
-    """A literal for Java, Python and RE2 alike."""
+    """A literal for Python and RE2 alike."""
     return re.sub(r"([^\w\s\x80-\U0010ffff-])", r"\\\1", form)
 
 
@@ -152,14 +141,6 @@ def literal_regex(forms: list[str], ascii_case: bool = True) -> str:
     return ("(?i)" if ascii_case else "") + write(tree)
 
 
-def literal_cue(forms: list[str]) -> str:
-    """What a text with a bounded literal must match: forms that begin with a letter or digit do so behind none."""
-    inner = [f for f in forms if f[0].isascii() and f[0].isalnum()]
-    other = [f for f in forms if f not in set(inner)]
-    parts = [r"(?<![0-9A-Za-z])" + literal_regex(inner, ascii_case=False)] if inner else []
-    return "(?i)" + "|".join([*parts, *([literal_regex(other, ascii_case=False)] if other else [])])
-
-
 def rules_frame(spark: SparkSession, packs: list[Pack]) -> DataFrame:
     """All rules of all packs with their places, before the merge."""
     rows = [(p, i, r.id, r.name, r.kind, list(r.patterns), r.pattern, r.weight, r.rationale, dict(r.swaps), r.replace, list(r.unless_preceded_by)) for p, pack in enumerate(packs) for i, r in enumerate(pack.rules)]

@@ -15,13 +15,12 @@ PROMPT = "prompt_id string, prompt string"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files have fewer splits than there are: small tables come in one row group.
+    """``df`` over all cores where its scan has fewer partitions than there are: small tables come in one row group.
 
     A large table is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,20 +1,20 @@
-"""Helpers shared by the corpus operators: tables, scratch space, batches."""
+"""Helpers shared by the corpus operators: tables, batches, joins on frequent keys, names."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in an Arrow batch sent to a Python worker.  Texts may be very
-#: long, so the row bound of Spark's default (10,000) is too loose for them.
+from textassay.sources import scratch
+from textassay.sources.scratch import discard, materialise, scratch_path, shared_dir, written
+
+__all__ = ["bounded_batches", "discard", "free_name", "materialise", "pylists", "salted_join", "scratch_path", "shared_dir", "table", "text_or_empty", "written"]
+
+#: Rows of an Arrow batch sent to a Python worker: texts may be very long.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,56 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: a batch of very long texts must fit a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only a local session may leave it unset (as in tests): a temporary folder is
-    made and set then.  On a cluster that would be each machine's own disk, so it
-    is refused there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="textassay-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
-    """``df`` written to the shared folder: its path, and the table read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return path, spark.read.schema(df.schema).parquet(path)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: what is read later does not depend on executors that
-    may be lost, and values given out by position (row numbers) are fixed.
-    """
-    return written(df, label)[1]
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    scratch.bounded_batches(spark, BATCH_ROWS)
 
 
 #: A key is hot if it has more than one in so many of all rows; so at most as many keys are hot, and these are broadcast.

@@ -36,17 +36,15 @@ def mark_features(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), lambda c: F.concat(F.lit("p:"), c))
 
 
-def line_kind(line: Column) -> Column:
-    """What a line looks like: markup first, then its length in words."""
-    t = F.regexp_replace(line, "^" + P.PY_SPACE + "+", "")
-    n = F.regexp_count(t, F.lit(WORD))
+def line_kind(body: Column, n: Column) -> Column:
+    """What a line looks like, by what follows its leading blanks and how many words that has: markup first, then length."""
     return (
-        F.when(F.startswith(t, F.lit("```")), "fence")
-        .when(F.startswith(t, F.lit("#")), "heading")
-        .when(F.startswith(t, F.lit("- ")) | F.startswith(t, F.lit("* ")), "bullet")
-        .when(F.startswith(t, F.lit("**")), "boldlead")
-        .when(F.regexp_like(t, F.lit("^[0-9]")) & F.contains(t, F.lit(". ")), "numlist")
-        .when(t == "", "blank")
+        F.when(F.startswith(body, F.lit("```")), "fence")
+        .when(F.startswith(body, F.lit("#")), "heading")
+        .when(F.startswith(body, F.lit("- ")) | F.startswith(body, F.lit("* ")), "bullet")
+        .when(F.startswith(body, F.lit("**")), "boldlead")
+        .when(F.contains(body, F.lit(". ")) & F.regexp_like(body, F.lit("^[0-9]")), "numlist")
+        .when(body == "", "blank")
         .when(n < 10, "line_short")
         .when(n < 25, "line_mid")
         .when(n < 50, "line_long")
@@ -57,9 +55,11 @@ def line_kind(line: Column) -> Column:
 def lines(text: Column) -> Column:
     """Lines without their ends; a last empty one doesn't count."""
     parts = F.split(text, "\n", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def layout_features(text: Column) -> Column:
-    return F.transform(lines(text), lambda x: F.concat(F.lit("s:"), line_kind(x)))
+    # A carriage return at a line's end changes no kind.  Bodies and counts are made in passes of their own: within a lambda nothing is shared.
+    bodies = F.transform(lines(text), lambda x: F.ltrim(x, F.lit(P.SPACES)))
+    counted = F.transform(bodies, lambda x: F.struct(x.alias("body"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    return F.transform(counted, lambda x: F.concat(F.lit("s:"), line_kind(x["body"], x["n"])))

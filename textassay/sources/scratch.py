@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="textassay-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -1,9 +1,9 @@
 """Linting: findings with evidence, densities and bands, over a column of texts.
 
 A text is linted in its own row, in Arrow batches and without a shuffle, in time
-linear in its length.  (The same as native columns was measured at a third of the
-speed: array functions copy their arrays for every match, and each of the
-patterns scans every text.)  What follows a finding is native.
+linear in its length.  (As native columns it was no faster once warm, and quadratic:
+array functions copy their arrays for every match.)  What follows a finding is
+native.
 """
 
 from __future__ import annotations

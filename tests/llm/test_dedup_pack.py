@@ -231,6 +231,24 @@ def test_golay_keys_meet_at_every_distance():
         assert all(a & b for a, b in zip(*keys, strict=True))
 
 
+def test_golay_keys_meet_under_all_errors_of_four_bits():
+    errors = np.array([sum(1 << b for b in c) for c in itertools.combinations(range(64), 4)], np.uint64).view(np.int64)
+    one = np.array([0x0123456789ABCDEF], np.int64)
+    _, own = sd.golay_keys(one)
+    assert len(own) == len(set(own.tolist())) and own.min() >= 0
+    for at in range(0, len(errors), 50_000):
+        other = one ^ errors[at : at + 50_000]
+        owners, found = sd.golay_keys(other)
+        assert len(np.unique(owners[np.isin(found, own)])) == len(other)
+
+
+def test_keys_gather_few_fingerprints_that_are_far_apart():
+    prints = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+    _, keys = sd.golay_keys(prints)
+    # 2^33 keys of a kind or more: 18 kinds, 20,000 fingerprints, five codewords.
+    assert len(keys) - len(np.unique(keys)) < 100
+
+
 # --- packing
 
 

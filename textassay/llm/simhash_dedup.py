@@ -1,11 +1,14 @@
 """Near duplicates: SimHash fingerprints found by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits.  Every 23-bit
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  Every 23-bit
 word lies within four bits of one or six codewords of the perfect binary Golay
 code, and two words at most two bits apart always have one of these codewords in
-common.  Of at most four differing bits, some two segments hold at most two; so
-fingerprints that link share a key made of two segments' codewords.  Keys gather
-candidates; the bits that really differ decide.
+common; a segment is a word with zeros below it.  Of at most four differing bits,
+either some segment holds none and some other at most two, or two segments hold
+one each and the third at most two.  So fingerprints that link share a whole
+segment and a codeword of another, or a half of each of two segments and a
+codeword of the third.  These keys, of 33 bits or more, gather candidates; the
+bits that really differ decide.
 
 Only distinct fingerprints take part.  A bucket of a key gives the edges of a
 spanning forest of its links, never all pairs, and components follow from the
@@ -30,6 +33,8 @@ from .components import star_components
 WORDS, SEED, BITS = 4, 42, 4
 BUCKET = 2048
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
+#: First bits and lengths of the segments.
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 # --- fingerprints
 
@@ -127,18 +132,26 @@ def codeword_indices(words: np.ndarray) -> np.ndarray:
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``prints`` and the keys of their fingerprints, without repeats."""
+    """Positions in ``prints`` and the keys of their fingerprints, without repeats.
+
+    A key is a number of what it is made of, 22 bits of segments that must be
+    equal, and 12 bits of a codeword.
+    """
     bits = prints.view(np.uint64)
-    low = np.uint64((1 << 23) - 1)
-    parts = [codeword_indices((p & low).view(np.int64)) for p in (bits, bits >> np.uint64(23), bits >> np.uint64(46))]
-    single = [p[:, 0] == p[:, 1] for p in parts]
-    owners, keys = [], []
-    for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for a in range(6):
-            for b in range(6):
-                use = np.flatnonzero(~((single[i] & (a > 0)) | (single[j] & (b > 0))))
+    parts = [((bits >> np.uint64(at)) & np.uint64((1 << size) - 1)).view(np.int64) for at, size in SEGMENTS]
+    halves = [(p & 0x3FF, p >> 10) for p in parts]
+    owners, keys, made = [], [], 0
+    for c, (_, size) in enumerate(SEGMENTS):
+        i, j = (k for k in range(3) if k != c)
+        equal = [parts[i], parts[j], *((x << 12) | y for x in halves[i] for y in halves[j])]
+        codes = codeword_indices(parts[c] << (23 - size))
+        rest = np.flatnonzero(codes[:, 0] != codes[:, 1])  # these have six codewords, the others one
+        for column in range(6):
+            use = rest if column else np.arange(len(prints))
+            for number, same in enumerate(equal, made):
                 owners.append(use)
-                keys.append((pair << 24) | (parts[i][use, a] << 12) | parts[j][use, b])
+                keys.append((number << 36) | (same[use] << 12) | codes[use, column])
+        made += len(equal)
     return np.concatenate(owners), np.concatenate(keys)
 
 
@@ -148,7 +161,7 @@ def key_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         owners, keys = golay_keys(prints)
         for at in range(0, len(keys), 200_000):
             some = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].astype(np.int32)), pa.array(prints[owners[some]])], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(prints[owners[some]])], names=["key", "fp"])
 
 
 # --- links in buckets
@@ -270,7 +283,7 @@ def block_pair(bits: int) -> Callable:
     return run
 
 
-#: Fingerprints whose keys one task makes: 85 keys each.
+#: Fingerprints whose keys one task makes: some 96 keys each.
 KEYED_ROWS = 20_000
 
 
@@ -281,7 +294,7 @@ def fingerprint_links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET)
     spark = prints.sparkSession
     # A fingerprint is small and its keys are many: the table's few files would make too few tasks.
     dealt = prints.select("fp").repartition(max(1, -(-prints.count() // KEYED_ROWS)), "fp")
-    keyed = dealt.mapInArrow(key_partition, "key int, fp long")
+    keyed = dealt.mapInArrow(key_partition, "key long, fp long")
     found = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_partition(bits, bucket), "a long, b long, key long, block long"), "links")
     links = found.filter("b IS NOT NULL").select("a", "b").distinct()
     large = found.filter("b IS NULL").select("key", "block", F.col("a").alias("fp"))

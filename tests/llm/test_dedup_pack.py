@@ -320,6 +320,24 @@ def test_contamination_against_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in cleaned.collect() if r.text is not None)
 
 
+def test_pieces_have_all_windows_of_an_item():
+    rng = random.Random(6)
+    for n in (0, 1, 9, 10, 11, 40, 41):
+        words = [b"%d" % rng.randint(0, 3) for _ in range(n)]
+        for most in (1, 5, 100):
+            parts = list(dc.pieces_of(words, 10, most))
+            of = lambda w: [tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))]
+            assert [x for part in parts for x in of(part)] == of(words)
+
+
+def test_phrases_hold_each_window_once_with_its_items():
+    words = b"a b c a b c a b c a b c".split()
+    phrases = dc.Phrases([(7, words), (None, words[3:]), (8, [b"a"]), (9, [])], 3)
+    assert {size: len(p) for size, p in phrases.by_length.items()} == {1: 1, 3: 3}
+    items = [sorted(phrases.owners[a:b].tolist()) for a, b in itertools.pairwise(phrases.owned)]
+    assert items == [[2], [0, 1], [0, 1], [0, 1]]
+
+
 def test_fm_index_finds_all_places():
     rng = np.random.default_rng(0)
     seq = rng.integers(2, 6, 3000)

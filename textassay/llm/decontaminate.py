@@ -28,7 +28,7 @@ from .common import bounded_batches, text_or_empty
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE = 16
 
 #: Word bytes are a-z, 0-9 and all beyond ASCII; A-Z are lowered, the rest parts.
@@ -117,21 +117,29 @@ def item_text(i: int | None) -> str:
 
 
 class Phrases:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items, given as (id, words)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], list[int]] = {}
         self.ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
+        windows: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, (_, words) in enumerate(items):
             if words:
-                for at in range(max(1, len(words) - window + 1)):
-                    found.setdefault(tuple(words[at : at + window]), []).append(k)
-        self.by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for size in sorted({len(w) for w in found}):
-            some = [w for w in found if len(w) == size]
-            self.by_length[size] = (np.array(some, np.int64), [np.unique(found[w]) for w in some])
+                numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], np.int32)
+                size = min(window, len(numbers))
+                windows.setdefault(size, []).append((k, np.lib.stride_tricks.sliding_window_view(numbers, size)))
+        #: Windows of each length, each once; they are numbered from the shortest on.
+        self.by_length: dict[int, np.ndarray] = {}
+        pairs, made = [np.zeros((0, 2), np.int64)], 0
+        for size, found in sorted(windows.items()):
+            self.by_length[size], number = np.unique(np.concatenate([w for _, w in found]), axis=0, return_inverse=True)
+            item = np.repeat([k for k, _ in found], [len(w) for _, w in found])
+            pairs.append(np.unique(np.stack([number.reshape(-1) + made, item], 1), axis=0))
+            made += len(self.by_length[size])
+        # The items of window w are owners[owned[w]:owned[w + 1]].
+        owners = np.concatenate(pairs)
+        self.owners = owners[:, 1].astype(np.int32)
+        self.owned = np.searchsorted(owners[:, 0], np.arange(made + 1))
         self.shortest = min(self.by_length, default=0)
 
 
@@ -171,15 +179,15 @@ class Shard:
         for a, run in zip(begins.tolist(), self.runs, strict=True):
             seq[a : a + len(run)] = run
         index = FMIndex(seq, len(self.phrases.vocabulary) + 2)
-        rows, lengths, windows, owners = [], [], [], []
-        for size, (patterns, own) in self.phrases.by_length.items():
+        rows, lengths, windows, numbered = [], [], [], 0
+        for size, patterns in self.phrases.by_length.items():
             low, high = index.search(patterns)
             counts = high - low
             # The rows of all ranges, one range after another: all are located together.
             rows.append(np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
-            windows.append(np.repeat(np.arange(len(own)), counts) + len(owners))
+            windows.append(np.repeat(np.arange(len(patterns)), counts) + numbered)
             lengths.append(np.full(counts.sum(), size))
-            owners += own
+            numbered += len(patterns)
         place, length, window = index.locate(np.concatenate(rows)), np.concatenate(lengths), np.concatenate(windows)
         if not len(place):
             return {}
@@ -194,7 +202,8 @@ class Shard:
                 spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
             else:
                 spans.append((a, b))
-            found.update(owners[window[k]].tolist())
+            low, high = self.phrases.owned[window[k] : window[k] + 2]
+            found.update(self.phrases.owners[low:high].tolist())
         return out
 
 
@@ -278,15 +287,22 @@ def search_partition(blocks: list) -> Callable:
     return run
 
 
+def pieces_of(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """An item's words in pieces that start at most ``most`` windows each; together they have its windows."""
+    for at in range(0, max(1, len(words) - window + 1), most):
+        yield words[at : at + most + window - 1]
+
+
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """The benchmark's windows as broadcast blocks, each of a bounded size."""
+    """The benchmark's windows as broadcast blocks, each of a bounded size: of long items, too, a block takes a part."""
     context, blocks, items, size = benchmark.sparkSession.sparkContext, [], [], 0
     for i, text in benchmark.select(F.col(item_col).cast("long"), text_or_empty(text_col)).toLocalIterator():
-        items.append((i, text))
-        size += len(text)
-        if size >= block_bytes:
-            blocks.append(context.broadcast(Phrases(items, window)))
-            items, size = [], 0
+        for words in pieces_of(words_of(text), window, max(1, block_bytes // 8)):
+            items.append((i, words))
+            size += sum(map(len, words)) + len(words)
+            if size >= block_bytes:
+                blocks.append(context.broadcast(Phrases(items, window)))
+                items, size = [], 0
     if items or not blocks:
         blocks.append(context.broadcast(Phrases(items, window)))
     return blocks

@@ -9,7 +9,7 @@ from textassay.functions import patterns as P
 from textassay.functions import spans as S
 from textassay.operators import fix as fixing
 from textassay.operators import lint
-from textassay.sources.packs import Engine, Pack, Rule, base_pack, literal_regex, merge_rules, rules_frame
+from textassay.sources.packs import PACK_FILE, Engine, Pack, Rule, base_pack, literal_regex, rules_frame
 
 from .fixtures import WHOLE_SQL, documents, whole
 
@@ -273,8 +273,22 @@ def pack_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.unionByName(dead).unionByName(mute)
 
 
-def values_sql(rules: list[Rule]) -> str:
-    return ", ".join(f"({k + 1}, {q(r.id)}, {q(r.name)}, {r.weight:.4f}::DOUBLE)" for k, r in enumerate(rules))
+#: The base pack's file as SQL reads it: blocks of lines, without a TOML parser.
+PACK_CTES = f"""
+    block AS (SELECT generate_subscripts(blocks, 1) - 1 AS place, unnest(blocks) AS b FROM (SELECT string_split({q(PACK_FILE.read_text(encoding="utf-8"))}, '[[rules]]') AS blocks)),
+    base AS (
+        SELECT place, regexp_extract(b, '\\nid = "([^"]*)"', 1) AS id, regexp_extract(b, '\\nname = "([^"]*)"', 1) AS name, regexp_extract(b, '\\nkind = "([^"]*)"', 1) AS kind,
+               regexp_extract(b, '\\nweight = ([0-9.]+)', 1)::DOUBLE AS weight, regexp_matches(b, '\\n(swaps|replace) = ') AS fixable,
+               regexp_matches(b, '\\nrationale = ".*[^ ].*"') AS reasoned, regexp_matches(b, '\\n(pattern = |patterns = \\[ *"|swaps = \\{{ *[^ }}])') AS fires
+        FROM block WHERE place > 0),
+    extra(place, id, name, weight) AS (VALUES (1001, 'T013', 'delve-again', 3.0), (1002, 'X001', 'the-word', 0.01), (1003, 'X002', 'of-the', 0.02), (1004, 'X003', 'digits', 0.03)),
+    listed AS (SELECT place, id, name, weight FROM base UNION ALL SELECT place, id, name, weight::DOUBLE FROM extra)"""
+PACK_MERGE_SQL = f"WITH {PACK_CTES} SELECT row_number() OVER (ORDER BY min(place)) AS place, id, arg_max(name, place) AS name, round(arg_max(weight, place), 4) AS weight FROM listed GROUP BY id"
+PACK_CHECK_SQL = f"""
+    WITH {PACK_CTES}
+    SELECT id, 'repeated' AS fault FROM listed GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT id, 'dead' FROM base WHERE NOT fires
+    UNION ALL SELECT id, 'no reason' FROM base WHERE NOT reasoned"""
 
 
 def lint_data_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,9 +412,9 @@ QUERIES = {
     "mask_hits": (mask_hits, MASK_HITS_SQL),
     "prose_segments": (prose_segments, SEGMENTS_SQL),
     "prose_words": (prose_words, MASKED("SELECT doc_id, words FROM report")),
-    "pack_merge": (pack_merge, f"SELECT * FROM (VALUES {values_sql(merge_rules(PACKS))}) t(place, id, name, weight)"),
-    "pack_fixable": (pack_fixable, "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {q(r.kind)})" for r in base_pack().rules if r.fixable) + ") t(id, kind)"),
-    "pack_check": (pack_check, "SELECT 'T013' AS id, 'repeated' AS fault"),
+    "pack_merge": (pack_merge, PACK_MERGE_SQL),
+    "pack_fixable": (pack_fixable, f"WITH {PACK_CTES} SELECT id, kind FROM base WHERE fixable"),
+    "pack_check": (pack_check, PACK_CHECK_SQL),
     "fix_ranges_dashes": (fixed("ranges", "em dashes", "en dashes"), fixed_sql(dashes_sql)),
     "fix_phrases": (fixed("phrases"), fixed_sql(phrases_sql)),
     "fix_word_swaps": (fixed("swaps"), fixed_sql(swaps_sql)),

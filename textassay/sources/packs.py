@@ -53,8 +53,11 @@ def parse_pack(toml: str) -> Pack:
     return Pack(meta["name"], str(meta["version"]), tuple(rules), (float(bands["seasoned"]), float(bands["heavy"])) if bands is not None else None)
 
 
+PACK_FILE = Path(__file__).parent / "base_pack.toml"
+
+
 def base_pack() -> Pack:
-    return parse_pack((Path(__file__).parent / "base_pack.toml").read_text(encoding="utf-8"))
+    return parse_pack(PACK_FILE.read_text(encoding="utf-8"))
 
 
 def merge_rules(packs: list[Pack]) -> list[Rule]:

@@ -1,4 +1,4 @@
-"""The feature bag of one text in Python, for SQL functions; tests hold it against the native columns of ``features``."""
+"""The feature bag of one text in plain Python; tests hold the native columns of ``features`` and the batches of ``bags`` against it."""
 
 from __future__ import annotations
 

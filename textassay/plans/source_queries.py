@@ -37,18 +37,17 @@ BAG_SQL = f"""
     UNION ALL {LINES_SQL(CORPUS_SQL)}"""
 
 
-def counted(spark: SparkSession, sf_dir: str, column, words: bool = False) -> DataFrame:
+def counted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """How often each feature of one kind stands in each text."""
-    rows = documents(spark, sf_dir).select("doc_id", (X.words(F.col("text")) if words else F.col("text")).alias("x"))
-    return rows.select("doc_id", F.explode_outer(column(F.col("x"))).alias("feature")).filter("feature IS NOT NULL").groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return mining.text_counts(documents(spark, sf_dir), kind)
 
 
 def tok_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(spark, sf_dir, X.word_features, True)
+    return counted(spark, sf_dir, "w")
 
 
 def tok_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(spark, sf_dir, X.pair_features, True)
+    return counted(spark, sf_dir, "b")
 
 
 def tok_pairs_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +58,11 @@ def tok_pairs_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tok_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(spark, sf_dir, X.mark_features)
+    return counted(spark, sf_dir, "p")
 
 
 def tok_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(spark, sf_dir, X.layout_features)
+    return counted(spark, sf_dir, "s")
 
 
 KIND_COUNT = lambda prefix: f"SELECT doc_id, feature, count(*) AS n FROM ({BAG_SQL}) WHERE starts_with(feature, '{prefix}') GROUP BY doc_id, feature"

@@ -48,6 +48,8 @@ class Bags:
     codes: np.ndarray
     counts: np.ndarray
     names: pa.Array
+    #: Of each name a hash that depends on nothing else; where it was asked for.
+    hashes: np.ndarray | None = None
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +59,26 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers (unsigned, of 64 bits) hashed: splitmix64, the same on every machine."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word by its bytes; none is empty."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    place = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+    of_byte, of_place = mixed(np.arange(256, dtype=np.uint64)), mixed(np.arange(256, 320, dtype=np.uint64)) | np.uint64(1)
+    values = of_byte[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] * of_place[place & 63]
+    return mixed(np.add.reduceat(values, ends[:-1] - ends[0]))
+
+
 def prefixed(prefix: str, names: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(pa.scalar(prefix), names, "")
 
@@ -162,14 +184,17 @@ class Texts:
         return self.rows_of(first), kinds
 
 
-def bags(texts: pa.Array, kinds: str = "wbps") -> Bags:
-    """The features of each text: words, pairs, marks and layout, or some of these."""
+def bags(texts: pa.Array, kinds: str = "wbps", hashed: bool = False) -> Bags:
+    """The features of each text: words, pairs, marks and layout, or some of these; with hashes of their names, if ``hashed``."""
     read = Texts(texts)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+    numbers: list[np.ndarray] = []  # by kind: told apart by what is added before they are mixed
     if "w" in kinds or "b" in kinds:
         rows, codes, names = read.words()
         n = max(len(names), 1)
+        of_word = hashes(names) if hashed else None
         if "w" in kinds:
+            numbers.append(of_word)
             keys, counts = runs(rows * n + codes)
             found.append((keys // n, keys % n, counts, prefixed("w:", names)))
         if "b" in kinds:
@@ -177,19 +202,23 @@ def bags(texts: pa.Array, kinds: str = "wbps") -> Bags:
             keys, counts = runs((rows[1:] * (n * n) + codes[:-1] * n + codes[1:])[within])
             pairs = pa.array(keys % (n * n), pa.int64()).dictionary_encode()
             first, second = np.divmod(np.asarray(pairs.dictionary), n)
+            if hashed:
+                numbers.append(mixed(of_word[first] * np.uint64(3) + of_word[second]))
             named = pc.binary_join_element_wise(prefixed("b:", names).take(pa.array(first)), names.take(pa.array(second)), " ")
             found.append((keys // (n * n), np.asarray(pairs.indices).astype(np.int64), counts, named))
     if "p" in kinds:
         keys, counts = runs(np.ravel_multi_index(read.marks(), (max(read.size, 1), 0x110000)))
         points, codes = np.unique(keys % 0x110000, return_inverse=True)
+        numbers.append(mixed(points.astype(np.uint64)))
         found.append((keys // 0x110000, codes, counts, pa.array([f"p:{chr(c)}" for c in points], pa.string())))
     if "s" in kinds:
         rows, codes = read.layout()
         keys, counts = runs(rows * len(KINDS) + codes)
+        numbers.append(mixed(np.arange(0x110000, 0x110000 + len(KINDS), dtype=np.uint64)))
         found.append((keys // len(KINDS), keys % len(KINDS), counts, pa.array([f"s:{k}" for k in KINDS], pa.string())))
     before = np.cumsum([0, *(len(f[3]) for f in found)])
     rows, codes, counts = (np.concatenate(x) for x in ([f[0] for f in found], [f[1] + k for f, k in zip(found, before)], [f[2] for f in found]))
-    return Bags(read.size, rows, codes, counts, pa.concat_arrays([f[3] for f in found]))
+    return Bags(read.size, rows, codes, counts, pa.concat_arrays([f[3] for f in found]), np.concatenate(numbers) if hashed else None)
 
 
 def counted_rows(batches: Iterator[pa.RecordBatch], kinds: str) -> Iterator[pa.RecordBatch]:

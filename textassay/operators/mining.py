@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -50,38 +50,87 @@ def with_features(df: DataFrame, text_col: str = "text", out_col: str = "feature
     return df.withColumn("__words", X.words(text)).withColumn(out_col, feature_bag(text, F.col("__words"))).drop("__words")
 
 
-def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of (family, text) rows counted within a batch."""
+#: Buckets of features, and the least of them for each partition of a shuffle: one must fit a worker, so they go with the partitions.
+BUCKETS, BUCKETS_EACH = 1024, 8
+#: A bucket's part of a batch: its number and its counts, packed.  A length of -1 is null.
+PACKED = {"names": np.uint8, "name_lengths": np.int16, "families": np.uint8, "family_lengths": np.int32, "y": np.int64, "df": np.int64}
+PACKED_SCHEMA = ", ".join(["bucket int", *(f"{name} binary" for name in PACKED)])
+#: The bucket of what a family has in all; its rows have no feature.
+TOTALS = -1
+
+
+def cells_of(keys: np.ndarray, most: int, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys below ``most`` in order, and the sum of each of the (whole) ``weights`` over them."""
+    if most <= 8 * len(keys):
+        cells = np.flatnonzero(np.bincount(keys, minlength=1))
+        return cells, *(np.bincount(keys, w)[cells].astype(np.int64) for w in weights)
+    cells, place = np.unique(keys, return_inverse=True)
+    return cells, *(np.bincount(place, w, len(cells)).astype(np.int64) for w in weights)
+
+
+def packed(buckets: np.ndarray, families: pa.Array, features: pa.Array, y: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    """Counts in the order of their buckets, a row for each bucket.  What one bucket has stands together, so that nothing is copied."""
+    first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+    ends = np.r_[first, len(buckets)]
+    columns = [pa.array(buckets[first], pa.int32())]
+
+    def pack(data: pa.Buffer | None, places: np.ndarray) -> None:
+        columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places.astype(np.int32)), data]))
+
+    def pack_numbers(values: np.ndarray) -> None:
+        pack(pa.py_buffer(values), ends * values.itemsize)
+
+    for strings, kind in ((features, PACKED["name_lengths"]), (families, PACKED["family_lengths"])):
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+        pack(strings.buffers()[2], offsets[ends])
+        pack_numbers(np.where(np.asarray(strings.is_null()), -1, np.diff(offsets)).astype(kind))
+    pack_numbers(y)
+    pack_numbers(df)
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", *PACKED])
+
+
+def unpacked(rows: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """The families, features and numbers that ``packed`` was given, of all rows."""
+
+    def values(name: str) -> np.ndarray:
+        parts = []
+        for batch in rows:
+            _, offsets, data = (column := batch.column(name)).buffers()
+            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8))
+        return np.concatenate(parts).view(PACKED[name])
+
+    def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        offsets = pa.py_buffer(np.r_[0, np.cumsum(np.maximum(lengths, 0), dtype=np.int64)])
+        known = lengths >= 0
+        valid = None if known.all() else pa.py_buffer(np.packbits(known, bitorder="little"))
+        return pa.LargeStringArray.from_buffers(len(lengths), offsets, pa.py_buffer(data), valid)
+
+    return strings(values("families"), values("family_lengths")), strings(values("names"), values("name_lengths")), values("y"), values("df")
+
+
+def count_partition(batches: Iterator[pa.RecordBatch], buckets: int, totals: bool) -> Iterator[pa.RecordBatch]:
+    """Features of (family, text) rows counted within a batch, packed by bucket; with ``totals``, what a family's texts have in all and how many they are."""
     for batch in batches:
-        found = bags(batch.column("text"))
+        found = bags(batch.column("text"), hashed=True)
         families = batch.column("family").dictionary_encode()
         names = pa.concat_arrays([families.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
-        n = max(len(found.names), 1)
-        keys = np.asarray(families.indices.fill_null(len(families.dictionary))).astype(np.int64)[found.rows] * n + found.codes
-        if len(names) * n <= 8 * len(keys):
-            y, df = np.bincount(keys, found.counts), np.bincount(keys)
-            cells = np.flatnonzero(df)
-            y, df = y[cells], df[cells]
-        else:
-            cells, place = np.unique(keys, return_inverse=True)
-            y, df = np.bincount(place, found.counts, len(cells)), np.bincount(place, minlength=len(cells))
-        yield pa.RecordBatch.from_arrays(
-            [names.take(pa.array(cells // n)), found.names.take(pa.array(cells % n)), pa.array(y.astype(np.int64)), pa.array(df.astype(np.int64))],
-            names=["family", "feature", "y", "df"],
-        )
-
-
-def with_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``count_partition``, and for each family of a batch a row without a feature: occurrences of all features, and texts."""
-    for batch in batches:
-        for found in count_partition(iter([batch])):
-            sums = pa.table(found).group_by("family").aggregate([("y", "sum")])
-            texts = pa.table({"family": batch.column("family")}).group_by("family").aggregate([([], "count_all")])
-            known = dict(zip(sums["family"].to_pylist(), sums["y_sum"].to_pylist(), strict=True))
-            families = texts["family"].to_pylist()
-            rest = [pa.array(families, pa.string()), pa.nulls(len(families), pa.string()), pa.array([known.get(f, 0) for f in families], pa.int64()), texts["count_all"].combine_chunks().cast(pa.int64())]
-            yield found
-            yield pa.RecordBatch.from_arrays(rest, names=found.schema.names)
+        family = np.asarray(families.indices.fill_null(len(families.dictionary))).astype(np.int64)
+        if totals and len(family):
+            y = np.bincount(family[found.rows], found.counts, len(names)).astype(np.int64)
+            df = np.bincount(family, minlength=len(names))
+            some = np.flatnonzero(df)
+            yield packed(np.full(len(some), TOTALS), names.take(pa.array(some)), pa.nulls(len(some), pa.string()), y[some], df[some])
+        # Names by bucket first, so that what is counted by their new places is in the order of buckets.
+        bucket = (found.hashes % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        n = len(names)
+        cells, y, df = cells_of(place[found.codes] * n + family[found.rows], len(order) * n, found.counts, np.ones(len(found.rows), np.int64))
+        feature = order[cells // n]
+        if len(cells):
+            yield packed(bucket[feature], names.take(pa.array(cells % n)), found.names.take(pa.array(feature)), y, df)
 
 
 #: Rows that are put together before neighbours are compared.
@@ -134,6 +183,73 @@ def merge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield shown(waiting, np.zeros(len(waiting), np.int64))
 
 
+#: Bytes of packed counts that are put together before they are merged.
+MERGED_BYTES = 16 << 20
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in the order of buckets, some buckets at a time, none of them cut."""
+    waiting: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in (b for b in batches if b.num_rows):
+        buckets = np.asarray(batch.column("bucket"))
+        cut = int(np.searchsorted(buckets, buckets[-1]))
+        # A bucket begins at the cut, unless it is that of all rows and of the last that waits.
+        if size + batch.nbytes >= MERGED_BYTES and (cut or last not in (None, buckets[0])):
+            yield [*waiting, batch.slice(0, cut)]
+            waiting, size, batch = [], 0, batch.slice(cut)
+        waiting.append(batch)
+        size, last = size + batch.nbytes, buckets[-1]
+    if waiting:
+        yield waiting
+
+
+#: Rows of a batch that goes back to Spark.
+SHOWN_ROWS = 200_000
+
+
+def sum_buckets(batches: Iterator[pa.RecordBatch], pooled: bool = False, apart: bool = True) -> Iterator[pa.RecordBatch]:
+    """Packed rows in the order of buckets: each feature's counts by family, all of them together.
+
+    With ``pooled``, sums over the families under a null family; without ``apart``, these alone.
+    """
+    for rows in whole_buckets(batches):
+        family, feature, y, df = unpacked(rows)
+        families, features = family.dictionary_encode("encode"), feature.dictionary_encode("encode")
+        n = max(len(families.dictionary), 1)
+        keys = np.asarray(features.indices).astype(np.int64) * n + np.asarray(families.indices)
+        cells, y, df = cells_of(keys, len(features.dictionary) * n, y, df)
+        names, kinds = features.dictionary.cast(pa.string()), families.dictionary.cast(pa.string())
+        found = [(kinds.take(pa.array(cells % n)), names.take(pa.array(cells // n)), y, df)] if apart else []
+        if pooled:
+            codes = cells // n
+            whole = [np.bincount(codes, x, len(names)).astype(np.int64) for x in (y, df)]
+            found.append((pa.nulls(len(names), pa.string()), names, *whole))
+        for arrays in found:
+            made = pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], names=["family", "feature", "y", "df"])
+            yield from (made.slice(k, SHOWN_ROWS) for k in range(0, len(made), SHOWN_ROWS))
+
+
+def sum_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return merge_partition(sum_buckets(batches))
+
+
+def counted(df: DataFrame, family_col: str, text_col: str, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, totals: bool = False) -> DataFrame:
+    """All features counted by family and merged, in one shuffle by buckets of features.
+
+    Arrow batches of texts are counted by passes over their bytes, without a Python
+    object for any word.  What a batch counted travels as one row for each bucket, so
+    that nothing is done for a feature outside these passes: a corpus has about as many
+    pairs of words as words, and most of them once.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    buckets = max(BUCKETS, BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = df.select(F.col(family_col).cast("string").alias("family"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.mapInArrow(partial(count_partition, buckets=buckets, totals=totals), PACKED_SCHEMA)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
+
+
 def used_often(df: DataFrame, family_col: str = "family", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``family, feature, y, df, y_w, df_w`` of all features that some family has ``LEAST_COUNT`` times or more, and ``family, total, samples``.
 
@@ -141,27 +257,30 @@ def used_often(df: DataFrame, family_col: str = "family", text_col: str = "text"
     feature: what its families have stands together then, so its sums need no
     second one, and the many rare features are not stored.
     """
-    bounded_batches(df.sparkSession)
-    texts = df.select(F.col(family_col).cast("string").alias("family"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(with_totals, "family string, feature string, y long, df long")
-    # A hash first: it tells rows apart by number, where names share their beginnings.
-    merged = rows.repartition("feature").sortWithinPartitions(F.xxhash64("feature"), "feature", "family").mapInArrow(merge_partition, "family string, feature string, y long, df long, y_w long, df_w long")
+    merged = counted(df, family_col, text_col, sum_often, "family string, feature string, y long, df long, y_w long, df_w long", totals=True)
     stored = materialise(merged, "counts")
     totals = stored.filter("feature IS NULL").select("family", F.col("y").alias("total"), F.col("df").alias("samples"))
     return stored.filter("feature IS NOT NULL"), materialise(totals, "totals")
 
 
+COUNTED = "family string, feature string, y long, df long"
+
+
 def feature_counts(df: DataFrame, family_col: str = "family", text_col: str = "text") -> DataFrame:
-    """``family, feature, y`` (occurrences) and ``df`` (texts that have it), in one shuffle.
+    """``family, feature, y`` (occurrences) and ``df`` (texts that have it), in one shuffle."""
+    return counted(df, family_col, text_col, sum_buckets, COUNTED)
 
-    Arrow batches of texts are counted by passes over their bytes, without a Python
-    object for any word; the map side folds the batches of a task, so that frequent
-    features don't travel.
-    """
-    bounded_batches(df.sparkSession)
-    texts = df.select(F.col(family_col).cast("string").alias("family"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(count_partition, "family string, feature string, y long, df long")
-    return rows.groupBy("family", "feature").agg(F.sum("y").alias("y"), F.sum("df").alias("df"))
+
+def pooled_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``feature, y_w, df`` over all families, which need not be told apart."""
+    merge = partial(sum_buckets, pooled=True, apart=False)
+    return counted(df.withColumn("__family", F.lit("")), "__family", text_col, merge, COUNTED).select("feature", F.col("y").alias("y_w"), "df")
+
+
+def grouped_counts(df: DataFrame, family_col: str = "family", text_col: str = "text") -> DataFrame:
+    """``family, feature, y`` at all levels: by both, by feature, by family and of the whole, with nulls for what a level doesn't tell apart."""
+    # Totals have no feature, so that their sum over families is the whole.  A family whose texts have no feature isn't counted.
+    return counted(df, family_col, text_col, partial(sum_buckets, pooled=True), COUNTED, totals=True).filter("y > 0").drop("df")
 
 
 def text_counts(df: DataFrame, kinds: str = "wbps", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,10 +300,6 @@ def text_counts(df: DataFrame, kinds: str = "wbps", id_col: str = "doc_id", text
     return count(texts.join(repeated, same, "left_anti")).unionByName(summed)
 
 
-def pooled_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("feature").agg(F.sum("y").alias("y_w"), F.sum("df").alias("df"))
-
-
 def family_totals(counts: DataFrame, df: DataFrame, family_col: str = "family") -> DataFrame:
     """``family, total`` (occurrences of all features) and ``samples``."""
     samples = df.groupBy(F.col(family_col).alias("family")).agg(F.count(F.lit(1)).alias("samples"))

@@ -90,13 +90,11 @@ def mine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mine_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All levels of the counts in one pass: family and feature, each alone, and the whole."""
-    counts = mining.feature_counts(corpus(spark, sf_dir))
-    counts.createOrReplaceTempView("__feature_counts")
-    return spark.sql("SELECT family, feature, sum(y) AS y FROM __feature_counts GROUP BY GROUPING SETS ((family, feature), (feature), (family), ())")
+    return mining.grouped_counts(corpus(spark, sf_dir))
 
 
 def mine_docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.pooled_counts(mining.feature_counts(corpus(spark, sf_dir))).select("feature", "y_w", "df")
+    return mining.pooled_counts(corpus(spark, sf_dir))
 
 
 def mine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

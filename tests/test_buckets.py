@@ -4,11 +4,12 @@ import random
 from collections import Counter
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from textassay.functions.bag import feature_bag
-from textassay.functions.bags import bags
+from textassay.functions.bags import Index, bags, family_counts
 from textassay.operators import mining
 from textassay.plans.entries import ENTRIES
 
@@ -32,15 +33,17 @@ def batch(rows):
     return pa.RecordBatch.from_pydict({"family": pa.array([f for f, _ in rows], pa.string()), "text": pa.array([t for _, t in rows], pa.string())})
 
 
-def test_a_name_has_one_hash_in_all_batches():
-    texts = [t for _, t in made()]
+def test_a_name_has_one_bucket_in_all_batches():
+    rows = made()
     seen = {}
     for k in range(0, 300, 50):
-        found = bags(pa.array(texts[k : k + 50]), hashed=True)
-        for name, number in zip(found.names.to_pylist(), found.hashes.tolist(), strict=True):
-            assert seen.setdefault(name, number) == number
+        texts = pa.array([t for _, t in rows[k : k + 50]])
+        for bucket, _, names, _, _ in family_counts(texts, np.zeros(50, np.int64), 1 << 40):
+            assert bucket.tolist() == sorted(bucket.tolist())
+            for name, number in zip(names.to_pylist(), bucket.tolist(), strict=True):
+                assert seen.setdefault(name, number) == number
     assert len(set(seen.values())) == len(seen) > 1000 and {n[0] for n in seen} == set("wbps")
-    assert bags(pa.array(texts)).hashes is None and len(bags(pa.array([], pa.string()), hashed=True).hashes) == len(bags(pa.array([], pa.string())).names)
+    assert sum(len(x[0]) for x in family_counts(pa.array([], pa.string()), np.zeros(0, np.int64), 9)) == 0
 
 
 @pytest.mark.parametrize("size", [1, 3000, 1 << 24])
@@ -80,3 +83,33 @@ def test_all_levels(spark):
 def test_rows_of_buckets_are_shuffled_not_features(spark, name):
     plan = ENTRIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(bucket") == plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan and "Expand" not in plan
+
+
+def test_an_index_finds_its_names_alone():
+    texts = [t for _, t in made(200, 6)] + ["", None, "a", "Kk k kk. K\n", "x" * 40 + " k l", "k " + "x" * 40 + " l k"]
+    found = bags(pa.array(texts))
+    every = found.names.to_pylist()
+    odd = ["b:a", "b:a b c", "b: a", "w:", "p:ab", "p:", "s:none", "x:k", "", "b:k l", "b:l k"]
+    pick = random.Random(2)
+    for names in ([], odd, sorted({*pick.sample(every, 40), *odd}), sorted(set(every)), [n for n in sorted(set(every)) if n[0] == "b"]):
+        rows, places, counts = Index(pa.array(names, pa.string())).counts(pa.array(texts))
+        want = sorted((row, names.index(every[c]), n) for row, c, n in zip(found.rows.tolist(), found.codes.tolist(), found.counts.tolist(), strict=True) if every[c] in names)
+        assert list(zip(rows.tolist(), places.tolist(), counts.tolist(), strict=True)) == want
+    assert len(want) > 100
+
+
+def test_an_index_makes_no_names_of_pairs(monkeypatch):
+    from textassay.functions import bags as module
+
+    monkeypatch.setattr(module, "prefixed", None)
+    catalog = mining.Matrix(pa.array(["b:k l", "w:k"]), np.ones(2), np.ones(2), ["a"], None, None, None)
+    rows, places, values = catalog.entries(pa.array(["m k l", "k"]))
+    assert (rows.tolist(), places.tolist()) == ([0, 0, 1], [0, 1, 1]) and abs(values[2] - 1) < 1e-12
+
+
+def test_tasks_keep_their_own_first_features(spark):
+    """A family's candidates aren't put in one task before most of them are left out."""
+    scored = spark.createDataFrame([("a", f"w:{k}", 5, float(k % 7)) for k in range(50)], "family string, feature string, y long, z double")
+    plan = mining.nominated(scored, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+    assert [r.feature for r in mining.nominated(scored, 3).orderBy("rank").collect()] == ["w:13", "w:20", "w:27"]

@@ -8,7 +8,7 @@ names are made for what is distinct in the batch alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -22,8 +22,6 @@ from .features import LONGEST_WORD
 
 WORD, MARK, SPACE = 1, 2, 4
 KINDS = ("fence", "heading", "bullet", "boldlead", "numlist", "blank", "line_short", "line_mid", "line_long", "line_para")
-#: A byte in lower case if it is an ASCII letter.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 @cache
@@ -48,8 +46,11 @@ class Bags:
     codes: np.ndarray
     counts: np.ndarray
     names: pa.Array
-    #: Of each name a hash that depends on nothing else; where it was asked for.
-    hashes: np.ndarray | None = None
+
+
+def ascii_lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII letters in lower case."""
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +147,16 @@ class Texts:
             inside[a:z] = False
         first, last = first[~long], last[~long]
         places = np.r_[0, np.cumsum(last - first)].astype(np.int32)
-        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(places), pa.py_buffer(LOWER[self.bytes[inside]])).dictionary_encode()
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(places), pa.py_buffer(ascii_lower(self.bytes[inside]))).dictionary_encode()
         codes, names = np.asarray(words.indices).astype(np.int64), words.dictionary
         ascii_only = pc.string_is_ascii(names)
         if not pc.all(ascii_only).as_py():
+            # One string for all of them: no word has the separator, and letters beyond it don't count for how one is lowered.
             other = pc.invert(ascii_only)
-            lowered = pc.replace_with_mask(names, other, pa.array([w.lower() for w in names.filter(other).to_pylist()], pa.string())).dictionary_encode()
-            codes, names = np.asarray(lowered.indices).astype(np.int64)[codes], lowered.dictionary
+            joined = "\n".join(names.filter(other).to_pylist())
+            if (lower := joined.lower()) != joined:
+                lowered = pc.replace_with_mask(names, other, pa.array(lower.split("\n"), pa.string())).dictionary_encode()
+                codes, names = np.asarray(lowered.indices).astype(np.int64)[codes], lowered.dictionary
         return self.rows_of(first), codes, names
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -184,17 +188,14 @@ class Texts:
         return self.rows_of(first), kinds
 
 
-def bags(texts: pa.Array, kinds: str = "wbps", hashed: bool = False) -> Bags:
-    """The features of each text: words, pairs, marks and layout, or some of these; with hashes of their names, if ``hashed``."""
+def bags(texts: pa.Array, kinds: str = "wbps") -> Bags:
+    """The features of each text: words, pairs, marks and layout, or some of these."""
     read = Texts(texts)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
-    numbers: list[np.ndarray] = []  # by kind: told apart by what is added before they are mixed
     if "w" in kinds or "b" in kinds:
         rows, codes, names = read.words()
         n = max(len(names), 1)
-        of_word = hashes(names) if hashed else None
         if "w" in kinds:
-            numbers.append(of_word)
             keys, counts = runs(rows * n + codes)
             found.append((keys // n, keys % n, counts, prefixed("w:", names)))
         if "b" in kinds:
@@ -202,23 +203,102 @@ def bags(texts: pa.Array, kinds: str = "wbps", hashed: bool = False) -> Bags:
             keys, counts = runs((rows[1:] * (n * n) + codes[:-1] * n + codes[1:])[within])
             pairs = pa.array(keys % (n * n), pa.int64()).dictionary_encode()
             first, second = np.divmod(np.asarray(pairs.dictionary), n)
-            if hashed:
-                numbers.append(mixed(of_word[first] * np.uint64(3) + of_word[second]))
             named = pc.binary_join_element_wise(prefixed("b:", names).take(pa.array(first)), names.take(pa.array(second)), " ")
             found.append((keys // (n * n), np.asarray(pairs.indices).astype(np.int64), counts, named))
     if "p" in kinds:
         keys, counts = runs(np.ravel_multi_index(read.marks(), (max(read.size, 1), 0x110000)))
         points, codes = np.unique(keys % 0x110000, return_inverse=True)
-        numbers.append(mixed(points.astype(np.uint64)))
         found.append((keys // 0x110000, codes, counts, pa.array([f"p:{chr(c)}" for c in points], pa.string())))
     if "s" in kinds:
         rows, codes = read.layout()
         keys, counts = runs(rows * len(KINDS) + codes)
-        numbers.append(mixed(np.arange(0x110000, 0x110000 + len(KINDS), dtype=np.uint64)))
         found.append((keys // len(KINDS), keys % len(KINDS), counts, pa.array([f"s:{k}" for k in KINDS], pa.string())))
     before = np.cumsum([0, *(len(f[3]) for f in found)])
     rows, codes, counts = (np.concatenate(x) for x in ([f[0] for f in found], [f[1] + k for f, k in zip(found, before)], [f[2] for f in found]))
-    return Bags(read.size, rows, codes, counts, pa.concat_arrays([f[3] for f in found]), np.concatenate(numbers) if hashed else None)
+    return Bags(read.size, rows, codes, counts, pa.concat_arrays([f[3] for f in found]))
+
+
+def family_counts(texts: pa.Array, family: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """By kind, in the order of buckets: the bucket, the family (a number, given by text), the name, the occurrences and the texts of each feature that a family has.
+
+    A bucket depends on a feature's name alone.
+    """
+    read = Texts(texts)
+    size = max(read.size, 1)
+    by_family = np.argsort(family, kind="stable")
+    place = np.empty(read.size, np.int64)
+    place[by_family] = np.arange(read.size)
+    # The smallest kind of number, as those of 16 bits are sorted in linear time.
+    narrow = np.min_scalar_type(buckets - 1)
+
+    def counted(rows: np.ndarray, codes: np.ndarray, numbers: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Sorted by code, family and text, occurrences stand together."""
+        keys, counts = runs(codes * size + place[rows])
+        codes, at = np.divmod(keys, size)
+        families = family[by_family[at]] if len(at) else at
+        first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (families[1:] != families[:-1])][: len(codes)])
+        y, df = (np.add.reduceat(counts, first) if len(first) else counts), np.diff(np.r_[first, len(codes)])
+        codes, families = codes[first], families[first]
+        bucket = (numbers(codes) % np.uint64(buckets)).astype(narrow)
+        order = np.argsort(bucket, kind="stable")
+        return bucket[order], families[order], codes[order], y[order], df[order]
+
+    rows, codes, names = read.words()
+    of_word, n = hashes(names), max(len(names), 1)
+    bucket, families, found, y, df = counted(rows, codes, lambda c: of_word[c])
+    yield bucket, families, prefixed("w:", names.take(pa.array(found))), y, df
+    within = rows[1:] == rows[:-1]
+    bucket, families, found, y, df = counted(rows[1:][within], (codes[:-1] * n + codes[1:])[within], lambda c: mixed(of_word[c // n] * np.uint64(3) + of_word[c % n]))
+    first, second = np.divmod(found, n)
+    yield bucket, families, pc.binary_join_element_wise(prefixed("b:", names).take(pa.array(first)), names.take(pa.array(second)), " "), y, df
+    bucket, families, found, y, df = counted(*read.marks(), lambda c: mixed(c.astype(np.uint64)))
+    points, at = np.unique(found, return_inverse=True)
+    yield bucket, families, pa.array([f"p:{chr(c)}" for c in points], pa.string()).take(pa.array(at)), y, df
+    bucket, families, found, y, df = counted(*read.layout(), lambda c: mixed(c.astype(np.uint64) + np.uint64(0x110000)))
+    yield bucket, families, pa.array([f"s:{k}" for k in KINDS], pa.string()).take(pa.array(found)), y, df
+
+
+class Index:
+    """Names of features by what they are made of, to find these alone in texts: no name is made for anything else.
+
+    A name that no text can have is never found.
+    """
+
+    def __init__(self, names: pa.Array):
+        listed = [(k, name[:2], name[2:]) for k, name in enumerate(names.to_pylist())]
+        pairs = [(k, *rest.split(" ")) for k, kind, rest in listed if kind == "b:" and rest.count(" ") == 1]
+        singles = {rest: k for k, kind, rest in listed if kind == "w:"}
+        words = sorted({*singles, *(w for _, a, b in pairs for w in (a, b))})
+        number = {w: k for k, w in enumerate(words)}
+        self.size = len(names)
+        self.words = pa.array(words, pa.string())
+        self.of_word = np.array([*(singles.get(w, -1) for w in words), -1])  # the last is for words that are in none
+        pairs = sorted((number[a] * len(words) + number[b], k) for k, a, b in pairs)
+        self.pairs, self.of_pair = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+        self.of_mark = np.full(0x110000, -1)
+        for k, kind, rest in listed:
+            if kind == "p:" and len(rest) == 1:
+                self.of_mark[ord(rest)] = k
+        layout = {rest: k for k, kind, rest in listed if kind == "s:"}
+        self.of_kind = np.array([layout.get(kind, -1) for kind in KINDS])
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places among the names and counts, in the order of rows and places."""
+        read = Texts(texts)
+        rows, codes, names = read.words()
+        words = np.asarray(pc.index_in(names, value_set=self.words).fill_null(-1)).astype(np.int64)[codes]
+        found = [(rows, self.of_word[words])]
+        both = np.flatnonzero((rows[1:] == rows[:-1]) & (words[1:] >= 0) & (words[:-1] >= 0))
+        if len(self.pairs):
+            keys = words[both] * len(self.words) + words[both + 1]
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            found.append((rows[both], np.where(self.pairs[at] == keys, self.of_pair[at], -1)))
+        for where, table in ((read.marks(), self.of_mark), (read.layout(), self.of_kind)):
+            found.append((where[0], table[where[1]]))
+        rows, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        known = places >= 0
+        keys, counts = runs(rows[known] * self.size + places[known])
+        return *np.divmod(keys, max(self.size, 1)), counts
 
 
 def counted_rows(batches: Iterator[pa.RecordBatch], kinds: str) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,6 @@ from textassay.operators.mining import UNMATCHED, Catalog, in_memory
 from textassay.sources.packs import Engine, default_engine
 
 from . import exact
-from .bags import bags
 
 #: Matched features from which on ``assay_who`` calls; lower than the operator's own.
 MIN_MATCHED = 20
@@ -54,8 +53,7 @@ def load_catalog(spark: SparkSession, catalog: Catalog, min_matched: int = MIN_M
 
     @F.pandas_udf("string")
     def assay_who(texts: pd.Series, margins: pd.Series) -> pd.Series:
-        found = bags(pa.array(texts, pa.string(), from_pandas=True))
-        ranked, gaps, matched, proof = (x.to_pylist() for x in attributed_batch(found, matrix.value, 8))
+        ranked, gaps, matched, proof = (x.to_pylist() for x in attributed_batch(pa.array(texts, pa.string(), from_pandas=True), matrix.value, 8))
         out = []
         for text, margin, r, gap, n, p in zip(texts, margins, ranked, gaps, matched, proof, strict=True):
             call = r[0]["family"] if r and n >= min_matched and gap >= margin and r[0]["family"] != UNMATCHED else None

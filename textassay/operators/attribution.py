@@ -1,7 +1,7 @@
 """Attribution: scores of a catalog's families, a call or a refusal, and evidence.
 
-A text is attributed in its own row: Arrow batches of texts become feature bags,
-which are multiplied with the catalog that every task holds.
+A text is attributed in its own row: in Arrow batches of texts the catalog's features
+are counted, which are multiplied with the catalog that every task holds.
 Nothing is shuffled, and rows that share an id (or have none) stay apart.
 """
 
@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textassay.functions.bags import Bags, bags
-
 from .mining import UNMATCHED, Catalog, Matrix, in_memory, texts_of
 
 RECEIPTS = 8
@@ -34,10 +32,10 @@ def lists(offsets: np.ndarray, fields: dict[str, pa.Array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def attributed_batch(found: Bags, m: Matrix, most: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """Rankings, gaps of the first two, matched features and evidence of a batch of bags."""
-    n, k = found.size, len(m.families)
-    rows, places, values = m.entries(found)
+def attributed_batch(texts: pa.Array, m: Matrix, most: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Rankings, gaps of the first two, matched features and evidence of a batch of texts."""
+    n, k = len(texts), len(m.families)
+    rows, places, values = m.entries(texts)
     cells = m.weights[places] * values[:, None]
     scores = np.stack([np.bincount(rows, cells[:, f], n) for f in range(k)], axis=1) + m.bias if k else np.zeros((n, 0))
     matched = np.bincount(rows, minlength=n)
@@ -73,7 +71,7 @@ def attributed(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = attributed_batch(bags(batch.column("__text")), matrix.value, most)
+            found = attributed_batch(batch.column("__text"), matrix.value, most)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "ranked", "confidence", "matched", "evidence"])
 
     own = ", ".join(f"{name} {kinds[name]}" for name in carry)

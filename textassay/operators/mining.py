@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions import features as X
-from textassay.functions.bags import Bags, bags, counted_rows
+from textassay.functions.bags import Index, counted_rows, family_counts
 from textassay.sources.scratch import bounded_batches, materialise
 
 UNMATCHED = "unmatched"
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 ALPHA = 1000.0
 LEAST_COUNT = 5
 #: Cells (features times families) of a catalog that is sent to every task: 8 bytes each.  Larger ones are refused.
@@ -112,25 +113,17 @@ def unpacked(rows: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarray
 def count_partition(batches: Iterator[pa.RecordBatch], buckets: int, totals: bool) -> Iterator[pa.RecordBatch]:
     """Features of (family, text) rows counted within a batch, packed by bucket; with ``totals``, what a family's texts have in all and how many they are."""
     for batch in batches:
-        found = bags(batch.column("text"), hashed=True)
         families = batch.column("family").dictionary_encode()
         names = pa.concat_arrays([families.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
         family = np.asarray(families.indices.fill_null(len(families.dictionary))).astype(np.int64)
-        if totals and len(family):
-            y = np.bincount(family[found.rows], found.counts, len(names)).astype(np.int64)
-            df = np.bincount(family, minlength=len(names))
-            some = np.flatnonzero(df)
-            yield packed(np.full(len(some), TOTALS), names.take(pa.array(some)), pa.nulls(len(some), pa.string()), y[some], df[some])
-        # Names by bucket first, so that what is counted by their new places is in the order of buckets.
-        bucket = (found.hashes % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        n = len(names)
-        cells, y, df = cells_of(place[found.codes] * n + family[found.rows], len(order) * n, found.counts, np.ones(len(found.rows), np.int64))
-        feature = order[cells // n]
-        if len(cells):
-            yield packed(bucket[feature], names.take(pa.array(cells % n)), found.names.take(pa.array(feature)), y, df)
+        total, texts = np.zeros(len(names), np.int64), np.bincount(family, minlength=len(names))
+        for bucket, own, features, y, df in family_counts(batch.column("text"), family, buckets):
+            total += np.bincount(own, y, len(names)).astype(np.int64)
+            if len(own):
+                yield packed(bucket, names.take(pa.array(own)), features, y, df)
+        some = np.flatnonzero(texts)
+        if totals and len(some):
+            yield packed(np.full(len(some), TOTALS), names.take(pa.array(some)), pa.nulls(len(some), pa.string()), total[some], texts[some])
 
 
 #: Rows that are put together before neighbours are compared.
@@ -325,6 +318,10 @@ def scored_features(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 def nominated(scored: DataFrame, top_k: int) -> DataFrame:
     """Each family's ``top_k`` features by |z| (rounded, ties by name)."""
+    conf = scored.sparkSession.conf
+    # Each task keeps its own first top_k before families are put together: above this threshold Spark would sort a family's rows in one task.
+    if 0 <= int(conf.get(GROUP_LIMIT)) < top_k:
+        conf.set(GROUP_LIMIT, str(top_k))
     order = Window.partitionBy("family").orderBy(F.round(F.abs("z"), 6).desc(), "feature")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
@@ -361,14 +358,15 @@ class Matrix:
     weights: np.ndarray
     rates: np.ndarray
 
-    def entries(self, found: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.features)
+
+    def entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, places and values of the texts' vectors, in this order: (1 + ln c) idf, each text of length one."""
-        at = np.asarray(pc.index_in(found.names, value_set=self.features).fill_null(-1)).astype(np.int64)[found.codes]
-        known = np.flatnonzero(at >= 0)
-        known = known[np.argsort(found.rows[known] * max(len(self.features), 1) + at[known])]
-        rows, places, counts = found.rows[known], at[known], found.counts[known]
+        rows, places, counts = self.index.counts(texts)
         values = (1.0 + np.log(counts.astype(np.float64))) * self.idf[places]
-        norms = np.sqrt(np.bincount(rows, values * values, found.size))[rows]
+        norms = np.sqrt(np.bincount(rows, values * values, len(texts)))[rows]
         return rows, places, np.where(norms > 0, values / np.where(norms > 0, norms, 1), values)
 
 
@@ -404,7 +402,7 @@ def vectors(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, values = matrix.value.entries(bags(batch.column("__text")))
+            rows, places, values = matrix.value.entries(batch.column("__text"))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), matrix.value.features.take(pa.array(places)), pa.array(values)], names=["id", "feature", "v"])
 
     return texts_of(df, {"id": F.col(id_col)}, text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, feature string, v double")

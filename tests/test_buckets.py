@@ -10,7 +10,7 @@ import pytest
 
 from textassay.functions.bag import feature_bag
 from textassay.functions.bags import Index, bags, family_counts
-from textassay.operators import mining
+from textassay.operators import attribution, mining
 from textassay.plans.entries import ENTRIES
 
 
@@ -113,3 +113,14 @@ def test_tasks_keep_their_own_first_features(spark):
     plan = mining.nominated(scored, 2000)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
     assert [r.feature for r in mining.nominated(scored, 3).orderBy("rank").collect()] == ["w:13", "w:20", "w:27"]
+
+
+def test_calls_need_no_evidence(spark):
+    rows = spark.createDataFrame([(k, f, f"{f} walks on, {f} runs {k}.") for k in range(20) for f in ("a", "b")], "doc_id long, family string, text string")
+    catalog = mining.mine(rows, 50)
+    weights = catalog.weights.withColumn("w", catalog.weights.rate / 100)
+    catalog = mining.Catalog(catalog.features, weights, catalog.families)
+    shown, bare = ({(r.id, r.ranked[0].family, r.confidence, r.matched): r.evidence for r in attribution.attributed(rows, catalog, most=most).collect()} for most in (8, 0))
+    assert shown.keys() == bare.keys() and not any(bare.values()) and all(shown.values())
+    # Ties of what a feature leads by go by its name.
+    assert all([e.feature for e in x] == [e.feature for e in sorted(x, key=lambda e: (-round(e.contribution, 9), e.feature))] for x in shown.values())

@@ -46,10 +46,10 @@ def attributed_batch(texts: pa.Array, m: Matrix, most: int) -> tuple[pa.Array, p
     gap = ranked_odds[:, 0] - ranked_odds[:, 1] if k > 1 else np.zeros(n)
     names = pa.array(m.families, pa.string())
     ranked = lists(np.arange(n + 1) * k, {"family": names.take(pa.array(order.ravel())), "probability": pa.array(ranked_odds.ravel()), "score": pa.array(ranked_scores.ravel())})
-    if k < 2:
+    if k < 2 or not most:
         return ranked, pa.array(gap), pa.array(matched), lists(np.zeros(n + 1), {"feature": names[:0], "contribution": pa.array([], pa.float64()), "rate": pa.array([], pa.float64()), "baseline": pa.array([], pa.float64())})
     lead = cells[np.arange(len(rows)), order[rows, 0]] - cells[np.arange(len(rows)), order[rows, 1]]
-    by = np.lexsort((places, -np.round(lead, 9), rows))  # places are in the order of features
+    by = np.lexsort((-np.round(lead, 9), rows))  # ties stay in the order of places, which is that of features
     first = np.cumsum(matched) - matched
     kept = by[np.arange(len(by)) - first[rows] < most]  # rows come sorted, so the place in a row's run is known
     top = order[rows[kept], 0]
@@ -61,7 +61,7 @@ def attributed(df: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col
     """``id``, the columns ``carry``, ``ranked`` (families by probability; ties by name), ``confidence`` (the gap of the first two), ``matched`` and ``evidence``.
 
     One row for each row of ``df``.  Evidence is what the first family leads the
-    second by, feature by feature.  A text without a feature of the catalog scores
+    second by, feature by feature; none with ``most`` of 0.  A text without a feature of the catalog scores
     the biases.
     """
     matrix = df.sparkSession.sparkContext.broadcast(in_memory(catalog))

@@ -155,8 +155,9 @@ POSTERIORS = f"""
     called AS (SELECT *, CASE WHEN matched >= 40 AND confidence >= 0.3 AND top <> 'unmatched' THEN top END AS call FROM decided)"""
 
 
-def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.attributed(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)))
+def attributed(spark: SparkSession, sf_dir: str, most: int = 0) -> DataFrame:
+    """Without evidence, unless ``most`` is given."""
+    return attribution.attributed(corpus(spark, sf_dir), weighed(mined(spark, sf_dir)), most=most)
 
 
 def who_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,7 @@ def who_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def who_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = attribution.receipts(attributed(spark, sf_dir))
+    found = attribution.receipts(attributed(spark, sf_dir, attribution.RECEIPTS))
     return found.select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", 6).alias("contribution"), F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"))
 
 
